@@ -173,10 +173,8 @@ def trained(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
             for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 count[y].update({t for w in set(_tokens((text or "").lower())) for t in terms(w)})
         if any(count):
-            every = list(count[1])
-            yield pa.RecordBatch.from_arrays([pa.array(every, pa.string()), pa.array([count[1][t] for t in every]), pa.array([count[0][t] for t in every])], ["term", "toxic", "clean"])
-            rest = [t for t in count[0] if t not in count[1]]
-            yield pa.RecordBatch.from_arrays([pa.array(rest, pa.string()), pa.array([0] * len(rest), pa.int64()), pa.array([count[0][t] for t in rest])], ["term", "toxic", "clean"])
+            every = list({**count[1], **count[0]})
+            yield pa.RecordBatch.from_arrays([pa.array(every, pa.string()), *(pa.array([c[t] for t in every], pa.int64()) for c in (count[1], count[0]))], ["term", "toxic", "clean"])
 
     sizes = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
     n = (sizes.get(1, 0), sizes.get(0, 0))
