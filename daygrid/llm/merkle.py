@@ -72,7 +72,7 @@ def differing(a: Column, b: Column) -> Column:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text, tree, and text and tree of the next document by id (after the last, the first). Ids are dealt to ranges of equal
+    """doc_id, text, tree, and next_text and next_tree of the next document by id (after the last, the first). Ids are dealt to ranges of equal
     width, some BUCKET_ROWS documents each; each range is ordered on its own, and its last document takes the first of the next
     range that has any."""
     low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
@@ -81,16 +81,18 @@ def with_next(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text"), bucket.alias("bucket")).withColumn("tree", tree(F.col("text")))
     order = Window.partitionBy("bucket").orderBy("doc_id", "text")
-    placed = rows.withColumn("next", F.lead(F.struct("text", "tree")).over(order)).withColumn("before", F.lag("bucket").over(order))
-    inner = placed.filter(F.col("next").isNotNull()).select("doc_id", "text", "tree", "next")
-    lasts = placed.filter(F.col("next").isNull()).select("doc_id", "text", "tree", "bucket")
-    heads = placed.filter("before is null").select(F.col("bucket").alias("following"), F.struct("text", "tree").alias("next"))
+    # Plain columns, not a struct of them: a struct would be built before the exchange and shuffle each text twice. The three parts
+    # read the same columns, so they share the exchange.
+    placed = rows.withColumn("next_text", F.lead("text").over(order)).withColumn("next_tree", F.lead("tree").over(order)).withColumn("before", F.lag("bucket").over(order))
+    inner = placed.filter(F.col("next_text").isNotNull()).select("doc_id", "text", "tree", "next_text", "next_tree")
+    lasts = placed.filter(F.col("next_text").isNull()).select("doc_id", "text", "tree", "bucket")
+    heads = placed.filter("before is null").select(F.col("bucket").alias("following"), F.col("text").alias("next_text"), F.col("tree").alias("next_tree"))
     # Bucket numbers only: about one row per BUCKET_ROWS documents.
     used = docs.select(bucket.alias("bucket")).distinct()
     turn = Window.orderBy("bucket")
     everything = turn.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     follow = used.select("bucket", F.coalesce(F.lead("bucket").over(turn), F.first("bucket").over(everything)).alias("following"))
-    return inner.unionByName(lasts.join(follow, "bucket").join(heads, "following").select("doc_id", "text", "tree", "next"))
+    return inner.unionByName(lasts.join(follow, "bucket").join(heads, "following").select("doc_id", "text", "tree", "next_text", "next_tree"))
 
 
 def fingerprinted(docs: DataFrame) -> DataFrame:
@@ -98,7 +100,7 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
     n = F.length("text")
     k = F.floor(n / 4).cast("int")
     df = with_next(docs)
-    df = df.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - k), F.substring(F.col("next.text"), F.lit(1), k)))
+    df = df.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - k), F.substring(F.col("next_text"), F.lit(1), k)))
     df = df.withColumn("edited_tree", tree(F.col("edited")))
     finger = lambda t: F.concat(root(t), F.lit(":"), t)
     return df.select(
@@ -108,7 +110,7 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
         finger(F.col("tree")).alias("fingerprint"),
         finger(F.col("edited_tree")).alias("edited_fingerprint"),
         likeness(F.col("tree"), F.col("edited_tree")).alias("near_edited"),
-        likeness(F.col("tree"), F.col("next.tree")).alias("near_next"),
+        likeness(F.col("tree"), F.col("next_tree")).alias("near_next"),
     )
 
 
