@@ -21,7 +21,7 @@ from .common import cut, let, words
 
 MIN_WORDS = 50
 WINDOW = 3
-CLASS_LIMIT = 0.26
+CLASS_LIMIT = 0.29
 WORD_LIMIT = 0.5
 #: Languages that serve as references, by number of documents.
 MAX_LANGUAGES = 200
