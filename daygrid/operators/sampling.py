@@ -114,8 +114,10 @@ def verdict(observed: DataFrame, simulated: DataFrame, level: float = 0.95) -> D
     """Per feature: the share of random samples that differ more, and whether the sample is within the threshold."""
     limit = threshold(simulated, level).first()[0]
     rows = simulated.join(observed.select("feature", F.col("smd").alias("own")), "feature")
-    out = rows.groupBy("feature", "own").agg(F.avg((F.abs("smd") > F.abs("own")).cast("int")).alias("share_larger"))
-    return out.select("feature", F.col("own").alias("smd"), "share_larger", (F.abs("own") <= limit).alias("balanced"))
+    # Rounded, so that a simulated sample equal to the observed one does not count as larger by the last bit.
+    size = lambda c: F.round(F.abs(F.col(c)), 9)
+    out = rows.groupBy("feature", "own").agg(F.avg((size("smd") > size("own")).cast("int")).alias("share_larger"))
+    return out.select("feature", F.col("own").alias("smd"), "share_larger", (size("own") <= F.round(F.lit(limit), 9)).alias("balanced"))
 
 
 def phenomena(profile: DataFrame, history: DataFrame, sample: DataFrame) -> DataFrame:

@@ -194,6 +194,31 @@ def sample_phenomena(p: Panel) -> DataFrame:
     return sampling.phenomena(rows, p.history, rows.filter("Store % 3 = 1").select("Store"))
 
 
+cte("own_smd", ("frame",), f"select feature, {_smd} as smd from (select *, Store % 3 = 1 as s from frame) group by 1")
+
+
+@query(
+    """select o.feature, round(o.smd, 6) as smd, round(avg(case when round(abs(s.smd), 9) > round(abs(o.smd), 9) then 1 else 0 end), 6) as share_larger,
+ round(abs(o.smd), 9) <= round((select quantile_cont(m, 0.95) from (select sim, max(abs(smd)) as m from sims group by 1)), 9) as balanced from own_smd o join sims s on s.feature = o.feature group by o.feature, o.smd""",
+    "own_smd",
+    "sims",
+)
+def balance_verdict(p: Panel) -> DataFrame:
+    rows = p.profile.persist()
+    frame = sampling.balance_frame(rows)
+    return sampling.verdict(sampling.smd(frame, rows.filter("Store % 3 = 1")), sampling.simulate(frame, max(2, rows.count() // 2), 50))
+
+
+@query(
+    f"""select o.feature, round(o.smd, 6) as smd, round(w.smd, 6) as smd_without, o.feature = 'sunday_open' as by_design from own_smd o
+ join (select feature, {_smd} as smd from (select *, Store % 3 = 1 as s from frame where segment <> 'high_traffic') group by 1) w on w.feature = o.feature""",
+    "own_smd",
+)
+def balance_without_segment(p: Panel) -> DataFrame:
+    rows = p.profile.persist()
+    return sampling.balance_table(sampling.balance_frame(rows), rows.filter("Store % 3 = 1"), "high_traffic", ("sunday_open",))
+
+
 # Scores by profile
 
 _groups = "(select Store, unnest(list_filter(['all', segment, case when has_export_gap then 'has_export_gap' end, case when has_long_closure then 'has_long_closure' end, case when has_left_censored then 'has_left_censored' end, case when closed_in_test then 'closed_in_test' end, case when sunday_open then 'sunday_open' end], lambda x: x is not null)) as g from profile)"
@@ -293,6 +318,18 @@ def ridge_fold_scores(p: Panel) -> DataFrame:
     return scoring.fold_scores(models.run_folds(feats, calendar, models.make_ridge(category_levels(p.stores)), "ridge"))
 
 
+@query(None)
+def holdout_model_table(p: Panel) -> DataFrame:
+    """Baselines and a ridge model on the same open days of the holdout: metrics and business figures."""
+    calendar = p.calendar.persist()
+    feats = build_features(calendar, p.stores).persist()
+    ridge = models.run_folds(feats, calendar, models.make_ridge(category_levels(p.stores)), "ridge", (baselines.HOLDOUT,))
+    base = baselines.baseline_predictions(baselines.with_baselines(calendar), baselines.folds(p.spark, (baselines.HOLDOUT,)))
+    columns = ["Store", "Date", "model", "y", "pred"]
+    every = base.select(columns).unionByName(ridge.select(columns))
+    return scoring.metrics(every, "model").join(scoring.business_summary(every, baselines.HOLDOUT[1], "model"), "model")
+
+
 @query(None)
 def tree_fold_scores(p: Panel) -> DataFrame:
     """Boosted trees (few and shallow, for the fixture's size) on the last fold."""
