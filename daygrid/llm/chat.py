@@ -48,7 +48,9 @@ def paths(messages: DataFrame, top: int | None = None) -> DataFrame:
             break
         steps.append(more.select("tree", "node", "far"))
         on = jump.select("tree", F.col("node").alias("far"), F.col("far").alias("next"), F.col("sum").alias("rest"))
-        jump = cut(jump.join(on, ["tree", "far"], "left").select("tree", "node", F.col("next").alias("far"), (F.col("sum") + F.coalesce("rest", F.lit(0.0))).alias("sum")))
+        # Only nodes that have not reached their root take part, so short trees leave the rounds that long ones need.
+        further = more.join(on, ["tree", "far"]).select("tree", "node", F.col("next").alias("far"), (F.col("sum") + F.col("rest")).alias("sum"))
+        jump = cut(jump.filter("far is null").unionByName(further))
     order = Window.partitionBy("tree").orderBy(F.desc("sum"), "node")
     ranked = jump.filter("far is null").join(leaves, ["tree", "node"], "left_semi").withColumn("rank", F.row_number().over(order))
     chosen = ranked if top is None else ranked.filter(F.col("rank") <= top)
