@@ -29,8 +29,8 @@ def n_words(text: Column) -> Column:
 
 
 def fold(doc_id: Column, k: int) -> Column:
-    """crc32 of the id's decimal text, modulo k."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(k)
+    """crc32 of the id's decimal text (null: of the empty text), modulo k."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % F.lit(k)
 
 
 def cut(df: DataFrame) -> DataFrame:

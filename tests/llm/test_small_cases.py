@@ -206,6 +206,15 @@ def test_kneser_ney_sums_to_one(spark):
         assert 0.9 < p <= 1.001
 
 
+def test_null_ids(spark):
+    df = docs_of(spark, [(None, "a b c", "en", "a"), (None, None, None, None), (1, "d e f", "en", "a")])
+    labels = labels_of(spark, [(None, 1, 1), (1, None, None)])
+    n = len(df.collect())
+    for got in (mixing.mix(df), simhash.near_duplicates(df), merkle.fingerprinted(df), bpe.digests(df), langid.identify(df), quality_rules.judged(df), toxicity.score(df, labels), quality_clf.score(df, labels)):
+        assert got.count() == n and "doc_id" in got.columns
+    assert langid.identify(df).filter("held_out is null").count() == 0
+
+
 def labels_of(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
 
@@ -286,14 +295,14 @@ PAGE = """<!DOCTYPE html><html><head><title>T {i}</title><style>p{{}}</style><sc
 def test_html(spark):
     art = [(i, f"http://u:p@A.example:80/{i}", PAGE.format(i=i, open="<article>", close="</article>")) for i in range(8)]
     bare = [(100 + i, f"http://b.example/{i}", PAGE.format(i=i, open="<div><div class=tag>Same words</div>", close="</div>")) for i in range(8)]
-    odd = [(200, None, None), (201, "", ""), (202, "x", "plain <b>te</b>xt &amp;amp; <p>more"), (203, "http://c/", "<article><p>cut off &mid"), (204, "http://c/", "<article>" + "<p>long</p>" * 5000), (205, "http://d/", "<div>" * 3000 + "deep")]
+    odd = [(200, None, None), (201, "", ""), (202, "x", "plain <b>te</b>xt &amp;amp; <p>more"), (203, "http://c/", "<article><p>cut off &mid"), (204, "http://c/", "<article>" + "<p>long</p>" * 5000), (205, "http://d/", "<div>" * 3000 + "deep"), (206, "http://d/", "<div class=with-sidebar><main>in<div class=sidebar>out</div></main></div>")]
     got = {r["page_id"]: r for r in html_extract.main_text(spark.createDataFrame(art + bare + odd, "page_id long, url string, html string").withColumn("host", F.lit("x"))).collect()}
     for i in range(8):
         want = f"Head {i} Bold {i} Fish & chips é é© {i} one {i} two"
         assert got[i]["text"] == want and got[i]["n_chars"] == len(want)
         assert got[100 + i]["text"] == want  # 'Same words' is boilerplate of its host
     assert (got[200]["text"], got[200]["n_chars"], got[201]["text"]) == ("", 0, "")
-    assert got[202]["text"] == "plain text &amp; more" and got[203]["text"].startswith("cut off") and got[204]["n_chars"] == 24_999 and got[205]["text"] == "deep"
+    assert got[202]["text"] == "plain text &amp; more" and got[203]["text"].startswith("cut off") and got[204]["n_chars"] == 24_999 and got[205]["text"] == "deep" and got[206]["text"] == "in"
     assert html_extract.main_text(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
