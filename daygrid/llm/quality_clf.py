@@ -35,6 +35,8 @@ REACH = 2
 HIDDEN = 32
 SAMPLE_ROWS = 20_000
 CHUNK = 1 << 19
+#: Token vectors that are added up at once.
+ROWS = 1 << 15
 SHAPE = 8
 _tokens = re.compile(r"\w+|[^\w\s]+").findall
 
@@ -46,23 +48,24 @@ def index_vectors() -> tuple[np.ndarray, np.ndarray]:
     return place, rng.choice(np.array([-1, 1]), (HASHED, NONZERO))
 
 
+class Memo(dict):
+    """Bucket numbers of the tokens met so far."""
+
+    def __missing__(self, token: str) -> int:
+        self[token] = n = xxhash.xxh32_intdigest(token.encode("utf-8", "surrogatepass")) % HASHED
+        return n
+
+
 class Buckets:
-    """Bucket numbers of tokens, with a memory of tokens."""
+    """Bucket numbers of a text's tokens."""
 
     def __init__(self) -> None:
-        self.memo: dict[str, int] = {}
+        self.memo = Memo()
 
     def __call__(self, text: str | None) -> np.ndarray:
         if len(self.memo) > 500_000:
             self.memo.clear()
-        memo, toks = self.memo, _tokens((text or "").lower())
-        try:
-            return np.fromiter((memo[t] for t in toks), np.int64, len(toks))
-        except KeyError:
-            for t in toks:
-                if t not in memo:
-                    memo[t] = xxhash.xxh32_intdigest(t.encode("utf-8", "surrogatepass")) % HASHED
-            return np.fromiter((memo[t] for t in toks), np.int64, len(toks))
+        return np.array(list(map(self.memo.__getitem__, _tokens((text or "").lower()))), np.int64)
 
 
 def context_sums(docs: DataFrame) -> DataFrame:
@@ -123,8 +126,8 @@ def pooled(text: str | None, of: Buckets, table: np.ndarray) -> np.ndarray:
     out[-8:-5] = np.log1p(n), np.log1p(chars), np.log1p(text.count("\n"))
     if n:
         used, count = np.unique(t, return_counts=True)
-        for i in range(0, len(used), CHUNK):
-            out[:-SHAPE] += (count[i : i + CHUNK, None] * table[used[i : i + CHUNK]]).sum(axis=0)
+        for i in range(0, n, ROWS):
+            out[:-SHAPE] += table[t[i : i + ROWS]].sum(axis=0)
         out[:-SHAPE] /= n
         out[-5:] = len(used) / n, np.log(count.max() / n), chars / n, sum(map(text.count, "#*$%&|<>")) / chars, sum(map(text.count, ".!?")) / chars
     return out
