@@ -28,6 +28,7 @@ from .common import fold
 
 SAMPLE_ROWS = 20_000
 MAX_TERMS = 20_000
+ERRORS = 2.0
 STEM_LENGTHS = (4, 5, 6, 7, 8)
 
 # Closed word lists of the grammar.
@@ -80,9 +81,9 @@ def terms(word: str) -> list[str]:
 
 
 def weight(toxic: float, clean: float, n_toxic: int, n_clean: int) -> float:
-    """Log-odds of a term, lowered by 1.5 standard errors; 0 if that is not over 1."""
-    odds = np.log((toxic + 0.5) / (n_toxic + 1.0)) - np.log((clean + 0.5) / (n_clean + 1.0)) - 1.5 * np.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5))
-    return float(odds) if odds > 1 and toxic >= 2 else 0.0
+    """Log-odds of a term, lowered by ERRORS standard errors; 0 if that is not over 1 or fewer than 3 toxic documents have it."""
+    odds = np.log((toxic + 0.5) / (n_toxic + 1.0)) - np.log((clean + 0.5) / (n_clean + 1.0)) - ERRORS * np.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5))
+    return float(odds) if odds > 1 and toxic >= 3 else 0.0
 
 
 class Grammar:
@@ -183,7 +184,9 @@ def trained(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
         sample.unpersist()
         return fitted
     found = sample.mapInArrow(per_task, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    found = found.filter(F.col("toxic") >= 2).withColumn("gain", F.log((F.col("toxic") + 0.5) / (n[0] + 1)) - F.log((F.col("clean") + 0.5) / (n[1] + 1)) - 1.5 * F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5)))
+    # One clean document less: the terms that a clean document meets while its own share is taken out must be there as well.
+    others = F.greatest(F.col("clean") - 1, F.lit(0)) + 0.5
+    found = found.filter(F.col("toxic") >= 3).withColumn("gain", F.log((F.col("toxic") + 0.5) / (n[0] + 1)) - F.log(others / (n[1] + 1)) - ERRORS * F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / others))
     fitted["terms"] = {r["term"]: (r["toxic"], r["clean"]) for r in found.filter("gain > 0.5").orderBy(F.desc("gain"), "term").limit(MAX_TERMS).collect()}
     known = docs.sparkSession.sparkContext.broadcast(fitted)
 
