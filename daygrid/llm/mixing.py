@@ -80,7 +80,9 @@ def slots_of(sources: DataFrame, block: int = BLOCK, shard: int = SHARD, hint=sa
     plan = plan.withColumn("slots", F.col("full") * F.col("blocks") + F.when(F.col("rest") > 0, F.least(F.ceil((F.col("rest") + F.col("lack")) / block), F.col("blocks"))).otherwise(0).cast("long"))
     plan = plan.withColumn("start", F.coalesce(F.sum("slots").over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     plan = plan.withColumn("all_slots", F.sum("slots").over(Window.partitionBy()))
-    runs = plan.filter("slots > 0").withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / 4096)))).repartition("rank", "run")
+    runs = plan.filter("slots > 0").withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / 4096))))
+    # A fixed number of partitions: by their size the few rows before the next explode would be merged into one task.
+    runs = runs.repartition(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rank", "run")
     each = runs.withColumn("t", F.explode(F.sequence(F.col("run") * 4096, F.least(F.col("run") * 4096 + 4095, F.col("slots") - 1))))
     each = each.withColumn("pass", F.floor(F.col("t") / F.col("blocks"))).withColumn("k", F.col("t") % F.col("blocks"))
     each = each.withColumn("block", permuted(F.col("k"), F.col("blocks"), F.col("seed"))).withColumn("out", permuted(F.col("start") + F.col("t"), F.col("all_slots"), F.lit(0)))
@@ -110,7 +112,7 @@ def blocks_of(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     return pieces.select("row", "rank", "block", (F.greatest(F.col("at"), low) - low).alias("first"), (F.least(F.col("at") + F.col("size"), low + block) - low).alias("last"))
 
 
-BUCKET_ROWS = 2000
+BUCKET_ROWS = 500
 BROADCAST_SOURCES = 10_000
 
 
