@@ -24,8 +24,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Entries of a worker's memory of words; it is emptied when full.
-CACHE = 200_000
+#: Entries of a worker's memories of chunks and of pieces, kept from task to task. A full memory becomes the old one, from which what is
+#: met again moves back, so frequent words stay; each holds two generations at most.
+CHUNKS = 150_000
+PIECES = 350_000
 _odd_space = regex.compile("[\x1c-\x1f]")
 _space = regex.compile(r"[^\t-\r \x85\xa0  -     　]+")
 
@@ -71,6 +73,8 @@ class Encoder:
         self.controls = regex.compile("(" + "|".join(map(regex.escape, sorted(vocab["added"], key=len, reverse=True))) + ")")
         self.known: dict[str, tuple[int, str, str]] = {}
         self.met: dict[str, list[int]] = {}
+        self.known_before: dict[str, tuple[int, str, str]] = {}
+        self.met_before: dict[str, list[int]] = {}
 
     def merged(self, pieces: list[str]) -> list[list[int]]:
         """Token ids of each piece, by the pair occurrence index over all of them."""
@@ -130,19 +134,21 @@ class Encoder:
 
     def learn(self, chunks: set[str]) -> None:
         """Encode the chunks (runs between white space) that are not known."""
-        if len(self.known) > CACHE:
-            self.known.clear()
-            self.met.clear()
-            return self.learn(chunks)
+        if len(self.known) > CHUNKS:
+            self.known_before, self.known = self.known, {}
+        if len(self.met) > PIECES:
+            self.met_before, self.met = self.met, {}
         new = [c for c in chunks if c not in self.known]
-        parts = {c: self.pieces(unicodedata.normalize("NFC", c).replace("Σ", "σ").lower()) for c in new}
-        fresh = list({p for ps in parts.values() for p in ps if p not in self.met})
+        self.known.update((c, self.known_before[c]) for c in new if c in self.known_before)
+        parts = {c: self.pieces(unicodedata.normalize("NFC", c).replace("Σ", "σ").lower()) for c in new if c not in self.known_before}
+        fresh = {p for ps in parts.values() for p in ps if p not in self.met}
+        self.met.update((p, self.met_before[p]) for p in fresh if p in self.met_before)
+        fresh = [p for p in fresh if p not in self.met_before]
         self.met.update(zip(fresh, self.merged(fresh), strict=True))
         tokens = self.v["tokens"]
         for c, ps in parts.items():
             ids = [i for p in ps for i in self.met[p]]
             self.known[c] = (len(ids), " ".join(map(str, ids)), " ".join(tokens[i] for i in ids))
-        return None
 
     def encode(self, texts: list[str | None]) -> Iterator[tuple[int, str, str]]:
         """Of each text: the number of tokens, the ids joined by a space, and the decoded text."""
@@ -155,9 +161,10 @@ class Encoder:
             flat = [c for cs in chunks for c in cs]
             laid.append(flat)
             need.update(flat)
+        marked = not need.isdisjoint(self.v["added"])
         need.difference_update(self.v["added"])
         self.learn(need)
-        known = self.known | {t: (1, str(i), t) for t, i in self.v["added"].items()} if any(t in c for c in laid for t in self.v["added"]) else self.known
+        known = self.known | {t: (1, str(i), t) for t, i in self.v["added"].items()} if marked else self.known
         for flat in laid:
             got = [known[c] for c in flat]
             yield sum(g[0] for g in got), " ".join(g[1] for g in got if g[0]), " ".join(g[2] for g in got if g[0])
@@ -172,7 +179,10 @@ def encoded(docs: DataFrame, path: str | None = None, full: bool = False) -> Dat
         return s if full else hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
 
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(known.value)
+        vocab = known.value  # one object for all tasks of a worker
+        if "encoder" not in vocab:
+            vocab["encoder"] = Encoder(vocab)
+        enc = vocab["encoder"]
         for big in batches:
             for i in range(0, big.num_rows, 500):  # bounds what a very long batch holds
                 b = big.slice(i, 500)
