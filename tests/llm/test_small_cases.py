@@ -312,3 +312,31 @@ def test_tree_matching():
     m = html_extract.merged(a, b)
     labels = [k[0] for k in m[3][0][3]]
     assert labels == ["h2", "p", "ul"] and m[3][0][3][1][2] is not None and m[3][0][3][2][2] is None and m[1] == 2
+
+
+def test_html_copies_are_no_evidence(spark):
+    same = [(i, "http://copy.example/a", "<html><body><div>The whole text.</div></body></html>") for i in range(5)]
+    alone = [(10 + i, "http://mixed.example/a", "<body><div class=x>Only here.</div></body>") for i in range(6)] + [(20 + i, f"http://mixed.example/{i}", f"<body><div class=y>Page {i}.</div></body>") for i in range(6)]
+    rows = spark.createDataFrame(same + alone, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extract.main_text(rows).collect()}
+    assert all(got[i] == "The whole text." for i in range(5))
+    assert all(got[10 + i] == "Only here." and got[20 + i] == f"Page {i}." for i in range(6))
+
+
+def test_html_end_of_a_long_page():
+    def page(i):
+        return "".join(f"<h2>H {i} {k}</h2><p>P {i} {k}</p>" for k in range(1100 + i)) + "<div class=z>Same end</div>"
+
+    trees = [html_extract.outline(html_extract.parse(page(i))) for i in range(5)]
+    template = trees[0]
+    for t in trees[1:]:
+        template = html_extract.merged(template, t)
+    text = html_extract.extract(page(2), template)
+    assert "Same end" not in text and text.endswith("P 2 1101")
+
+
+def test_html_long_matching_equals_short():
+    rng = np.random.default_rng(12)
+    for _ in range(30):
+        a, b = ([["pqr"[int(x)], 1, None, [["k", 1, None, [], []]] * int(x), []] for x in rng.integers(0, 3, rng.integers(1, 12))] for _ in range(2))
+        assert html_extract.long_matching(a, b) == html_extract.matching(a, b) or [x[0] for x in a] == [x[0] for x in b]
