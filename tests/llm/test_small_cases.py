@@ -340,3 +340,10 @@ def test_html_long_matching_equals_short():
     for _ in range(30):
         a, b = ([["pqr"[int(x)], 1, None, [["k", 1, None, [], []]] * int(x), []] for x in rng.integers(0, 3, rng.integers(1, 12))] for _ in range(2))
         assert html_extract.long_matching(a, b) == html_extract.matching(a, b) or [x[0] for x in a] == [x[0] for x in b]
+
+
+def test_html_template_decides_inside_and_outside_article(spark):
+    page = "<body><div class=lead>Lead {i}.</div><article><h1>Head {i}</h1><div class=x>We all say this.</div><p>Text {i}.</p><div class=t>One</div><div class=t>Two</div></article><div class=y>Same</div></body>"
+    rows = spark.createDataFrame([(i, f"http://a.example/{i}", page.format(i=i)) for i in range(6)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extract.main_text(rows).collect()}
+    assert all(got[i] == f"Lead {i}. Head {i} Text {i}." for i in range(6))
