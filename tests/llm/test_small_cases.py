@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from daygrid.llm import bpe, chat, components, html_extract, langid, merkle, mixing, quality_clf, quality_rules, simhash, toxicity
+from daygrid.llm import bpe, chat, components, html_extract, langid, merkle, mixing, near_copies, quality_clf, quality_rules, simhash, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, row string, size string, cell string, html string"
 
@@ -347,3 +347,30 @@ def test_html_template_decides_inside_and_outside_article(spark):
     rows = spark.createDataFrame([(i, f"http://a.example/{i}", page.format(i=i)) for i in range(6)], "page_id long, url string, html string")
     got = {r["page_id"]: r["text"] for r in html_extract.main_text(rows).collect()}
     assert all(got[i] == f"Lead {i}. Head {i} Text {i}." for i in range(6))
+
+
+def test_pipeline_drops_near_copies_by_brute_force(spark):
+    import corpus_pipeline
+
+    rows, rng = [], np.random.default_rng(13)
+    for g in range(12):
+        ws = lorem(100 + g, 200, 5000).split()
+        for c in range(6):
+            own = list(ws)
+            for at in rng.integers(0, 200, int(rng.integers(0, 9))):
+                own[at] = f"edit{g}x{c}x{at}"
+            rows.append((len(rows), " ".join(own), "en", "s"))
+    rows += [(900, None, "en", "s"), (901, "", "en", "s"), (902, "a b", "en", "s"), (903, "A  b", "en", "s"), (903, "A  b", "en", "s"), (904, "a c", "en", "s"), (None, "a b", "en", "s"), (None, "a b", "en", "s")]
+
+    def plain(text):
+        ws = (text or "").lower().split()
+        return {tuple(ws[k : k + 5]) for k in range(max(1, len(ws) - 4))}
+
+    sets = {i: plain(t) for i, t, _, _ in rows if i is not None}
+    links = [(i, j) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert len(links) > 20
+    root = brute_components(links, list(sets))
+    got = corpus_pipeline.one_of_each(spark, docs_of(spark, rows), "").select("doc_id").collect()
+    assert sorted(r["doc_id"] for r in got if r["doc_id"] is not None) == sorted(i for i in sets if root[i] == i)
+    assert sum(r["doc_id"] is None for r in got) == 2
+    assert corpus_pipeline.one_of_each(spark, docs_of(spark, []), "").collect() == []
