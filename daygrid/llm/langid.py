@@ -6,7 +6,8 @@ them. Raw counts serve the highest order, distinct left contexts the lower ones;
 interpolated with the next, down to a uniform share. The model holds, for each order, one sorted array of the keys seen in any
 language and, beside it, the log-probability in every language; a missing key backs off with its context's weight.
 
-The model's size is bounded by max_grams rows: the least count cutoff that meets it prunes rarer 4-grams (no cutoff below it).
+No gram is pruned: the model grows with the distinct 4-grams of the training rows. Each language's rejection limit comes from all training
+rows nearest to it; a language that no long enough training row is nearest to gets the highest limit of the others.
 
 Defined results: null text or text without a letter is 'und' with score 0 and rejected; a table without training rows makes
 every document 'und'; ties between languages go to the first by name; repeated rows are scored alike (and counted each);
@@ -27,11 +28,10 @@ from pyspark.sql import functions as F
 from .common import fold
 
 ORDER = 4
-MAX_GRAMS = 4_000_000
-#: Training documents whose cross-entropy sets the rejection thresholds; lowest crc32 of the id first.
-CALIBRATION_ROWS = 4000
 #: A text is rejected above its language's 99.9 % training quantile times this.
 MARGIN = 1.5
+#: Accuracy of that quantile: its rank is off by at most one RANKS-th of the rows.
+RANKS = 100_000
 #: Texts with fewer characters than this have too noisy an entropy to be rejected.
 MIN_CHARS = 40
 CHUNK = 1 << 20
@@ -193,26 +193,13 @@ def gram_counts(train: DataFrame) -> DataFrame:
     return train.select(F.col("text").cast("string"), F.col("lang").cast("string")).mapInArrow(per_task, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
 
 
-def trained(docs: DataFrame, max_grams: int = MAX_GRAMS, calibration_rows: int = CALIBRATION_ROWS) -> Model:
-    """Fit on the rows with a language whose crc32(doc_id) mod 3 is not 1; then set the rejection limits on a bounded sample of them."""
+def trained(docs: DataFrame) -> Model:
+    """Fit on the rows with a language whose crc32(doc_id) mod 3 is not 1; then set the rejection limits on the same rows."""
     train = docs.filter((fold(F.col("doc_id"), 3) != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = gram_counts(train).persist()
-    n, least = counts.count(), 1
-    if n > max_grams:
-        above = 0
-        for row in counts.groupBy(F.least("n", F.lit(10_000)).alias("n")).agg(F.count("*").alias("grams")).orderBy(F.desc("n")).collect():
-            above += row["grams"]
-            if above > max_grams:
-                break
-            least = row["n"]
-        counts = counts.filter(F.col("n") >= least)
-    model = fit(counts.toPandas())
-    counts.unpersist()
+    model = fit(gram_counts(train).toPandas())
     if not model.langs:
         return model
-    ids = train.select("doc_id").distinct().orderBy(F.crc32(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(calibration_rows)
-    sample = train.join(F.broadcast(ids), "doc_id").select("text")
-    known = sample.sparkSession.sparkContext.broadcast(vars(model))
+    known = docs.sparkSession.sparkContext.broadcast(vars(model))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(**known.value)
@@ -221,9 +208,12 @@ def trained(docs: DataFrame, max_grams: int = MAX_GRAMS, calibration_rows: int =
             got = [(int(e.argmin()), float(e.min())) for e, size in got if size >= MIN_CHARS]
             yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.float64())], ["lang", "entropy"])
 
-    measured = sample.mapInArrow(measure, "lang int, entropy double").groupBy("lang").agg(F.percentile("entropy", F.lit(0.999)).alias("q"))
-    for row in measured.collect():
+    measured = train.select(F.col("text").cast("string")).mapInArrow(measure, "lang int, entropy double")
+    for row in measured.groupBy("lang").agg(F.percentile_approx("entropy", 0.999, RANKS).alias("q")).collect():
         model.limits[row["lang"]] = row["q"] * MARGIN
+    known_limits = model.limits[np.isfinite(model.limits)]
+    if len(known_limits):
+        model.limits[~np.isfinite(model.limits)] = known_limits.max()
     return model
 
 

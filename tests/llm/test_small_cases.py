@@ -1,6 +1,7 @@
 """Small cases of each operator: nulls, empty and long texts, ties, repeated rows, empty tables, clashing names; results by brute force."""
 
 import hashlib
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -374,3 +375,13 @@ def test_pipeline_drops_near_copies_by_brute_force(spark):
     assert sorted(r["doc_id"] for r in got if r["doc_id"] is not None) == sorted(i for i in sets if root[i] == i)
     assert sum(r["doc_id"] is None for r in got) == 2
     assert corpus_pipeline.one_of_each(spark, docs_of(spark, []), "").collect() == []
+
+
+def test_language_limits_come_from_all_rows(spark):
+    rng = np.random.default_rng(14)
+    text = lambda letters: " ".join("".join(rng.choice(list(letters), 5)) for _ in range(12))
+    rare = [i for i in range(20_000) if zlib.crc32(str(i).encode()) % 3 != 1 and zlib.crc32(str(i).encode()) > 3 << 30][:20]
+    rows = [(i, text("mnopq") if i in rare else text("abcde"), "rr" if i in rare else "aa", "s") for i in range(9000)]
+    short = [(30_000 + i, "жзи", "ss", "s") for i in range(6)]
+    model = langid.trained(docs_of(spark, rows + short))
+    assert model.langs == ["aa", "rr", "ss"] and np.isfinite(model.limits).all()
