@@ -1,4 +1,4 @@
-"""Shared helpers: tables, word pattern, hash folds and lineage cuts."""
+"""Shared helpers: tables, word pattern, hash folds, internal names and lineage cuts."""
 
 from __future__ import annotations
 
@@ -33,13 +33,27 @@ def fold(doc_id: Column, k: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % F.lit(k)
 
 
+def own_name(df: DataFrame, stem: str) -> str:
+    """A column name that the frame does not have."""
+    taken, name = {c.lower() for c in df.columns}, stem
+    while name in taken:
+        name += "_"
+    return name
+
+
+def shared_folder(spark: SparkSession, purpose: str) -> str:
+    """The folder that all executors share: spark.checkpoint.dir. Only a local session may go without; it gets a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return folder or tempfile.mkdtemp(prefix=f"{purpose}-")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint. The folder is the cluster's spark.checkpoint.dir; only where that is unset
-    (a local session, as in tests) a temporary one is made."""
-    spark = df.sparkSession
-    context = spark.sparkContext
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession, "checkpoint"))
     return df.checkpoint()
 
 

@@ -2,15 +2,15 @@
 permutations, and a join of blocks by index. DataFrame functions only.
 
 The words of each source form one stream, in an order given by a hash of the id; block b of a source holds its words
-[b * L, (b + 1) * L). The output has one slot per block to be taken; slot t of a source reads block perm(t mod B) in pass
-t div B, so every block is read once before any is read again, and the last slot of a source is cut where its target ends.
-All slots are dealt to output shards by one pseudorandom permutation of 0..N-1: the source counts of a shard are then a
-multinomial draw conditioned on the corpus totals. (Independent draws per shard leave small sources tens of per cent off
-their target at small N; the condition removes that error and keeps the mix inside each shard random.)
+[b * L, (b + 1) * L). Every slot of every output shard draws its source by weight, so a shard's source counts are multinomial. A source's
+slots are numbered in the order of shards; slot t reads block perm(t mod B) in pass t div B, so every block is read once before any is read
+again. What a source takes is what its slots drew, corrected to within TOLERANCE of its target and never more than cap times its size: slots
+beyond that are dropped (the last is cut), and missing ones go to further shards. So the result depends on seed and shard size, and
+a small source, whose draw scatters by tens of per cent, still comes near its target.
 
 Defined results: null or wordless text has size 0, a finite target of its source and taken 0; a null source is a source of its
-own, last in order; repeated rows of one id are rows of their own in the stream, and their results are per row; an empty table
-gives no rows; extra columns of the input are ignored."""
+own, last in order; a row is known by its id and its text's hash, null ids included, and repeated rows are rows of their own in the
+stream; an empty table gives no rows; extra columns of the input are ignored."""
 
 from __future__ import annotations
 
@@ -19,23 +19,31 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, n_words
+from .common import GAP, cut, n_words, own_name
 
 WEIGHTS = (5, 2, 1)
 BLOCK = 256
 SHARD = 64
 CAP = 3
+SEED = 0
+#: A source's words may differ from its target by this share, as its draw has it.
+TOLERANCE = 0.01
 ROUNDS = 16
+#: Cells of the unit interval in which a slot's draw finds its source.
+CELLS = 1 << 12
+#: Shards numbered in one window.
+GROUP = 1 << 12
 
 
-def permuted(x: Column, n: Column, seed: Column) -> Column:
-    """Pseudorandom permutation of 0..n-1 (swap-or-not rounds: exact for every n, no tables)."""
+def permuted(x: Column, n: Column, seed: Column, back: bool = False) -> Column:
+    """Pseudorandom permutation of 0..n-1 (swap-or-not rounds: exact for every n, no tables); back: its inverse. Each round undoes itself,
+    so the inverse is the rounds in reverse order."""
 
     def swap(acc: Column, r: Column) -> Column:
         pair = F.pmod(F.pmod(F.xxhash64(seed, r), n) - acc, n)
         return F.when(F.xxhash64(seed, r, F.greatest(acc, pair)) % 2 == 0, pair).otherwise(acc)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), x.cast("long"), swap)
+    return F.aggregate(F.sequence(F.lit(ROUNDS), F.lit(1)) if back else F.sequence(F.lit(1), F.lit(ROUNDS)), x.cast("long"), swap)
 
 
 def sources_of(sized: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -64,37 +72,56 @@ def same(df: DataFrame) -> DataFrame:
     return df
 
 
-def slots_of(sources: DataFrame, block: int = BLOCK, shard: int = SHARD, hint=same) -> DataFrame:
-    """The mix itself: one row per slot of the output with shard, place in the shard, source rank, block, pass and words taken."""
+def drawn(plan: DataFrame, total: int, shard: int, seed: int, hint=same) -> DataFrame:
+    """rank, shard, count, base: the multinomial source counts of each shard, and how many slots of the source come before. The unit
+    interval is parted among the sources by weight; a slot's hash is a point of it. Cells of the interval make that an equi-join."""
+    shares = plan.select("rank", "low", "high", F.explode(F.sequence(F.floor(F.col("low") * CELLS), F.least(F.floor(F.col("high") * CELLS), F.lit(CELLS - 1)))).alias("cell"))
+    each = plan.sparkSession.range(total).select(F.floor(F.col("id") / shard).alias("shard"), (F.pmod(F.xxhash64(F.lit(seed), F.floor(F.col("id") / shard), F.col("id") % shard), F.lit(1 << 40)) / float(1 << 40)).alias("u"))
+    each = each.withColumn("cell", F.floor(F.col("u") * CELLS)).join(hint(shares), "cell").filter("u >= low and u < high")
+    counts = cut(each.groupBy("rank", "shard").agg(F.count("*").alias("count")))
+    counts = counts.withColumn("group", F.floor(F.col("shard") / GROUP))
+    sums = counts.groupBy("rank", "group").agg(F.sum("count").alias("sum"))
+    before = lambda keys, order, c: F.coalesce(F.sum(c).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sums.select("rank", "group", before(["rank"], "group", "sum").alias("start"))
+    inside = counts.withColumn("inner", before(["rank", "group"], "shard", "count"))
+    return inside.join(starts, ["rank", "group"]).select("rank", "shard", "count", (F.col("start") + F.col("inner")).alias("base"))
+
+
+def slots_of(sources: DataFrame, block: int = BLOCK, shard: int = SHARD, hint=same, seed: int = SEED, cap: int = CAP, tolerance: float = TOLERANCE) -> DataFrame:
+    """The mix itself: one row per slot of the output with shard, place in the source's slots, source rank, block, pass and words taken."""
     s = F.col("source_size")
-    plan = sources.filter(s > 0).select(
-        "rank",
-        s.alias("n"),
-        F.round("target").cast("long").alias("take"),
-        F.ceil(s / block).cast("long").alias("blocks"),
-    )
-    plan = plan.withColumn("seed", F.xxhash64("rank", F.lit("blocks")))
+    plan = sources.filter(s > 0).select("rank", s.alias("n"), "target", F.ceil(s / block).cast("long").alias("blocks"))
+    plan = plan.withColumn("seed", F.xxhash64(F.lit(seed), "rank", F.lit("blocks"))).withColumn("lack", F.col("blocks") * block - F.col("n"))
+    # One row per source: the unpartitioned windows are over those.
+    every = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    whole = F.sum("target").over(Window.partitionBy())
+    plan = plan.withColumn("high", F.sum("target").over(every) / whole).withColumn("low", F.coalesce(F.lag("high").over(Window.orderBy("rank")), F.lit(0.0)))
+    plan = cut(plan.withColumn("high", F.when(F.row_number().over(Window.orderBy(F.desc("rank"))) == 1, F.lit(1.0)).otherwise(F.col("high"))))
+    total = int(-(-(plan.agg(F.sum("target")).first()[0] or 0) // block))
+    if not total:
+        return plan.select(F.lit(0).cast("long").alias("shard"), F.lit(0).cast("long").alias("place"), "rank", F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("pass"), F.lit(0).cast("long").alias("words")).limit(0)
+    counts = cut(drawn(plan, total, shard, seed, hint))
+    got = counts.groupBy("rank").agg(F.sum("count").alias("slots"))
+    plan = plan.join(hint(got), "rank", "left").withColumn("slots", F.coalesce("slots", F.lit(0)))
+    near = F.greatest(F.least(F.col("slots") * block, F.ceil(F.col("target") * (1 + tolerance))), F.floor(F.col("target") * (1 - tolerance)))
+    plan = plan.withColumn("take", F.least(near, F.col("n") * cap).cast("long"))
     plan = plan.withColumn("full", F.floor(F.col("take") / F.col("n"))).withColumn("rest", F.col("take") - F.col("full") * F.col("n"))
-    # Words in the first k slots of a pass: k blocks, less what the short last block lacks once it has come.
-    plan = plan.withColumn("lack", F.col("blocks") * block - F.col("n"))
-    plan = plan.withColumn("slots", F.col("full") * F.col("blocks") + F.when(F.col("rest") > 0, F.least(F.ceil((F.col("rest") + F.col("lack")) / block), F.col("blocks"))).otherwise(0).cast("long"))
-    plan = plan.withColumn("start", F.coalesce(F.sum("slots").over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    plan = plan.withColumn("all_slots", F.sum("slots").over(Window.partitionBy()))
-    runs = plan.filter("slots > 0").withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / 4096))))
-    # A fixed number of partitions: by their size the few rows before the next explode would be merged into one task.
-    runs = runs.repartition(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rank", "run")
-    each = runs.withColumn("t", F.explode(F.sequence(F.col("run") * 4096, F.least(F.col("run") * 4096 + 4095, F.col("slots") - 1))))
+    # The short block's place in its source's order; every pass has the same order.
+    plan = plan.withColumn("short_at", permuted(F.col("blocks") - 1, F.col("blocks"), F.col("seed"), back=True))
+    # Slots of the last pass: k blocks hold k * block words, less what the short last block lacks once it has come.
+    plan = plan.withColumn("needed", F.col("full") * F.col("blocks") + F.when(F.col("rest") > 0, F.least(F.ceil((F.col("rest") + F.col("lack")) / block), F.col("blocks"))).otherwise(0))
+    plan = cut(plan.drop("low", "high", "target"))
+    last = -(-total // shard)
+    further = plan.filter("needed > slots").select("rank", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("needed") - F.col("slots") - 1) / shard))).alias("i"), "slots", "needed")
+    further = further.select("rank", (F.lit(last) + F.col("i")).alias("shard"), F.least(F.lit(shard), F.col("needed") - F.col("slots") - F.col("i") * shard).alias("count"), (F.col("slots") + F.col("i") * shard).alias("base"))
+    each = counts.unionByName(further).join(hint(plan), "rank").filter("base < needed")
+    each = each.withColumn("t", F.explode(F.sequence(F.col("base"), F.least(F.col("base") + F.col("count"), F.col("needed")) - 1)))
     each = each.withColumn("pass", F.floor(F.col("t") / F.col("blocks"))).withColumn("k", F.col("t") % F.col("blocks"))
-    each = each.withColumn("block", permuted(F.col("k"), F.col("blocks"), F.col("seed"))).withColumn("out", permuted(F.col("start") + F.col("t"), F.col("all_slots"), F.lit(0)))
+    each = each.withColumn("block", permuted(F.col("k"), F.col("blocks"), F.col("seed")))
     length = F.when(F.col("block") == F.col("blocks") - 1, block - F.col("lack")).otherwise(block)
-    # The short block's place in its source's order; every pass has the same order.
-    short = each.filter((F.col("block") == F.col("blocks") - 1) & (F.col("pass") == 0)).select("rank", F.col("k").alias("short_at"))
-    each = each.withColumn("length", length).join(hint(short), "rank", "left")
-    before = F.col("k") * block - F.when(F.col("k") > F.coalesce(F.col("short_at"), F.col("blocks")), F.col("lack")).otherwise(0)
-    taken = F.when(F.col("pass") < F.col("full"), F.col("length")).otherwise(F.least(F.col("length"), F.greatest(F.col("rest") - before, F.lit(0))))
-    return each.select(
-        F.floor(F.col("out") / shard).alias("shard"), (F.col("out") % shard).alias("place"), "rank", "block", "pass", taken.cast("long").alias("words")
-    ).filter("words > 0")
+    before = F.col("k") * block - F.when(F.col("k") > F.col("short_at"), F.col("lack")).otherwise(0)
+    taken = F.when(F.col("pass") < F.col("full"), length).otherwise(F.least(length, F.greatest(F.col("rest") - before, F.lit(0))))
+    return each.select("shard", F.col("t").alias("place"), "rank", "block", "pass", taken.cast("long").alias("words")).filter("words > 0")
 
 
 def blocks_of(docs: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -109,39 +136,78 @@ def blocks_of(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     at = placed.filter("size > 0").select("row", "rank", "size", (F.col("base") + F.col("inner")).alias("at"))
     pieces = at.withColumn("block", F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block))))
     low = F.col("block") * block
-    return pieces.select("row", "rank", "block", (F.greatest(F.col("at"), low) - low).alias("first"), (F.least(F.col("at") + F.col("size"), low + block) - low).alias("last"))
+    return pieces.select("row", "rank", "block", (F.greatest(F.col("at"), low) - low).alias("first"), (F.least(F.col("at") + F.col("size"), low + block) - low).alias("last"), (F.greatest(F.col("at"), low) - F.col("at")).alias("from"))
 
 
 BUCKET_ROWS = 500
 BROADCAST_SOURCES = 10_000
+#: What names a row: id (0 for null), whether it is null, the text's hash, and the number among equal ones.
+ROW = ("id", "no_id", "hash", "copy")
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, block: int = BLOCK, shard: int = SHARD, cap: int = CAP) -> DataFrame:
-    """doc_id, size, source_size, target (of the document's source) and taken: the words the mix takes, repeats counted."""
-    sized = cut(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")))
-    sources = cut(sources_of(sized, weights, cap))
-    # Repeated rows of an id are numbered, so that each is a row of its own; ids that occur once make windows of one row.
-    rows = sized.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id").orderBy("source", "size"))).withColumn("row", F.struct("doc_id", "copy"))
-    n = sized.count()
+def sized_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, source, size and the columns of ROW. Rows of one id and text are numbered; other windows hold one row."""
+    text = F.col("text").cast("string")
+    rows = docs.select("doc_id", "source", n_words(text).alias("size"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("id"), F.col("doc_id").isNull().alias("no_id"), F.xxhash64(text, "source").alias("hash"))
+    return cut(rows.withColumn("copy", F.row_number().over(Window.partitionBy("id", "no_id", "hash").orderBy("size"))))
+
+
+def placed(rows: DataFrame, weights=WEIGHTS, block: int = BLOCK, shard: int = SHARD, cap: int = CAP, seed: int = SEED) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows with rank, source_size and target; the mix's slots; the documents' pieces in blocks."""
+    sources = cut(sources_of(rows, weights, cap))
+    n = rows.count()
     # One row per source: sent to all tasks up to this many, joined by shuffle beyond.
     hint = F.broadcast if sources.count() <= BROADCAST_SOURCES else same
     small = sources.select(F.col("source").alias("of"), "rank", "source_size", "target")
-    joined = rows.join(hint(small), F.col("source").eqNullSafe(F.col("of")), "left")
-    joined = joined.withColumn("order", F.xxhash64("doc_id", F.lit("order"))).withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.lit("bucket")), F.lit(max(1, min(n // BUCKET_ROWS, math.isqrt(n))))))
-    reads = slots_of(sources, block, shard, hint).groupBy("rank", "block").agg(F.collect_list("words").alias("reads"))
-    pieces = blocks_of(joined.select("row", "rank", "bucket", "order", "size"), block)
+    joined = rows.join(hint(small), F.col("source").eqNullSafe(F.col("of")), "left").withColumn("row", F.struct(*ROW))
+    buckets = max(1, min(n // BUCKET_ROWS, math.isqrt(n)))
+    joined = joined.withColumn("order", F.xxhash64(F.lit(seed), *ROW)).withColumn("bucket", F.pmod(F.xxhash64(*ROW, F.lit("bucket")), F.lit(buckets)))
+    return joined, slots_of(sources, block, shard, hint, seed, cap), blocks_of(joined.select("row", "rank", "bucket", "order", "size"), block)
+
+
+def mixed(rows: DataFrame, *args, **kwargs) -> DataFrame:
+    """The rows with taken: the words that the slots take of each."""
+    joined, slots, pieces = placed(rows, *args, **kwargs)
+    reads = slots.groupBy("rank", "block").agg(F.collect_list("words").alias("reads"))  # one entry a pass
     overlap = F.aggregate("reads", F.lit(0).cast("long"), lambda acc, w: acc + F.greatest(F.least(F.col("last"), w) - F.col("first"), F.lit(0)))
     taken = pieces.join(reads, ["rank", "block"]).groupBy("row").agg(F.sum(overlap).alias("words"))
-    return joined.join(taken, "row", "left").select(
-        "doc_id", "size", "source_size", "target", F.coalesce("words", F.lit(0)).cast("long").alias("taken")
-    )
+    return joined.join(taken, "row", "left").withColumn("taken", F.coalesce("words", F.lit(0)).cast("long"))
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, block: int = BLOCK, shard: int = SHARD, cap: int = CAP, seed: int = SEED) -> DataFrame:
+    """doc_id, size, source_size, target (of the document's source) and taken: the words the mix takes, repeats counted."""
+    return mixed(sized_rows(docs), weights, block, shard, cap, seed).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def shards(docs: DataFrame, weights=WEIGHTS, block: int = BLOCK, shard: int = SHARD, cap: int = CAP, seed: int = SEED) -> DataFrame:
+    """The mix written out: shard, source, place, words: the text of each slot, its words joined by a space."""
+    rows = sized_rows(docs)
+    joined, slots, pieces = placed(rows, weights, block, shard, cap, seed)
+    text = F.col("text").cast("string")
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("id"), F.col("doc_id").isNull().alias("no_id"), F.xxhash64(text, "source").alias("hash"), "source", text.alias("text")).dropDuplicates(["id", "no_id", "hash"])
+    cutting = pieces.join(joined.select("row", *ROW), "row").join(texts, ["id", "no_id", "hash"])
+    own = cutting.select("rank", "source", "block", "first", "last", F.slice(F.filter(F.split("text", GAP), lambda w: w != ""), (F.col("from") + 1).cast("int"), (F.col("last") - F.col("first")).cast("int")).alias("words"))
+    whole = own.groupBy("rank", "block").agg(F.first("source").alias("source"), F.array_sort(F.collect_list(F.struct("first", "words"))).alias("parts"))
+    filled = slots.withColumnRenamed("words", "n").join(whole, ["rank", "block"])
+    return filled.select("shard", "source", "place", F.array_join(F.slice(F.flatten("parts.words"), F.lit(1), F.col("n").cast("int")), " ").alias("words"))
 
 
 def resample(docs: DataFrame, weights=WEIGHTS) -> DataFrame:
-    """The documents of the mix: each is returned floor(taken / size + u) times, u a fixed number in [0, 1) of its id, so the
-    expected words of a document are what the mix takes of it. Columns are those of docs."""
-    plan = mix(docs, weights).filter("taken > 0").groupBy("doc_id").agg(F.max("size").alias("__size"), F.max("taken").alias("__taken"))
-    u = F.pmod(F.xxhash64("doc_id", F.lit("copies")), F.lit(1 << 20)) / float(1 << 20)
-    copies = plan.select(F.col("doc_id").alias("__id"), F.floor(F.col("__taken") / F.col("__size") + u).cast("int").alias("__copies")).filter("__copies > 0")
-    out = docs.join(copies, F.col("doc_id") == F.col("__id")).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    """The documents of the mix: each row is returned floor(taken / size + u) times, u a fixed number in [0, 1) of the row, so the
+    expected words of a row are what the mix's slots take of it. Columns are those of docs; rows without an id take part."""
+    names = {n: own_name(docs, n) for n in (*ROW, "copies", "again")}
+    sized = sized_rows(docs)
+    plan = mixed(sized, weights).filter("taken > 0")
+    u = F.pmod(F.xxhash64(*ROW, F.lit("copies")), F.lit(1 << 20)) / float(1 << 20)
+    plan = plan.select(*[F.col(n).alias(names[n]) for n in ROW], F.floor(F.col("taken") / F.col("size") + u).cast("int").alias(names["copies"])).filter(F.col(names["copies"]) > 0)
+    text = F.col("text").cast("string")
+    key = {"id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")), "no_id": F.col("doc_id").isNull(), "hash": F.xxhash64(text, "source")}
+    rows = docs.select(*docs.columns, *[c.alias(names[n]) for n, c in key.items()])
+    first, repeated = rows.withColumn(names["copy"], F.lit(1)), sized.filter("copy = 2").select(*[F.col(n).alias(names[n]) for n in key])
+    if not repeated.isEmpty():  # only rows that are there more than once need their number
+        on = [names[n] for n in key]
+        number = F.row_number().over(Window.partitionBy(*on).orderBy(names["hash"]))
+        first = first.join(repeated, on, "left_anti").unionByName(rows.join(repeated, on, "left_semi").withColumn(names["copy"], number))
+    rows = first
+    out = rows.join(plan, [names[n] for n in ROW]).withColumn(names["again"], F.explode(F.sequence(F.lit(1), F.col(names["copies"]))))
     return out.select(*docs.columns)
