@@ -23,6 +23,8 @@ from .common import cut, let
 
 # Fixed values of the template.
 START, END = "<|im_start|>", "<|im_end|>\n"
+#: Code points of a text that are reached at once when spans are cut out of it.
+STRETCH = 4096
 
 
 def escaped(text: Column) -> Column:
@@ -61,22 +63,32 @@ def paths(messages: DataFrame, top: int | None = None) -> DataFrame:
     return path
 
 
-def formatted(turns: Column) -> DataFrame:
-    """turns: array of structs (role, text) in order. A struct of the formatted string and its loss mask."""
-    parts = F.transform(turns, lambda t: F.struct(F.concat(F.lit(START), F.url_encode(t["role"]), F.lit("\n")).alias("head"), escaped(t["text"]).alias("text"), (t["role"] == "assistant").alias("loss")))
+def formatted(turns: DataFrame) -> DataFrame:
+    """turns(tree, leaf, rank, at, role, text): tree, leaf, rank, formatted, loss_mask. Each turn is formatted as a row of its own and its start
+    comes from a running sum of lengths; then a path's pieces are joined in order of at."""
+    head = F.concat(F.lit(START), F.url_encode("role"), F.lit("\n"))
+    rows = turns.select("tree", "leaf", "rank", "at", (F.col("role") == "assistant").alias("loss"), head.alias("head"), escaped(F.col("text")).alias("body"))
+    rows = rows.select("tree", "leaf", "rank", "at", "loss", F.length("head").alias("skip"), F.length("body").cast("long").alias("n"), F.concat("head", "body", F.lit(END)).alias("piece"))
+    before = Window.partitionBy("tree", "leaf").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("start", F.coalesce(F.sum(F.length("piece").cast("long")).over(before), F.lit(0).cast("long")) + F.col("skip"))
+    whole = rows.groupBy("tree", "leaf", "rank").agg(F.array_sort(F.collect_list(F.struct("at", "piece", "loss", "start", "n"))).alias("p"))
+    spans = F.transform(F.filter("p", lambda x: x["loss"]), lambda x: F.struct(x["start"].alias("start"), x["n"].alias("length")))
+    return whole.select("tree", "leaf", "rank", F.array_join("p.piece", "").alias("formatted"), spans.alias("loss_mask"))
 
-    def whole(p: Column) -> Column:
-        text = F.array_join(F.transform(p, lambda x: F.concat(x["head"], x["text"], F.lit(END))), "")
-        first = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
 
-        def add(acc: Column, x: Column) -> Column:
-            start, n = acc["at"] + F.length(x["head"]), F.length(x["text"]).cast("long")
-            span = F.array(F.struct(start.alias("start"), n.alias("length")))
-            return F.struct((start + n + len(END)).alias("at"), F.when(x["loss"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+def under_mask(text: Column, mask: Column) -> Column:
+    """The spans of a mask cut out of a text and unescaped, as an array. The text is cut into stretches first, so a span costs what it
+    holds and not the way to it."""
 
-        return F.struct(text.alias("formatted"), F.aggregate(p, first, add, lambda acc: acc["spans"]).alias("loss_mask"))
+    def cut_out(parts: Column) -> Column:
+        def span(s: Column) -> Column:
+            first, last = F.floor(s["start"] / STRETCH), F.floor((s["start"] + s["length"]) / STRETCH)
+            near = F.array_join(F.slice(parts, (first + 1).cast("int"), (last - first + 1).cast("int")), "")
+            return unescaped(F.substring(near, (s["start"] - first * STRETCH + 1).cast("int"), s["length"].cast("int")))
 
-    return let(parts, whole)
+        return F.transform(mask, span)
+
+    return let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{STRETCH}}}"), F.lit(0)), cut_out)
 
 
 def read_back(text: Column) -> Column:
@@ -103,14 +115,19 @@ def conversations(table: DataFrame) -> DataFrame:
 def branches(links: DataFrame, texts: DataFrame, top: int | None = None) -> DataFrame:
     """links(tree, node, parent, score), texts(tree, node, role, text): tree, leaf, rank, formatted, loss_mask."""
     turns = paths(links, top).join(texts, ["tree", "node"])
-    whole = turns.groupBy("tree", "leaf", "rank").agg(F.array_sort(F.collect_list(F.struct((-F.col("up")).alias("at"), "role", "text"))).alias("turns"))
-    return whole.withColumn("f", formatted(F.col("turns"))).select("tree", "leaf", "rank", "f.formatted", "f.loss_mask")
+    return formatted(turns.withColumn("at", -F.col("up")))
 
 
 def digests(table: DataFrame) -> DataFrame:
-    """Per conversation, read back from the formatted string: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
-    df = conversations(table).withColumn("turns", read_back(F.col("formatted")))
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
+    """Of the formatted conversations: see read_digests."""
+    return read_digests(conversations(table))
+
+
+def read_digests(out: DataFrame) -> DataFrame:
+    """Per conversation, read back from the formatted string and its loss mask: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256,
+    formatted_chars."""
+    df = out.withColumn("turns", read_back(F.col("formatted")))
+    loss = F.array_join(under_mask(F.col("formatted"), F.col("loss_mask")), "")
     every = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return df.withColumn("loss", loss).select(
         "conv_id",
