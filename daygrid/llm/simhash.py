@@ -1,11 +1,11 @@
 """SimHash near-duplicates: 64-bit fingerprints of word shingles, linked at few differing bits.
 
 Candidate search embeds a fingerprint as the popcounts of its 16 four-bit segments. The Manhattan distance of two embeddings
-is never more than the Hamming distance, so fingerprints at 2 bits lie within 2 in the grid, and then share a grid cell that is
-within 1 of both (the midpoint). Cells with one fingerprint are dropped; for the rest, verification is exact and makes no
-pairs: two fingerprints differ in at most 2 bits if and only if some 64-bit word is within 1 bit of both, and that word's
-popcounts are the shared cell. Grouping by (cell, word) gives groups of at most 65 distinct fingerprints, all linked through
-their word; a star of each group goes to connected components. Equal fingerprints are merged first, so copies cost one row.
+is never more than the Hamming distance, so fingerprints at 2 bits lie within 2 in the grid. The range join takes each fingerprint to the
+grid cells within 1 of it: two within 2 of each other share one (a midpoint), and two that share one are within 2. A cell's fingerprints
+are compared by exact popcount of their exclusive or. Equal fingerprints are merged first, so copies cost one row. A cell with more than
+CELL different fingerprints is split instead of compared pair by pair: two fingerprints at 2 bits have a 64-bit word within 1 bit of both whose
+popcounts are the cell, so the cell's fingerprints are grouped by such words (65 at most to a word), compared there, and no link is lost.
 
 Defined results: null, empty or wordless text has fingerprint zero and links like any other; texts of one or two words hash
 the whole sequence; repeated rows of an id give a row each; an empty table gives no rows; extra columns are ignored."""
@@ -21,12 +21,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, cut
+from .common import WORD, cut, own_name
 from .components import components
 
 SEED = 42
 SHINGLE = 3
 SEGMENT_BITS = 4
+#: Bits in which linked fingerprints may differ, and fingerprints of a grid cell that are compared with each other; more are split.
+RADIUS = 2
+CELL = 64
 _words = re.compile(WORD).findall
 _lower = {c: c + 32 for c in range(65, 91)}
 #: Shingles whose bits are counted at once; bounds memory for very long texts.
@@ -99,13 +102,21 @@ def embed(fp: Column) -> Column:
     return out
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """fps(fp): distinct fingerprints. Returns links (a, b), a star per midpoint, whose components are those of all links."""
+def verified(group: Column) -> Column:
+    """Links (a, b) of a group of fingerprints that differ in RADIUS bits or fewer."""
+    near = lambda x: F.transform(F.filter(group, lambda y: (y < x) & (F.bit_count(x.bitwiseXOR(y)) <= RADIUS)), lambda y: F.struct(x.alias("a"), y.alias("b")))
+    return F.flatten(F.transform(group, near))
+
+
+def links(fps: DataFrame, cell: int = CELL) -> DataFrame:
+    """fps(fp): distinct fingerprints. Returns the links (a, b); of a split cell, those through each word."""
     placed = fps.select("fp", F.explode(cells(F.col("fp"))).alias("cell"))
-    shared = placed.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1").select("cell")
-    near = placed.join(shared, "cell").select("fp", F.explode(midpoints(F.col("fp"), F.col("cell"))).alias("word"))
-    groups = near.groupBy("word").agg(F.collect_set("fp").alias("members")).filter(F.size("members") > 1)
-    return groups.select(F.array_min("members").alias("b"), F.explode("members").alias("a")).filter("a <> b").select("a", "b").distinct()
+    shared = placed.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1")
+    near = placed.join(shared, "cell")
+    small = near.filter(F.col("n") <= cell).groupBy("cell").agg(F.collect_list("fp").alias("members")).select(F.explode(verified(F.col("members"))).alias("p"))
+    split = near.filter(F.col("n") > cell).select("cell", "fp", F.explode(midpoints(F.col("fp"), F.col("cell"))).alias("word"))
+    words = split.groupBy("cell", "word").agg(F.collect_list("fp").alias("members")).filter(F.size("members") > 1).select(F.explode(verified(F.col("members"))).alias("p"))
+    return small.unionByName(words).select("p.a", "p.b").distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
@@ -127,9 +138,15 @@ BROADCAST_IDS = 1_000_000
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each group stays: the one with the smallest id (of repeated rows of that id, one)."""
-    groups = cut(near_duplicates(docs).select("doc_id", "component_id"))
-    gone = cut(groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct())
-    kept = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, F.col("doc_id") == F.col("__gone"), "left_anti")
-    repeated = groups.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1")
-    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id"])
+    """One document of each group stays: the one with the smallest id (of repeated rows of that id, one). Rows without an id stay."""
+    return first_of_each(docs, cut(near_duplicates(docs.filter("doc_id is not null")).select("doc_id", "component_id")))
+
+
+def first_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """docs without those that groups(doc_id, component_id) put under another document; rows without an id stay."""
+    name = own_name(docs, "gone")
+    gone = cut(groups.filter("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct())
+    kept = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, F.col("doc_id") == F.col(name), "left_anti")
+    if groups.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return kept
+    return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.filter("doc_id is null"))
