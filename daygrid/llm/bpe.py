@@ -24,10 +24,24 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Entries of a worker's memories of chunks and of pieces, kept from task to task. A full memory becomes the old one, from which what is
-#: met again moves back, so frequent words stay; each holds two generations at most.
-CHUNKS = 150_000
-PIECES = 350_000
+#: Bytes (about) of a worker's memories of chunks and of pieces, kept from task to task. A full memory becomes the old one, from which
+#: what is met again moves back, so frequent words stay; each holds two generations at most. A chunk over LONG characters is not kept.
+CHUNK_BYTES = 48 << 20
+PIECE_BYTES = 48 << 20
+LONG = 256
+# Fixed values of the tokenizer library (it lowers by Unicode 17 and splits by 16): letters that Python's tables do not lower yet (first, last, lower
+# form of the first), and ranges of code points that are no letters there, whatever the installed regex module says.
+LOWER = (
+    (0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3), (0xA7D4, 0xA7D4, 0xA7D5),
+    (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x19B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB),
+)
+NOT_LETTERS = """
+0558 058B-058C 088F 0C5C 0CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 10ED9-10EEE
+11B0A 11DB0-11DDB 11DF1 16EA0-16EB8 16EBB-16ED3 16FF2-16FF3 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2
+1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4
+1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F
+""".split()
+_lower = {c: c - first + low for first, last, low in LOWER for c in range(first, last + 1)} | {ord("Σ"): "σ"}
 _odd_space = regex.compile("[\x1c-\x1f]")
 _space = regex.compile(r"[^\t-\r \x85\xa0  -     　]+")
 
@@ -69,12 +83,17 @@ class Encoder:
         letter, end, ids = byte_letters(), vocab["end"], vocab["ids"]
         self.inner = [ids.get(c) for c in letter]
         self.last = [ids.get(c + end) for c in letter]
-        self.pieces = regex.compile(vocab["split"]).findall
+        gone = "".join("-".join(f"\\U{int(x, 16):08X}" for x in r.split("-")) for r in NOT_LETTERS)
+        # \p{L} stands in a class of its own or in a larger one: there letters less those of the table, here the table's besides.
+        split = vocab["split"].replace(r"[\p{L}]", r"[\p{L}--[" + gone + "]]").replace(r"[^\s\p{L}\p{N}]", r"[[^\s\p{L}\p{N}]||[" + gone + "]]")
+        self.pieces = regex.compile(split, regex.V1).findall
         self.controls = regex.compile("(" + "|".join(map(regex.escape, sorted(vocab["added"], key=len, reverse=True))) + ")")
         self.known: dict[str, tuple[int, str, str]] = {}
         self.met: dict[str, list[int]] = {}
         self.known_before: dict[str, tuple[int, str, str]] = {}
         self.met_before: dict[str, list[int]] = {}
+        self.known_bytes = self.met_bytes = 0
+        self.control = {t: (1, str(i), t) for t, i in vocab["added"].items()}
 
     def merged(self, pieces: list[str]) -> list[list[int]]:
         """Token ids of each piece, by the pair occurrence index over all of them."""
@@ -132,23 +151,31 @@ class Encoder:
             out.append(got)
         return out
 
-    def learn(self, chunks: set[str]) -> None:
-        """Encode the chunks (runs between white space) that are not known."""
-        if len(self.known) > CHUNKS:
-            self.known_before, self.known = self.known, {}
-        if len(self.met) > PIECES:
-            self.met_before, self.met = self.met, {}
+    def learn(self, chunks: set[str]) -> dict[str, tuple[int, str, str]]:
+        """Encode the chunks (runs between white space) that are not known. Returns those too long to be kept."""
+        if self.known_bytes > CHUNK_BYTES:
+            self.known_before, self.known, self.known_bytes = self.known, {}, 0
+        if self.met_bytes > PIECE_BYTES:
+            self.met_before, self.met, self.met_bytes = self.met, {}, 0
         new = [c for c in chunks if c not in self.known]
-        self.known.update((c, self.known_before[c]) for c in new if c in self.known_before)
-        parts = {c: self.pieces(unicodedata.normalize("NFC", c).replace("Σ", "σ").lower()) for c in new if c not in self.known_before}
+        back = {c: self.known_before[c] for c in new if c in self.known_before}
+        parts = {c: self.pieces(unicodedata.normalize("NFC", c).translate(_lower).lower() if not c.isascii() else c.lower()) for c in new if c not in back}
         fresh = {p for ps in parts.values() for p in ps if p not in self.met}
-        self.met.update((p, self.met_before[p]) for p in fresh if p in self.met_before)
-        fresh = [p for p in fresh if p not in self.met_before]
-        self.met.update(zip(fresh, self.merged(fresh), strict=True))
-        tokens = self.v["tokens"]
+        moved = {p: self.met_before[p] for p in fresh if p in self.met_before}
+        fresh = [p for p in fresh if p not in moved]
+        found = moved | dict(zip(fresh, self.merged(fresh), strict=True))
+        long_pieces = {p: ids for p, ids in found.items() if len(p) > LONG}
+        short = {p: ids for p, ids in found.items() if len(p) <= LONG}
+        self.met |= short
+        self.met_bytes += sum(250 + len(p) + 16 * len(ids) for p, ids in short.items())
+        tokens, long_chunks, met = self.v["tokens"], {}, self.met
         for c, ps in parts.items():
-            ids = [i for p in ps for i in self.met[p]]
-            self.known[c] = (len(ids), " ".join(map(str, ids)), " ".join(tokens[i] for i in ids))
+            ids = [i for p in ps for i in (met[p] if p in met else long_pieces[p])]
+            (self.known if len(c) <= LONG else long_chunks)[c] = got = (len(ids), " ".join(map(str, ids)), " ".join(tokens[i] for i in ids))
+            self.known_bytes += (350 + 2 * len(c) + len(got[1]) + 2 * len(got[2])) * (len(c) <= LONG)
+        self.known |= back
+        self.known_bytes += sum(350 + 2 * len(c) + len(got[1]) + 2 * len(got[2]) for c, got in back.items())
+        return long_chunks
 
     def encode(self, texts: list[str | None]) -> Iterator[tuple[int, str, str]]:
         """Of each text: the number of tokens, the ids joined by a space, and the decoded text."""
@@ -161,12 +188,12 @@ class Encoder:
             flat = [c for cs in chunks for c in cs]
             laid.append(flat)
             need.update(flat)
-        marked = not need.isdisjoint(self.v["added"])
+        special = {t: got for t, got in self.control.items() if t in need}
         need.difference_update(self.v["added"])
-        self.learn(need)
-        known = self.known | {t: (1, str(i), t) for t, i in self.v["added"].items()} if marked else self.known
+        special |= self.learn(need)
+        known = self.known
         for flat in laid:
-            got = [known[c] for c in flat]
+            got = [special[c] if c in special else known[c] for c in flat] if special else [known[c] for c in flat]
             yield sum(g[0] for g in got), " ".join(g[1] for g in got if g[0]), " ".join(g[2] for g in got if g[0])
 
 
