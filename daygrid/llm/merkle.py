@@ -1,11 +1,14 @@
 """Document fingerprints as Merkle trees over sections, paragraphs and their pieces. DataFrame functions only.
 
 A text's sections are parted by an empty line, a section's paragraphs by a line break; a paragraph's leaves are its sentences, cut at
-64 code points. The leaves of a paragraph, end to end, are the paragraph, so the tree stands for the whole text. A leaf's hash is 12
-hex digits of MD5; a paragraph's, a section's and the root's hash cover those below. A fingerprint is the root, a colon and the
-leaf hashes in their order (' ' between leaves, ' , ' between paragraphs, ' / ' between sections): every inner hash follows from
-it. Equal roots mean equal texts; where roots differ, only branches that differ need a look (differing). Likeness is 1 for
-equal roots, else the shared part of the two trees' distinct leaves.
+64 code points. The leaves of a paragraph, end to end, are the paragraph, so the tree stands for the whole text. A leaf's hash is its
+MD5; a paragraph's, a section's and the root's hash cover the whole hashes below. A fingerprint is the root, a colon and the first 12 digits of
+the leaf hashes in their order (' ' between leaves, ' , ' between paragraphs, ' / ' between sections). Where roots differ, only branches
+that differ need a look (differing locates them by place). Likeness is 1 for equal roots, else the shared part of the two trees' distinct
+leaves, found by a walk: a branch that both trees have is shared as a whole, and only leaves under other branches are compared.
+
+Documents are put in order in ranges whose borders are quantiles of the ids themselves, so each range has a like number of documents
+whatever the ids are; the document at a border goes to both ranges, as the first of one and as the follower of the other's last.
 
 Defined results: a null text is empty; an empty text has a root over one empty paragraph and no leaves, likeness of two trees
 without leaves but other roots is 0; ties of doc_id (repeated rows) are ordered by text; a null doc_id comes first; the only
@@ -16,18 +19,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import let
+
 LEAF = 64
 HASH = 12
-#: Documents that one window puts in order, on average.
+#: Documents that one window puts in order, on average, and ranges at most: beyond them ranges grow.
 BUCKET_ROWS = 1024
+RANGES = 10_000
 
 
 def tree(text: Column) -> Column:
-    """The leaf hashes of a text in their order."""
+    """The leaf hashes of a text in their order, whole."""
 
     def paragraph(p: Column) -> Column:
         pieces = F.regexp_extract_all(F.regexp_replace(p, r"([.!?]) ", "$1 \n"), F.lit(f"[^\n]{{1,{LEAF}}}"), F.lit(0))
-        return F.array_join(F.transform(pieces, lambda x: F.substring(F.md5(x), 1, HASH)), " ")
+        return F.array_join(F.transform(pieces, F.md5), " ")
 
     def section(s: Column) -> Column:
         return F.array_join(F.transform(F.split(s, "\n"), paragraph), " , ")
@@ -35,6 +41,11 @@ def tree(text: Column) -> Column:
     return F.array_join(F.transform(F.split(text, "\n\n"), section), " / ")
 
 
+def shown(t: Column) -> Column:
+    """The tree with the first digits of each leaf's hash."""
+    return F.regexp_replace(t, f"([0-9a-f]{{{HASH}}})[0-9a-f]{{{32 - HASH}}}", "$1")
+
+
 def section_hashes(t: Column) -> Column:
     """Array of structs (hash, paragraphs: array of hashes) of a tree."""
     paragraphs = F.transform(F.split(t, " / "), lambda s: F.transform(F.split(s, " , "), lambda p: F.md5(p)))
@@ -46,14 +57,31 @@ def root(t: Column) -> Column:
 
 
 def leaves(t: Column) -> Column:
-    return F.filter(F.split(t, " "), lambda x: F.length(x) == HASH)
+    return F.filter(F.split(t, " "), lambda x: F.length(x) >= HASH)
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Of two trees, 0 to 1."""
-    both = F.array_distinct(F.concat(leaves(a), leaves(b)))
-    shared = F.size(F.array_intersect(leaves(a), leaves(b)))
-    return F.when(a == b, F.lit(1.0)).when(F.size(both) == 0, F.lit(0.0)).otherwise(shared.cast("double") / F.size(both))
+    """Of two trees, 0 to 1, by a walk from the sections down. A branch is named by its hash and what it holds."""
+    branch = lambda x: F.concat(F.md5(x), F.lit(":"), x)
+    inside = lambda x: F.substring(x, 34, 1 << 30)
+    sections = lambda t: F.transform(F.split(t, " / "), branch)
+    paragraphs = lambda s: F.flatten(F.transform(s, lambda x: F.transform(F.split(inside(x), " , "), branch)))
+    under = lambda p: F.flatten(F.transform(p, lambda x: leaves(inside(x))))
+
+    def compare(s: Column) -> Column:
+        whole, pa, pb = F.array_intersect(s["a"], s["b"]), paragraphs(F.array_except(s["a"], s["b"])), paragraphs(F.array_except(s["b"], s["a"]))
+
+        def deeper(p: Column) -> Column:
+            equal = F.array_intersect(p["a"], p["b"])
+            rest = F.array_intersect(under(F.array_except(p["a"], p["b"])), under(F.array_except(p["b"], p["a"])))
+            return F.size(F.array_distinct(F.concat(under(paragraphs(p["whole"])), under(equal), rest)))
+
+        return let(F.struct(pa.alias("a"), pb.alias("b"), whole.alias("whole")), deeper)
+
+    shared = let(F.struct(sections(a).alias("a"), sections(b).alias("b")), compare)
+    every = F.size(F.array_distinct(leaves(a))) + F.size(F.array_distinct(leaves(b)))
+    part = let(shared, lambda n: F.when(every - n > 0, n.cast("double") / (every - n)).otherwise(0.0))
+    return F.when(a == b, F.lit(1.0)).otherwise(part)
 
 
 def differing(a: Column, b: Column) -> Column:
@@ -71,28 +99,42 @@ def differing(a: Column, b: Column) -> Column:
     return F.flatten(F.filter(parts, lambda p: p.isNotNull()))
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text, tree, and next_text and next_tree of the next document by id (after the last, the first). Ids are dealt to ranges of equal
-    width, some BUCKET_ROWS documents each; each range is ordered on its own, and its last document takes the first of the next
-    range that has any."""
-    low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    width = max(1, (high - low + 1) * BUCKET_ROWS // n) if low is not None else 1
-    bucket = F.coalesce(F.expr(f"(cast(doc_id as bigint) - {low or 0}) div {width}"), F.lit(-1).cast("long"))
+def borders(docs: DataFrame, rows: int = BUCKET_ROWS) -> list[int]:
+    """Ids that part the documents into ranges of a like number: quantiles, each an id of the table."""
+    n = docs.filter("doc_id is not null").count()
+    k = max(1, min(RANGES, n // rows))
+    at = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), [i / k for i in range(1, k)] or [0.5], 20 * k)).first()[0] if n else None
+    return sorted(set(at or [])) if k > 1 else []
+
+
+def bucket_of(doc_id: Column, at: list[int]) -> Column:
+    """Number of borders that are not above the id; found in a coarse list first, then among those between two of it."""
+    if not at:
+        return F.lit(0)
+    step = max(1, int(len(at) ** 0.5))
+    fine = [at[i : i + step] for i in range(0, len(at), step)]
+    table = F.array(*[F.array(*[F.lit(x).cast("long") for x in part]) for part in fine])
+    below = lambda a: F.size(F.filter(a, lambda x: x <= doc_id))
+    coarse = below(F.array(*[F.lit(part[0]).cast("long") for part in fine]))
+    return F.when(doc_id.isNull() | (coarse == 0), 0).otherwise((coarse - 1) * step + below(F.get(table, coarse - 1)))
+
+
+def with_next(docs: DataFrame, rows: int = BUCKET_ROWS) -> DataFrame:
+    """doc_id, text, root, tree (shown), and next_text and next_tree of the next document by id (after the last, the first)."""
+    at = borders(docs, rows)
+    doc_id = F.col("doc_id").cast("long")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select("doc_id", text.alias("text"), bucket.alias("bucket")).withColumn("tree", tree(F.col("text")))
-    order = Window.partitionBy("bucket").orderBy("doc_id", "text")
-    # Plain columns, not a struct of them: a struct would be built before the exchange and shuffle each text twice. The three parts
-    # read the same columns, so they share the exchange.
-    placed = rows.withColumn("next_text", F.lead("text").over(order)).withColumn("next_tree", F.lead("tree").over(order)).withColumn("before", F.lag("bucket").over(order))
-    inner = placed.filter(F.col("next_text").isNotNull()).select("doc_id", "text", "tree", "next_text", "next_tree")
-    lasts = placed.filter(F.col("next_text").isNull()).select("doc_id", "text", "tree", "bucket")
-    heads = placed.filter("before is null").select(F.col("bucket").alias("following"), F.col("text").alias("next_text"), F.col("tree").alias("next_tree"))
-    # Bucket numbers only: about one row per BUCKET_ROWS documents.
-    used = docs.select(bucket.alias("bucket")).distinct()
-    turn = Window.orderBy("bucket")
-    everything = turn.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    follow = used.select("bucket", F.coalesce(F.lead("bucket").over(turn), F.first("bucket").over(everything)).alias("following"))
-    return inner.unionByName(lasts.join(follow, "bucket").join(heads, "following").select("doc_id", "text", "tree", "next_text", "next_tree"))
+    own = docs.select("doc_id", text.alias("text"), bucket_of(doc_id, at).alias("own"))
+    # The first document of a range follows the last of the range before, the first of all that of the last range.
+    low = docs.agg(F.min(doc_id), F.count_if(F.col("doc_id").isNull())).first()
+    first = F.col("doc_id").isNull() if low[1] else F.col("doc_id") == F.lit(low[0])
+    starts = F.when(first, len(at)).when(F.col("doc_id").cast("long").isin(at) if at else F.lit(False), F.col("own") - 1)
+    put = F.array_compact(F.array(F.struct(F.col("own").alias("bucket"), F.lit(0).alias("guest")), F.when(starts.isNotNull(), F.struct(starts.alias("bucket"), F.lit(1).alias("guest")))))
+    hashed = own.withColumn("full", tree(F.col("text"))).select("doc_id", "text", root(F.col("full")).alias("root"), shown(F.col("full")).alias("tree"), "own")
+    rows_ = hashed.withColumn("at", F.explode(put)).select("doc_id", "text", "root", "tree", "at.bucket", "at.guest")
+    order = Window.partitionBy("bucket").orderBy("guest", "doc_id", "text")
+    placed = rows_.withColumn("next_text", F.lead("text").over(order)).withColumn("next_tree", F.lead("tree").over(order))
+    return placed.filter("guest = 0").select("doc_id", "text", "root", "tree", "next_text", "next_tree")
 
 
 def fingerprinted(docs: DataFrame) -> DataFrame:
@@ -101,14 +143,13 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
     k = F.floor(n / 4).cast("int")
     df = with_next(docs)
     df = df.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - k), F.substring(F.col("next_text"), F.lit(1), k)))
-    df = df.withColumn("edited_tree", tree(F.col("edited")))
-    finger = lambda t: F.concat(root(t), F.lit(":"), t)
+    df = df.withColumn("full", tree(F.col("edited"))).withColumn("edited_tree", shown(F.col("full")))
     return df.select(
         "doc_id",
         n.cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
-        finger(F.col("tree")).alias("fingerprint"),
-        finger(F.col("edited_tree")).alias("edited_fingerprint"),
+        F.concat("root", F.lit(":"), "tree").alias("fingerprint"),
+        F.concat(root(F.col("full")), F.lit(":"), F.col("edited_tree")).alias("edited_fingerprint"),
         likeness(F.col("tree"), F.col("edited_tree")).alias("near_edited"),
         likeness(F.col("tree"), F.col("next_tree")).alias("near_next"),
     )
@@ -118,8 +159,9 @@ SQL = f"""
 with d as (select doc_id, coalesce(text, '') as text, lead(coalesce(text, '')) over (order by doc_id, text) as nx from documents),
 e as (select doc_id, text, coalesce(nx, (select text from d order by doc_id, text limit 1)) as nx, length(text) as n from d),
 f as (select *, left(text, n - n // 4) || left(nx, n // 4) as edited from e),
-g as (select *, {{tree_text}} as tree, {{tree_edited}} as edited_tree, {{tree_nx}} as next_tree from f),
-h as (select *, {{root_tree}} as r, {{root_edited_tree}} as er,
+w as (select *, {{tree_text}} as full_tree, {{tree_edited}} as full_edited, {{tree_nx}} as full_next from f),
+g as (select *, {{short_full_tree}} as tree, {{short_full_edited}} as edited_tree, {{short_full_next}} as next_tree from w),
+h as (select *, {{root_full_tree}} as r, {{root_full_edited}} as er,
   list_filter(string_split(tree, ' '), lambda x: length(x) = {HASH}) as l, list_filter(string_split(edited_tree, ' '), lambda x: length(x) = {HASH}) as el,
   list_filter(string_split(next_tree, ' '), lambda x: length(x) = {HASH}) as nl from g)
 select doc_id, cast(n as bigint) as n_chars, sha256(edited) as edited_sha256, r || ':' || tree as fingerprint, er || ':' || edited_tree as edited_fingerprint,
@@ -133,10 +175,14 @@ from h
 
 def oracle() -> str:
     def tree_sql(c: str) -> str:
-        leaf = f"list_transform(regexp_extract_all(regexp_replace(p, '([.!?]) ', '\\1 ' || chr(10), 'g'), '[^\\n]{{1,{LEAF}}}'), lambda y: substr(md5(y), 1, {HASH}))"
+        leaf = f"list_transform(regexp_extract_all(regexp_replace(p, '([.!?]) ', '\\1 ' || chr(10), 'g'), '[^\\n]{{1,{LEAF}}}'), lambda y: md5(y))"
         return f"array_to_string(list_transform(string_split({c}, chr(10) || chr(10)), lambda s: array_to_string(list_transform(string_split(s, chr(10)), lambda p: array_to_string({leaf}, ' ')), ' , ')), ' / ')"
 
     def root_sql(c: str) -> str:
         return f"sha256(array_to_string(list_transform(string_split({c}, ' / '), lambda s: md5(array_to_string(list_transform(string_split(s, ' , '), lambda p: md5(p)), ''))), ''))"
 
-    return SQL.format(tree_text=tree_sql("text"), tree_edited=tree_sql("edited"), tree_nx=tree_sql("nx"), root_tree=root_sql("tree"), root_edited_tree=root_sql("edited_tree"))
+    def short_sql(c: str) -> str:
+        return f"regexp_replace({c}, '([0-9a-f]{{{HASH}}})[0-9a-f]{{{32 - HASH}}}', '\\1', 'g')"
+
+    trees = {f"tree_{c}": tree_sql(c) for c in ("text", "edited", "nx")}
+    return SQL.format(**trees, **{f"short_{c}": short_sql(c) for c in ("full_tree", "full_edited", "full_next")}, root_full_tree=root_sql("full_tree"), root_full_edited=root_sql("full_edited"))

@@ -174,6 +174,15 @@ def test_bpe_equals_library(spark):
         ids = lib.encode(t or "", add_special_tokens=False).ids
         assert (r["n_tokens"], r["ids"]) == (len(ids), " ".join(map(str, ids)))
         assert r["decoded"] == lib.decode(ids, skip_special_tokens=False)
+    every, enc = [f"a{chr(c)}b" for c in range(0x34000) if not 0xD800 <= c < 0xE000], bpe.Encoder(bpe.vocabulary())
+    for i in range(0, len(every), 4000):
+        want = [" ".join(map(str, e.ids)) for e in lib.encode_batch(every[i : i + 4000], add_special_tokens=False)]
+        assert [g[1] for g in enc.encode(every[i : i + 4000])] == want
+    small = bpe.Encoder(bpe.vocabulary())
+    for c in range(40):  # memories that overflow all the time, chunks too long to keep
+        small.known_bytes = small.met_bytes = 1 << 40
+        t = [lorem(c, 50), "x" * 300 + "é" * 300, "plain<|endoftext|>text", ""]
+        assert [g[1] for g in small.encode(t)] == [" ".join(map(str, e.ids)) for e in lib.encode_batch(t, add_special_tokens=False)]
     d = bpe.digests(docs_of(spark, [(1, "a b", None, None)])).first()
     assert d["decoded_sha256"] == hashlib.sha256(lib.decode(lib.encode("a b", add_special_tokens=False).ids, skip_special_tokens=False).encode()).hexdigest()
     assert bpe.digests(docs_of(spark, [])).collect() == []
@@ -191,6 +200,14 @@ def test_merkle(spark):
     a, b = "A b.\nC d.\n\nE f.", "A b.\nC x.\n\nE f."
     where = spark.createDataFrame([(a, b)], "a string, b string").select(merkle.tree(F.col("a")).alias("a"), merkle.tree(F.col("b")).alias("b")).select(merkle.differing(F.col("a"), F.col("b")).alias("d")).first()["d"]
     assert [tuple(x) for x in where] == [(0, 1)]
+    far = [(-(1 << 63), "low a. b"), ((1 << 63) - 1, "high c. d"), (None, "null"), *((i, f"t{i}. x") for i in range(3000)), (10**15, "out"), (5, "again"), (5, "again")]
+    got = merkle.with_next(docs_of(spark, [(i, t, "", "") for i, t in far]), 64).select("doc_id", "text", "next_text").collect()
+    line = [t for _, t in sorted(far, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))]
+    order = sorted(((r["doc_id"] is not None, r["doc_id"] or 0, r["text"], r["next_text"]) for r in got), key=lambda r: r[:3])
+    assert len(got) == len(far) and sorted(zip(line, line[1:] + line[:1], strict=True)) == sorted(r[2:] for r in order)
+    at = merkle.borders(docs_of(spark, [(i, "", "", "") for i, _ in far]), 64)
+    sizes = Counter(sum(b <= (i if i is not None else -(1 << 63) - 1) for b in at) for i, _ in far)
+    assert len(at) > 40 and max(sizes.values()) < 200
     many = [(i * 37 % 5000, lorem(i, 30), "", "") for i in range(5000)]
     near = merkle.with_next(docs_of(spark, many)).select("doc_id", "text", "next_text").collect()
     by = {r["doc_id"]: r["text"] for r in near}
