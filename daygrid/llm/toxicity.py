@@ -1,10 +1,10 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Words become symbols: insult, threat, target, negation, reported speech, clause end, other. Insults and their stems carry
+Words become symbols: insult, threat, target, negation (a word that ends in n't is one), reported speech, clause end, other. Insults and their stems carry
 weights learned from labelled documents (log-odds of document frequencies, lowered by their standard error); the other lists are
 fixed. Five small transducers (insult, threat, target, negation, report) are composed into one automaton whose states are the
 reachable products; each insult or threat of a clause leaves with the weight that the composed state gives it: negated and reported
-ones count less, those aimed at a target more. A document's score is a logistic function of its clause weights.
+ones count less, those aimed at a target more; a threat counts once it has a target or an insult beside it. A document's score is a logistic function of its clause weights.
 
 The grammar is fitted on a bounded sample of labelled rows whose crc32(doc_id) mod 5 is not 0: the sample_rows lowest by crc32.
 
@@ -24,22 +24,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import fold, own_name
 
 SAMPLE_ROWS = 20_000
-MAX_TERMS = 20_000
 ERRORS = 2.0
 STEM_LENGTHS = (4, 5, 6, 7, 8)
 
 # Closed word lists of the grammar.
 THREATS = frozenset("kill hurt destroy shoot stab beat burn töten umbringen schlagen verletzen tuer frapper matar golpear".split())
 TARGETS = frozenset("you your yourself they them he she him her du dich dir ihr sie er tu toi vous il ils elles tú usted ustedes ellos".split())
-NEGATIONS = frozenset("not no never neither nor isn't nicht kein keine nie ne pas jamais ni nunca tampoco".split())
+NEGATIONS = frozenset("not no never neither nor nicht kein keine nie ne pas jamais ni nunca tampoco".split())
 REPORTS = frozenset("said says say claimed wrote quoted reported sagte sagt schrieb meinte dit disait écrit dijo dice escribió".split())
 NEGATION_SPAN = 3
 FACTORS = {"negated": 0.4, "reported": 0.6, "aimed": 1.3, "threat": 2.0}
 
-_tokens = re.compile(r"[^\W\d_]+|[.!?;\n]").findall
+_tokens = re.compile(r"[^\W\d_]+(?:(?<=n)['’]t(?![^\W\d_]))?|[.!?;\n]").findall
 
 
 def transducers() -> dict[str, dict]:
@@ -62,13 +61,14 @@ def composed() -> tuple[dict, list[dict]]:
             if to not in number:
                 number[to] = len(order)
                 order.append(to)
-            factor = 0.0
-            if s in "IT":
-                factor = FACTORS["threat"] if s == "T" and not now["target"] and not now["insult"] else 1.0
-                factor *= FACTORS["negated"] if now["negation"] else 1.0
-                factor *= FACTORS["reported"] if now["report"] else 1.0
-                factor *= FACTORS["aimed"] if now["target"] else 1.0
-                factor = 0.0 if s == "T" and not now["target"] and not now["insult"] else factor
+            weight = (FACTORS["negated"] if now["negation"] else 1.0) * (FACTORS["reported"] if now["report"] else 1.0)
+            factor, alone = 0.0, not now["target"] and not now["insult"]
+            if s == "I":
+                factor = weight * (FACTORS["aimed"] if now["target"] else 1.0)
+            elif s == "T" and not alone:
+                factor = weight * FACTORS["threat"] * (FACTORS["aimed"] if now["target"] else 1.0)
+            elif s == "Y" and alone and now["threat"]:  # the threat has its target now
+                factor = weight * FACTORS["threat"] * FACTORS["aimed"]
             elif s == "Y" and now["insult"] and not now["target"]:
                 factor = FACTORS["aimed"] - 1.0  # a target after its insult
             arcs[number[state], s] = (number[to], factor)
@@ -98,7 +98,7 @@ class Grammar:
             if len(self.memo) > 200_000:
                 self.memo.clear()
             best = max(((weight(*self.terms[t], *self.n), t) for t in terms(word) if t in self.terms), default=(0.0, None))
-            kind = "." if word in ".!?;\n" else "N" if word in NEGATIONS else "R" if word in REPORTS else "T" if word in THREATS else "Y" if word in TARGETS else "I" if best[0] > 0 else "o"
+            kind = "." if word in ".!?;\n" else "N" if word in NEGATIONS or word.endswith(("n't", "n’t")) else "R" if word in REPORTS else "T" if word in THREATS else "Y" if word in TARGETS else "I" if best[0] > 0 else "o"
             got = self.memo[word] = (kind, best[1], best[0] if kind == "I" else 1.0)
         return got
 
@@ -110,7 +110,7 @@ class Grammar:
         toks = [symbol(w) for w in _tokens((text or "").lower())]
         if not any(t[0] in "IT" for t in toks):
             return [], 0, len(toks)
-        last = 0.0
+        last, named = 0.0, ""
         for kind, term, w in toks:
             if kind == "o" and state == 0:
                 continue
@@ -118,14 +118,12 @@ class Grammar:
                 tox, clean = self.terms[term]
                 w = weight(tox - own, clean - (1 - own), self.n[0] - own, self.n[1] - (1 - own))
             state, factor = arcs[state, kind]
+            if kind in "IT":
+                last, named = w, term or "threat"
             if factor:
-                if kind == "Y":
-                    acc += factor * last
-                else:
-                    acc += factor * w
-                    last = w
-                    if w > 0:
-                        matched.add(term or "threat")
+                acc += factor * last
+                if last > 0:
+                    matched.add(named)
             if kind == "." and acc:
                 found.append(acc)
                 acc = 0.0
@@ -137,7 +135,7 @@ class Grammar:
         c, kinds, n = self.clauses(text, own)
         total, most = sum(c), max(c, default=0.0)
         rate = 100.0 * total / max(n, 20)
-        return [1.0, np.log1p(total), np.log1p(most), np.log1p(rate), np.log1p(kinds), min(len(c), 50) / 10.0, np.log1p(total) * np.log1p(n) / 10.0]
+        return [1.0, np.log1p(total), np.log1p(most), np.log1p(rate), np.log1p(kinds), np.log1p(len(c)), np.log1p(total) * np.log1p(n) / 10.0]
 
     def score(self, text: str | None) -> float:
         if self.beta is None:
@@ -187,7 +185,7 @@ def trained(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
     # One clean document less: the terms that a clean document meets while its own share is taken out must be there as well.
     others = F.greatest(F.col("clean") - 1, F.lit(0)) + 0.5
     found = found.filter(F.col("toxic") >= 3).withColumn("gain", F.log((F.col("toxic") + 0.5) / (n[0] + 1)) - F.log(others / (n[1] + 1)) - ERRORS * F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / others))
-    fitted["terms"] = {r["term"]: (r["toxic"], r["clean"]) for r in found.filter("gain > 0.5").orderBy(F.desc("gain"), "term").limit(MAX_TERMS).collect()}
+    fitted["terms"] = {r["term"]: (r["toxic"], r["clean"]) for r in found.filter("gain > 0.5").collect()}  # terms of the bounded sample
     known = docs.sparkSession.sparkContext.broadcast(fitted)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,5 +222,5 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that score below 0.5."""
-    of = scorer(docs.sparkSession, trained(docs, labels))
-    return docs.withColumn("__toxic", of(F.col("text").cast("string"))).filter("__toxic < 0.5").drop("__toxic")
+    of, name = scorer(docs.sparkSession, trained(docs, labels)), own_name(docs, "toxic")
+    return docs.withColumn(name, of(F.col("text").cast("string"))).filter(F.col(name) < 0.5).drop(name)
