@@ -2,8 +2,12 @@
 
 Two histograms of each document, character classes and common words, are compared with those of each language (sums over all
 documents of that language) by Jensen-Shannon distance, 0 to 1; the nearest language counts, so the language column is not
-trusted for the document itself. A document fails if its character classes are further than class_limit, or, when it has
-min_words words, its common words further than word_limit. Shorter documents are guarded: their word histogram is too thin to judge.
+trusted for the document itself. A language's common words are its COMMON most frequent ones over the whole corpus. How far a document may
+lie depends on its nearest language and its length, as short texts scatter more: the limit of a language and length class (powers of two of
+words) is the median distance of its documents that pass the base rules plus CLASS_SPREADS or WORD_SPREADS times the distance from the median down to the 16 %
+quantile. The lower half sets the limit, so junk, which lies above, does not widen it. A class with fewer than MIN_CLASS such documents takes
+the limit of all languages in that length, and none if these are too few as well. The word histogram of documents below min_words words is
+too thin to judge; they are guarded from it.
 
 Repeated words: 3-word windows are hashed (64 bits), sorted with their places, and the places of hashes found more than once are
 merged into covered words, all inside a row.
@@ -14,25 +18,20 @@ are ignored."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, let, words
 
 MIN_WORDS = 50
 WINDOW = 3
-CLASS_LIMIT = 0.29
-WORD_LIMIT = 0.5
-#: Languages that serve as references, by number of documents.
-MAX_LANGUAGES = 200
-
-# Common words of four languages, joined in one list of bins.
-COMMON = (
-    "the of and to a in that is was for with on are it this be by as at from "
-    "der die und den von zu das mit sich nicht ein eine auf "
-    "de la le et les des en un du une que qui pour "
-    "el y los se del las por para no una"
-).split()
+COMMON = 32
+#: Character classes of sound texts have a longer upper tail (lists, names, numbers) than their common words.
+CLASS_SPREADS, WORD_SPREADS = 20.0, 5.0
+MIN_CLASS = 50
+
 #: Character classes; what none of them holds is the last bin.
 CLASSES = {"upper": "[A-Z]+", "digit": "[0-9]+", "mark": r"[.,;:!?'\"()\-]+", "symbol": r"[#*$%&|<>]+", "wide": r"[^\x00-\x7F]+"}
 
@@ -60,16 +59,35 @@ def repeated(w: Column) -> Column:
     return F.when(F.size(w) < WINDOW, F.lit(0)).otherwise(let(hashes, of))
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, the base counts, and the histograms classes and commons."""
+def prepared(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), text.alias("text"))
+    return docs.select("doc_id", F.col("lang").cast("string").alias("lang"), text.alias("text"))
+
+
+def common_words(docs: DataFrame, n: int = COMMON) -> DataFrame:
+    """lang, word: the n words of each language that stand in most of its documents. Tasks count first; the window keeps n a language and task."""
+    own = prepared(docs).filter("lang is not null").select("lang", F.explode(F.array_distinct(F.transform(words(F.col("text")), F.lower))).alias("word"))
+    counts = own.groupBy("lang", "word").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    return counts.withColumn("place", place).filter(F.col("place") <= n).select("lang", "word")
+
+
+def features(docs: DataFrame, common: list[str]) -> DataFrame:
+    """doc_id, lang, the base counts, the histogram of character classes, and of the common words those that the text has, as (word's number,
+    times). A common word becomes one code point, so its bin is counted in a string of codes and not in the text."""
+    rows = prepared(docs)
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    codes = {w: chr(0x4E00 + i) if i < 20_000 else chr(0x20000 + i - 20_000) for i, w in enumerate(common)}
+    known = F.create_map(*[F.lit(x) for pair in codes.items() for x in pair]) if codes else None
 
     def of(w: Column) -> Column:
-        common = F.filter(F.transform(w, F.lower), lambda x: x.isin(COMMON))
-        spaced = F.concat(F.lit(" "), F.array_join(common, "  "), F.lit(" "))
-        bins = let(spaced, lambda s: F.array(*[((F.length(s) - F.length(F.replace(s, F.lit(f" {c} "), F.lit("")))) / (len(c) + 2)).cast("int") for c in COMMON]))
+        none = F.array().cast("array<struct<word:int,times:int>>")
+        bins = none
+        if codes:
+            coded = F.array_join(F.transform(F.filter(F.transform(w, F.lower), lambda x: x.isin(list(codes))), lambda x: F.element_at(known, x)), "")
+            times = lambda s, c: F.length(s) - F.length(F.replace(s, F.lit(c), F.lit("")))
+            met = lambda s: F.filter(F.array(*[F.struct(F.lit(i).alias("word"), times(s, c).alias("times")) for i, c in enumerate(codes.values())]), lambda b: b["times"] > 0)
+            bins = let(coded, met)
         return F.struct(F.size(w).alias("n_words"), F.length(F.array_join(w, "")).alias("word_chars"), repeated(w).alias("n_repeat_words"), bins.alias("bins"))
 
     rows = rows.select(
@@ -89,48 +107,96 @@ def features(docs: DataFrame) -> DataFrame:
         F.col("n_dup_lines").cast("long").alias("n_dup_lines"),
         F.col("w.n_repeat_words").cast("long").alias("n_repeat_words"),
         F.concat("c", F.array(F.col("n") - F.col("w.word_chars"), F.col("w.word_chars") - total(F.col("c")))).alias("classes"),
-        F.concat(F.col("w.bins"), F.array(F.col("w.n_words") - total(F.col("w.bins")))).alias("commons"),
+        F.col("w.bins").alias("commons"),
     )
 
 
-def references(rows: DataFrame, max_languages: int = MAX_LANGUAGES) -> list[tuple[list[float], list[float]]]:
-    """Shares of the bins in each language: a few hundred small rows at most."""
-    n = {"classes": len(CLASSES) + 2, "commons": len(COMMON) + 1}
-    sums = [F.sum(F.get(c, F.lit(i)).cast("long")).alias(f"{c}_{i}") for c in n for i in range(n[c])]
-    top = rows.filter("lang is not null").groupBy("lang").agg(F.count("*").alias("docs"), *sums).orderBy(F.desc("docs"), "lang").limit(max_languages)
+def references(rows: DataFrame, common: list[tuple[str, str]], bins: list[str]) -> list[dict]:
+    """Of each language: shares of the character classes, and of its common words by their number in bins (0 for others' words).
+    One row per language and bin."""
+    n = len(CLASSES) + 2
+    sums = rows.filter("lang is not null").groupBy("lang").agg(F.sum("n_words").alias("words"), *[F.sum(F.get("classes", F.lit(i)).cast("long")).alias(f"c{i}") for i in range(n)])
+    times = rows.filter("lang is not null").select("lang", F.explode("commons").alias("b")).groupBy("lang", "b.word").agg(F.sum("b.times").alias("times"))
+    met = {(r["lang"], r["word"]): r["times"] for r in times.collect()}
+    own = {lang: {bins.index(w) for of, w in common if of == lang} for lang in {of for of, _ in common}}
     out = []
-    for row in sorted(top.collect(), key=lambda r: r["lang"]):
-        pair = [[row[f"{c}_{i}"] for i in range(n[c])] for c in n]
-        if all(map(sum, pair)):
-            out.append(tuple([x / sum(v) for x in v] for v in pair))
+    for r in sorted(sums.collect(), key=lambda r: r["lang"]):
+        chars = [r[f"c{i}"] for i in range(n)]
+        if sum(chars) and r["words"]:
+            shares = [met.get((r["lang"], i), 0) / r["words"] if i in own.get(r["lang"], ()) else 0.0 for i in range(len(bins))]
+            out.append({"lang": r["lang"], "classes": [x / sum(chars) for x in chars], "commons": shares})
     return out
 
 
-def distance(counts: Column, shares: list[float]) -> Column:
-    """Jensen-Shannon distance, base 2, of a histogram from reference shares."""
+def _term(p: Column, q: Column) -> Column:
+    m = (p + q) / 2
+    return F.when(p > 0, p * F.log2(p / m)).otherwise(0.0) + F.when(q > 0, q * F.log2(q / m)).otherwise(0.0)
+
+
+def distance(counts: Column, shares: Column) -> Column:
+    """Jensen-Shannon distance, base 2, of a histogram from reference shares (both arrays)."""
     total = F.aggregate(counts, F.lit(0.0), lambda acc, x: acc + x.cast("double"))
+    divergence = let(total, lambda n: F.aggregate(F.zip_with(counts, shares, lambda x, q: _term(x.cast("double") / n, q)), F.lit(0.0), lambda acc, x: acc + x)) / 2
+    return F.when(total > 0, F.sqrt(F.greatest(divergence, F.lit(0.0)))).otherwise(F.lit(1.0))
 
-    def parts(n: Column) -> Column:
-        def part(x: Column, q: Column) -> Column:
-            p = x.cast("double") / n
-            m = (p + q) / 2
-            return F.when(p > 0, p * F.log2(p / m)).otherwise(0.0) + F.when(q > 0, q * F.log2(q / m)).otherwise(0.0)
 
-        return F.zip_with(counts, F.array(*[F.lit(s) for s in shares]), part)
+def word_distance(bins: Column, n_words: Column, shares: Column) -> Column:
+    """The same for common words given as (number, times): words that are not the language's share one bin, and a common word that the text
+    lacks adds half its share."""
+    n = n_words.cast("double")
+    own = F.filter(F.transform(bins, lambda b: F.struct((b["times"] / n).alias("p"), F.get(shares, b["word"]).alias("q"))), lambda x: x["q"] > 0)
 
-    divergence = F.aggregate(let(total, parts), F.lit(0.0), lambda acc, x: acc + x) / 2
-    return F.when(total > 0, F.sqrt(F.greatest(divergence, F.lit(0.0)))).otherwise(F.lit(1.0))
+    def of(x: Column) -> Column:
+        add = lambda f: F.aggregate(F.transform(x, f), F.lit(0.0), lambda acc, v: acc + v)
+        p, q = add(lambda v: v["p"]), add(lambda v: v["q"])
+        every = F.aggregate(shares, F.lit(0.0), lambda acc, v: acc + v)
+        rest = _term(F.greatest(1.0 - p, F.lit(0.0)), F.greatest(1.0 - every, F.lit(0.0)))
+        return F.sqrt(F.greatest((add(lambda v: _term(v["p"], v["q"])) + (every - q) + rest) / 2, F.lit(0.0)))
+
+    return F.when(n > 0, let(own, of)).otherwise(F.lit(1.0))
+
+
+def nearest(refs: list[dict]) -> tuple[Column, Column]:
+    """Structs (distance, lang) of the nearest language by character classes and by common words."""
+    every = F.from_json(F.lit(json.dumps(refs)), "array<struct<lang:string,classes:array<double>,commons:array<double>>>")
+    least = lambda f: F.array_min(F.transform(every, lambda r: F.struct(f(r).alias("distance"), r["lang"].alias("lang"))))
+    return least(lambda r: distance(F.col("classes"), r["classes"])), least(lambda r: word_distance(F.col("commons"), F.col("n_words"), r["commons"]))
+
+
+def limits(rows: DataFrame, name: str, spreads: float) -> dict[tuple[str | None, int], float]:
+    """The limit of each language (None: of all) and length class. One row per language and power of two."""
+    q = F.percentile_approx(F.col(f"{name}.distance"), [0.1587, 0.5], 10_000)
+    got = rows.groupBy("length", F.col(f"{name}.lang").alias("lang")).agg(F.count("*").alias("n"), q.alias("q")).collect()
+    every = rows.groupBy("length").agg(F.count("*").alias("n"), q.alias("q")).collect()
+    keys = [((r["lang"], r["length"]), r) for r in got] + [((None, r["length"]), r) for r in every]
+    return {k: r["q"][1] + spreads * (r["q"][1] - r["q"][0]) for k, r in keys if r["n"] >= MIN_CLASS}
+
+
+def within(name: str, limit: dict[tuple[str | None, int], float]) -> Column:
+    """Whether the distance is within the limit of its class."""
+    if not limit:
+        return F.lit(True)
+    table = F.from_json(F.lit(json.dumps({f"{length} {lang or ''}": x for (lang, length), x in limit.items()})), "map<string,double>")
+    own, every = F.concat_ws(" ", "length", f"{name}.lang"), F.concat(F.col("length").cast("string"), F.lit(" "))
+    return F.col(f"{name}.distance") <= F.coalesce(F.try_element_at(table, own), F.try_element_at(table, every), F.lit(1.0))
 
 
-def judged(docs: DataFrame, class_limit: float = CLASS_LIMIT, word_limit: float = WORD_LIMIT, min_words: int = 2 * MIN_WORDS) -> DataFrame:
+def judged(docs: DataFrame, class_spreads: float = CLASS_SPREADS, word_spreads: float = WORD_SPREADS, min_words: int = 2 * MIN_WORDS) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, class_distance, word_distance."""
-    rows = cut(features(docs))
-    refs = references(rows)
-    nearest = lambda c, k: F.least(*[distance(F.col(c), r[k]) for r in refs], F.lit(1.0)) if refs else F.lit(0.0)
+    common = sorted((r["lang"], r["word"]) for r in common_words(docs).collect())
+    bins = sorted({w for _, w in common})
+    rows = cut(features(docs, bins))
+    refs = references(rows, common, bins)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    rows = rows.withColumn("class_distance", nearest("classes", 0)).withColumn("word_distance", nearest("commons", 1))
-    verdict = (F.col("class_distance") <= class_limit) & ((F.col("n_words") < min_words) | (F.col("word_distance") <= word_limit))
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & verdict).alias("kept"), "class_distance", "word_distance")
+    base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    if not refs:
+        return rows.select(*base, failed.alias("base_failed"), (~failed).alias("kept"), F.lit(None).cast("double").alias("class_distance"), F.lit(None).cast("double").alias("word_distance"))
+    by_class, by_word = nearest(refs)
+    length = F.floor(F.log2(F.greatest(F.col("n_words"), F.lit(1)))).cast("int")
+    rows = cut(rows.select(*base, failed.alias("base_failed"), length.alias("length"), by_class.alias("class"), by_word.alias("word")))
+    good = rows.filter("not base_failed")
+    verdict = within("class", limits(good, "class", class_spreads)) & ((F.col("n_words") < min_words) | within("word", limits(good, "word", word_spreads)))
+    return rows.select(*base, "base_failed", (~F.col("base_failed") & verdict).alias("kept"), F.col("class.distance").alias("class_distance"), F.col("word.distance").alias("word_distance"))
 
 
 #: Base rules in SQL, for tests and the oracle of those columns.

@@ -314,6 +314,32 @@ def test_toxicity_grammar():
     assert weight("you zork.") > weight("a zork.") > weight("not a zork.") > 0
     assert weight("he said a zork.") < weight("a zork.") and weight("a fine day.") == 0
     assert weight("kill.") == 0 < weight("i will kill you zork.")
+    assert weight("kill you.") == weight("you kill.") == 2 * 1.3 > weight("i don't kill you.") > 0 and weight("i don’t kill you.") == weight("i don't kill you.")
+    assert weight("it isn't zork.") == pytest.approx(0.4 * weight("it was zork."))
+
+
+def test_toxicity_clauses_by_brute_force():
+    rng, kinds = np.random.default_rng(22), {"zork": "I", "kill": "T", "you": "Y", "not": "N", "said": "R", ".": ".", "tree": "o", "can't": "N"}
+    g = toxicity.Grammar({"terms": {"zork": (50, 0)}, "n": (100, 100)})
+    insult = g.symbol("zork")[2]
+    for _ in range(500):
+        text = [str(w) for w in rng.choice(list(kinds), int(rng.integers(1, 25)))]
+        want, acc, seen, quiet, last = [], 0.0, set(), 0, 0.0
+        for w in [*text, "."]:
+            k = kinds[w]
+            scale = (0.4 if quiet else 1.0) * (0.6 if "R" in seen else 1.0)
+            if k == "I":
+                acc, last = acc + insult * scale * (1.3 if "Y" in seen else 1.0), insult
+            elif k == "T":
+                acc, last = acc + (scale * 2.0 * (1.3 if "Y" in seen else 1.0) if seen & {"I", "Y"} else 0.0), 1.0
+            elif k == "Y" and "Y" not in seen:
+                acc += 0.3 * last if "I" in seen else scale * 2.6 if "T" in seen else 0.0
+            quiet = 3 if k == "N" else max(0, quiet - 1)
+            seen.add(k)
+            if k == ".":
+                want += [acc] if acc else []
+                acc, seen, quiet = 0.0, set(), 0
+        assert g.clauses(" ".join(text))[0] == pytest.approx(want)
 
 
 def test_quality_rules_by_brute_force(spark):
@@ -331,13 +357,69 @@ def test_quality_rules_by_brute_force(spark):
     assert quality_rules.judged(docs_of(spark, [])).collect() == []
 
 
+def js(p, q):
+    p, q = np.asarray(p, float), np.asarray(q, float)
+    m = (p + q) / 2
+    kl = lambda x: sum(u * np.log2(u / v) for u, v in zip(x, m, strict=True) if u > 0)
+    return np.sqrt(max(kl(p) + kl(q), 0) / 2)
+
+
+def test_quality_verdict_by_brute_force(spark):
+    rng = np.random.default_rng(21)
+    common = {"aa": "the of and in to".split(), "bb": "der die und das zu".split()}
+    rows = []
+    for i in range(700):
+        lang = "aa" if i % 2 else "bb"
+        ws = [str(rng.choice(common[lang])) if rng.random() < 0.3 else f"{lang}{int(rng.integers(3000))}" for _ in range(int(rng.integers(40, 500)))]
+        if i % 50 == 7:
+            ws = [w for w in ws if w not in common[lang]] * 3 if i % 100 == 7 else [w + "#$%" for w in ws]
+        rows.append((i, " ".join(ws), lang, "s"))
+    df = docs_of(spark, rows)
+    got = {r["doc_id"]: r for r in quality_rules.judged(df).collect()}
+    bags, classes, n = {}, {}, {}
+    for i, t, _, _ in rows:
+        ws = t.lower().split()
+        bags[i], n[i] = Counter(ws), len(ws)
+        up, dig = sum("A" <= c <= "Z" for c in t), sum(c.isdigit() for c in t)
+        mark, sym = sum(c in ".,;:!?'\"()-" for c in t), sum(c in "#*$%&|<>" for c in t)
+        gap = len(t) - sum(map(len, t.split()))
+        classes[i] = [up, dig, mark, sym, 0, gap, len(t) - up - dig - mark - sym - gap]
+    refs = {}
+    for lang in common:
+        ids = [i for i, _, of, _ in rows if of == lang]
+        df_ = Counter(w for i in ids for w in bags[i])
+        top = [w for w, _ in sorted(df_.items(), key=lambda x: (-x[1], x[0]))[: quality_rules.COMMON]]
+        words = sum(n[i] for i in ids)
+        shares = [sum(bags[i][w] for i in ids) / words for w in top]
+        chars = np.sum([classes[i] for i in ids], axis=0)
+        refs[lang] = (top, [*shares, 1 - sum(shares)], chars / chars.sum())
+    near = {}
+    for i in n:
+        w = min((js([*(x := [bags[i][v] / n[i] for v in top]), 1 - sum(x)], q), lang) for lang, (top, q, _) in refs.items())
+        c = min((js(np.array(classes[i]) / sum(classes[i]), q), lang) for lang, (_, _, q) in refs.items())
+        near[i] = (c, w)
+        assert got[i]["word_distance"] == pytest.approx(w[0], abs=1e-6) and got[i]["class_distance"] == pytest.approx(c[0], abs=1e-6)
+    good = [i for i in n if not got[i]["base_failed"]]
+
+    def limit(k, i, spreads):
+        same = lambda j: int(np.log2(n[j])) == int(np.log2(n[i]))
+        for mine in ([near[j][k][0] for j in good if same(j) and near[j][k][1] == near[i][k][1]], [near[j][k][0] for j in good if same(j)]):
+            if len(mine) >= quality_rules.MIN_CLASS:
+                mine.sort()
+                low, mid = (mine[int(np.ceil(p * len(mine))) - 1] for p in (0.1587, 0.5))
+                return mid + spreads * (mid - low)
+        return 1.0
+
+    for i in good:
+        want = near[i][0][0] <= limit(0, i, quality_rules.CLASS_SPREADS) and (n[i] < 100 or near[i][1][0] <= limit(1, i, quality_rules.WORD_SPREADS))
+        assert got[i]["kept"] == want, i
+    assert 0 < sum(not got[i]["kept"] for i in good) < 60
+
+
 def test_quality_distance(spark):
     p, q = [3, 1, 0], [0.5, 0.25, 0.25]
-    got = spark.createDataFrame([(p,)], "c array<int>").select(quality_rules.distance(F.col("c"), q)).first()[0]
-    a, b = np.array(p) / 4, np.array(q)
-    m = (a + b) / 2
-    kl = lambda x: sum(u * np.log2(u / v) for u, v in zip(x, m, strict=True) if u)
-    assert got == pytest.approx(np.sqrt((kl(a) + kl(b)) / 2))
+    got = spark.createDataFrame([(p, q)], "c array<int>, q array<double>").select(quality_rules.distance(F.col("c"), F.col("q"))).first()[0]
+    assert got == pytest.approx(js(np.array(p) / 4, q))
 
 
 def test_quality_classifier(spark):
