@@ -6,11 +6,16 @@ them. Raw counts serve the highest order, distinct left contexts the lower ones;
 interpolated with the next, down to a uniform share. The model holds, for each order, one sorted array of the keys seen in any
 language and, beside it, the log-probability in every language; a missing key backs off with its context's weight.
 
-No gram is pruned: the model grows with the distinct 4-grams of the training rows. Each language's rejection limit comes from all training
-rows nearest to it; a language that no long enough training row is nearest to gets the highest limit of the others.
+No gram is pruned: the model grows with the distinct 4-grams of the training rows. It is sent to all tasks in blocks of languages, each below
+BLOCK_BYTES (a block holds one language at least); texts are measured against one block after another, and a language's figures do not depend
+on its block.
+
+Each language's rejection limit comes from all training rows nearest to it (a language that no long enough training row is nearest to gets
+the highest limit of the others). The score is a softmax over languages of cross-entropy times the root of the length, with the one
+sharpness of SHARPNESS that gives the training rows' own languages the least log-loss.
 
 Defined results: null text or text without a letter is 'und' with score 0 and rejected; a table without training rows makes
-every document 'und'; ties between languages go to the first by name; repeated rows are scored alike (and counted each);
+every document 'und' and rejects none; ties between languages go to the first by name; repeated rows are scored alike (and counted each);
 extra columns are ignored; very long texts are scored whole, in chunks."""
 
 from __future__ import annotations
@@ -22,16 +27,19 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import cut, fold, own_name
 
 ORDER = 4
 #: A text is rejected above its language's 99.9 % training quantile times this.
 MARGIN = 1.5
 #: Accuracy of that quantile: its rank is off by at most one RANKS-th of the rows.
 RANKS = 100_000
+SHARPNESS = tuple(float(x) for x in np.geomspace(0.05, 50, 31))
+#: Bytes of a block's arrays.
+BLOCK_BYTES = 256 << 20
 #: Texts with fewer characters than this have too noisy an entropy to be rejected.
 MIN_CHARS = 40
 CHUNK = 1 << 20
@@ -80,7 +88,6 @@ class Model:
     contexts: list[np.ndarray]  # by order of the gram they precede, from 2
     back: list[np.ndarray]
     floor: np.ndarray
-    limits: np.ndarray
 
     def scores(self, key: np.ndarray) -> np.ndarray:
         """Log-probability of the last character of each 4-gram, in each language."""
@@ -114,11 +121,11 @@ class Model:
         return total / len(key), len(key)
 
 
-def fit(counts: pd.DataFrame) -> Model:
-    """counts: lang, key (of a 4-gram, as a signed long), n."""
+def fit(counts: pd.DataFrame, chars: np.ndarray | None = None) -> Model:
+    """counts: lang, key (of a 4-gram, as a signed long), n. chars: the characters of all languages, where counts holds only some of them."""
     langs = sorted(counts["lang"].unique())
     if not langs:
-        return Model([], [], [], [], [], np.zeros(0), np.zeros(0))
+        return Model([], [], [], [], [], np.zeros(0))
     own: list[list[tuple[np.ndarray, np.ndarray]]] = []
     for lang in langs:
         part = counts[counts["lang"] == lang]
@@ -127,7 +134,7 @@ def fit(counts: pd.DataFrame) -> Model:
         for n in range(ORDER - 1, 0, -1):
             by.insert(0, _counted(low(by[0][0], n)))
         own.append(by)
-    keys = [np.unique(np.concatenate([o[n][0] for o in own])) for n in range(ORDER)]
+    keys = [np.unique(np.concatenate([o[n][0] for o in own] + ([chars] if chars is not None and not n else []))) for n in range(ORDER)]
     floor = np.full(len(langs), -np.log(len(keys[0]) + 1.0))
     logp, contexts, back, below = [], [], [], None
     for n in range(1, ORDER + 1):
@@ -155,7 +162,7 @@ def fit(counts: pd.DataFrame) -> Model:
             contexts.append(ctx_all)
             back.append(b.astype(np.float32))
     # A character that no language has: far below the uniform share.
-    return Model(langs, keys, logp, contexts, back, floor + np.log(1e-4), np.full(len(langs), np.inf))
+    return Model(langs, keys, logp, contexts, back, floor + np.log(1e-4))
 
 
 def gram_counts(train: DataFrame) -> DataFrame:
@@ -193,60 +200,123 @@ def gram_counts(train: DataFrame) -> DataFrame:
     return train.select(F.col("text").cast("string"), F.col("lang").cast("string")).mapInArrow(per_task, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
 
 
-def trained(docs: DataFrame) -> Model:
-    """Fit on the rows with a language whose crc32(doc_id) mod 3 is not 1; then set the rejection limits on the same rows."""
-    train = docs.filter((fold(F.col("doc_id"), 3) != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    model = fit(gram_counts(train).toPandas())
+def blocks_of(sizes: dict[str, int], most: int = BLOCK_BYTES) -> list[list[str]]:
+    """Languages by name in blocks whose arrays stay below so many bytes: lower orders have fewer keys than the 4-grams."""
+    out: list[list[str]] = []
+    for lang in sorted(sizes):
+        block = [*out[-1], lang] if out else []
+        if block and 2 * sum(sizes[x] for x in block) * (8 + 4 * len(block)) <= most:
+            out[-1] = block
+        else:
+            out.append([lang])
+    return out
+
+
+@dataclass
+class Fitted:
+    blocks: list[Model]
+    limits: list[float]
+    sharpness: float
+
+    @property
+    def langs(self) -> list[str]:
+        return [lang for m in self.blocks for lang in m.langs]
+
+
+def models(train: DataFrame, most: int = BLOCK_BYTES) -> list[Model]:
+    """The models of train(text, lang), fitted from all its rows, a block of languages at a time."""
+    counts = cut(gram_counts(train))
+    sizes = {r["lang"]: r["count"] for r in counts.groupBy("lang").count().collect()}
+    blocks = blocks_of(sizes, most)
+    if len(blocks) == 1:
+        return [fit(counts.toPandas())]
+    chars = np.array([r[0] for r in counts.select(F.col("key").bitwiseAND(0xFFFF)).distinct().collect()], np.uint64)  # 2 ** 16 at most
+    return [fit(counts.filter(F.col("lang").isin(block)).toPandas(), chars) for block in blocks]
+
+
+def measured(docs: DataFrame, blocks: list[Model], name: str) -> DataFrame:
+    """docs with a struct (e: cross-entropy a character in each language, n: number of characters)."""
+    text = F.col("text").cast("string")
+
+    def of(model: Model):
+        known = docs.sparkSession.sparkContext.broadcast(vars(model))
+
+        @F.pandas_udf("e array<double>, n int")
+        def entropies(texts: pd.Series) -> pd.DataFrame:
+            m = Model(**known.value)
+            got = [m.entropy(t) for t in texts]
+            return pd.DataFrame({"e": [e for e, _ in got], "n": [n for _, n in got]})
+
+        return entropies(text)
+
+    if not blocks:
+        return docs.withColumn(name, F.struct(F.array().cast("array<double>").alias("e"), F.lit(0).alias("n")))
+    out = docs.withColumn(name, of(blocks[0]))
+    for m in blocks[1:]:  # one block in memory at a time
+        both = own_name(docs, name + "2")
+        out = cut(out).withColumn(both, of(m))
+        out = out.withColumn(name, F.struct(F.concat(f"{name}.e", f"{both}.e").alias("e"), F.col(f"{name}.n").alias("n"))).drop(both)
+    return out
+
+
+def share(e: Column, n: Column, place: Column, sharpness: float) -> Column:
+    """Softmax share of one language."""
+    total = F.aggregate(F.transform(e, lambda x: F.exp(F.greatest((F.get(e, place) - x) * F.sqrt(n) * sharpness, F.lit(-700.0)))), F.lit(0.0), lambda a, x: a + x)
+    return 1.0 / F.least(total, F.lit(1e300))
+
+
+def calibrated(rows: DataFrame, blocks: list[Model]) -> Fitted:
+    """rows(lang, m): the training rows, measured."""
+    langs = [lang for b in blocks for lang in b.langs]
+    if not langs:
+        return Fitted([], [], 1.0)
+    names = F.array(*map(F.lit, langs))
+    e, n = F.col("m.e"), F.col("m.n")
+    rows = rows.filter("m.n > 0").select("m", (F.array_position(e, F.array_min(e)) - 1).cast("int").alias("best"), (F.array_position(names, F.col("lang").cast("string")) - 1).cast("int").alias("own"))
+    losses = rows.filter("own >= 0").agg(*[F.avg(-F.log(share(e, n, F.col("own"), s))).alias(str(i)) for i, s in enumerate(SHARPNESS)]).first()
+    sharpness = SHARPNESS[min(range(len(SHARPNESS)), key=lambda i: (losses[i] if losses[i] is not None else 0.0, i))]
+    limits = [np.inf] * len(langs)
+    for r in rows.filter(n >= MIN_CHARS).groupBy("best").agg(F.percentile_approx(F.array_min(e), 0.999, RANKS).alias("q")).collect():
+        limits[r["best"]] = r["q"] * MARGIN
+    known = [x for x in limits if np.isfinite(x)]
+    return Fitted(blocks, [x if np.isfinite(x) else max(known, default=x) for x in limits], sharpness)
+
+
+def verdict(m: Column, model: Fitted) -> Column:
+    """Struct of lang_pred, score and rejected."""
     if not model.langs:
-        return model
-    known = docs.sparkSession.sparkContext.broadcast(vars(model))
+        return F.struct(F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(False).alias("rejected"))
+    e, n = m["e"], m["n"]
+    best = (F.array_position(e, F.array_min(e)) - 1).cast("int")
+    named = F.when(n > 0, F.get(F.array(*map(F.lit, model.langs)), best)).otherwise("und")
+    score = F.when(n > 0, share(e, n, best, model.sharpness)).otherwise(0.0)
+    far = (n >= MIN_CHARS) & (F.array_min(e) > F.get(F.array(*[F.lit(x) for x in model.limits]), best))
+    return F.struct(named.alias("lang_pred"), score.alias("score"), ((n == 0) | far).alias("rejected"))
+
+
+def training_rows(docs: DataFrame) -> DataFrame:
+    """Rows with a language whose crc32(doc_id) mod 3 is not 1."""
+    return docs.filter((fold(F.col("doc_id"), 3) != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull())
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Model(**known.value)
-        for b in batches:
-            got = [m.entropy(t) for t in b.column(0).to_pylist()]
-            got = [(int(e.argmin()), float(e.min())) for e, size in got if size >= MIN_CHARS]
-            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.float64())], ["lang", "entropy"])
-
-    measured = train.select(F.col("text").cast("string")).mapInArrow(measure, "lang int, entropy double")
-    for row in measured.groupBy("lang").agg(F.percentile_approx("entropy", 0.999, RANKS).alias("q")).collect():
-        model.limits[row["lang"]] = row["q"] * MARGIN
-    known_limits = model.limits[np.isfinite(model.limits)]
-    if len(known_limits):
-        model.limits[~np.isfinite(model.limits)] = known_limits.max()
-    return model
-
-
-def predict(spark, model: Model):
-    """A column function of the text: struct of lang_pred, score and rejected."""
-    known = spark.sparkContext.broadcast(vars(model))
-
-    @F.pandas_udf("lang_pred string, score double, rejected boolean")
-    def of(texts: pd.Series) -> pd.DataFrame:
-        m, out = Model(**known.value), []
-        for text in texts:
-            e, n = m.entropy(text) if m.langs else (None, 0)
-            if not n:
-                out.append(("und", 0.0, True))
-                continue
-            best = int(e.argmin())
-            share = 1.0 / np.exp(-(e - e[best]) * min(n, 100)).sum()
-            out.append((m.langs[best], float(share), bool(n >= MIN_CHARS and e[best] > m.limits[best])))
-        return pd.DataFrame(out, columns=["lang_pred", "score", "rejected"])
-
-    return of
+
+def trained(docs: DataFrame) -> Fitted:
+    """Fit on the training rows; then set sharpness and rejection limits on the same rows."""
+    train = training_rows(docs).select("text", "lang")
+    blocks = models(train)
+    return calibrated(cut(measured(train, blocks, "m").select("lang", "m")), blocks)
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, rejected."""
-    of = predict(docs.sparkSession, trained(docs))
-    out = docs.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), of(F.col("text").cast("string")).alias("p"))
-    return out.select("doc_id", "held_out", "p.*")
+    """doc_id, held_out, lang_pred, score, rejected. All rows are measured once; calibration reads the training rows among them."""
+    blocks = models(training_rows(docs).select("text", "lang"))
+    held_out, trains = fold(F.col("doc_id"), 3) == 1, F.col("lang").isNotNull() & F.col("text").isNotNull()
+    rows = cut(measured(docs.select("doc_id", "lang", "text"), blocks, "m").select("doc_id", "lang", held_out.alias("held_out"), trains.alias("trains"), "m"))
+    model = calibrated(rows.filter("trains and not held_out"), blocks)
+    return rows.select("doc_id", "held_out", verdict(F.col("m"), model).alias("p")).select("doc_id", "held_out", "p.*")
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
     """The documents that are not rejected."""
-    of = predict(docs.sparkSession, trained(docs))
-    return docs.withColumn("__lid", of(F.col("text").cast("string"))).filter("not __lid.rejected").drop("__lid")
-
-
+    name, model = own_name(docs, "measured"), trained(docs)
+    kept = measured(docs, model.blocks, name)
+    return kept.filter(~verdict(F.col(name), model)["rejected"]).drop(name)

@@ -268,7 +268,7 @@ def test_kneser_ney_sums_to_one(spark):
     chars = model.keys[0]
     for ctx in np.unique(keys >> np.uint64(16))[:20]:
         p = np.exp(model.scores((ctx << np.uint64(16)) | chars)[:, 0]).sum()
-        assert 0.9 < p <= 1.001
+        assert p == pytest.approx(1.0, abs=1e-4)
 
 
 def test_null_ids(spark):
@@ -531,3 +531,66 @@ def test_language_limits_come_from_all_rows(spark):
     short = [(30_000 + i, "жзи", "ss", "s") for i in range(6)]
     model = langid.trained(docs_of(spark, rows + short))
     assert model.langs == ["aa", "rr", "ss"] and np.isfinite(model.limits).all()
+
+
+def plain_kneser_ney(texts):
+    """Interpolated Kneser-Ney in dictionaries: function of (context of three, character) and known characters."""
+    tables = [None, Counter(), Counter(), Counter(), Counter()]
+    for t in texts:
+        padded = [0, 0, *langid.symbols(t).tolist()]
+        for i in range(3, len(padded)):
+            tables[4][tuple(padded[i - 3 : i + 1])] += 1
+    for n in (3, 2, 1):
+        for g in tables[n + 1]:
+            tables[n][g[1:]] += 1
+    d, total, kinds = [0.0] * 5, defaultdict(int), defaultdict(int)
+    for n in (1, 2, 3, 4):
+        once, twice = sum(c == 1 for c in tables[n].values()), sum(c == 2 for c in tables[n].values())
+        d[n] = once / (once + 2 * twice) if once and twice else 0.5
+        for g, c in tables[n].items():
+            total[g[:-1], n] += c
+            kinds[g[:-1], n] += 1
+    return tables, d, total, kinds
+
+
+def plain_probability(model, gram, n, uniform):
+    if n == 0:
+        return uniform
+    tables, d, total, kinds = model
+    g = gram[-n:]
+    lower = plain_probability(model, gram, n - 1, uniform)
+    t = total.get((g[:-1], n), 0)
+    if not t:
+        return lower
+    return max(tables[n].get(g, 0) - d[n], 0) / t + max(d[n] * kinds[g[:-1], n] / t, 1e-9) * lower
+
+
+def test_language_id_equals_plain_kneser_ney(spark):
+    rng = np.random.default_rng(15)
+    texts = {lang: [" ".join("".join(rng.choice(list(letters), int(rng.integers(1, 6)), p=None)) for _ in range(15)) for _ in range(12)] for lang, letters in (("aa", "abcde"), ("bb", "cdefg"), ("cc", "aegxy"))}
+    train = docs_of(spark, [(i, t, lang, "s") for lang in texts for i, t in enumerate(texts[lang])]).select("text", "lang")
+    known = {c for ts in texts.values() for t in ts for c in langid.symbols(t).tolist()[1:]}
+    plain = {lang: plain_kneser_ney(ts) for lang, ts in texts.items()}
+    asked = [t for ts in texts.values() for t in ts[:3]] + ["abx gfe yy", "e", "deg dd aab"]
+    got = {}
+    for most in (1 << 28, 1):  # one block, and a block for each language
+        blocks = langid.models(train, most)
+        assert len(blocks) == (1 if most > 1 else 3)
+        df = docs_of(spark, [(i, t, None, "s") for i, t in enumerate(asked)])
+        got[most] = {r["doc_id"]: r["m"] for r in langid.measured(df, blocks, "m").collect()}
+    for i, t in enumerate(asked):
+        padded = [0, 0, *langid.symbols(t).tolist()]
+        want = [-np.mean([np.log(plain_probability(plain[lang], tuple(padded[k - 3 : k + 1]), 4, 1 / (len(known) + 1))) for k in range(3, len(padded))]) for lang in sorted(plain)]
+        assert got[1 << 28][i]["e"] == pytest.approx(want, abs=1e-5) and got[1][i]["e"] == pytest.approx(want, abs=1e-5)
+
+
+def test_language_score_is_calibrated_and_names_may_clash(spark):
+    rng = np.random.default_rng(16)
+    mixture = {"aa": "aaabbc", "bb": "abbccc"}
+    rows = [(i, "".join(rng.choice(list(mixture["aa" if i % 2 else "bb"]), 12)), "aa" if i % 2 else "bb", "s") for i in range(3000)]
+    df = docs_of(spark, rows).withColumn("measured", F.lit(1)).withColumn("m", F.lit(2)).withColumn("__lid", F.lit(3))
+    got = [r for r in langid.identify(df).collect() if r["held_out"]]
+    right = [r["lang_pred"] == ("aa" if r["doc_id"] % 2 else "bb") for r in got]
+    assert abs(np.mean([r["score"] for r in got]) - np.mean(right)) < 0.05
+    assert langid.keep_known(df).columns == df.columns
+    assert langid.keep_known(docs_of(spark, [(1, "abc", None, "s"), (2, None, None, None)])).count() == 2
