@@ -461,6 +461,61 @@ def test_tree_matching():
     assert labels == ["h2", "p", "ul"] and m[3][0][3][1][2] is not None and m[3][0][3][2][2] is None and m[1] == 2
 
 
+def test_html_quotes_depth_and_odd_class_names(spark):
+    read = lambda page: html_extract.extract(page, None)
+    assert read("<p title=it's>hello <b>x</b> world, don't stop</p><p>after</p>") == "hello x world, don't stop after"
+    assert read("""<p title="a>b" alt='c>d'>one</p><p title = "x'>two">three</p><p a=b'>four</p>""") == "one three four"
+    assert read('<p>in</p><p title="never closed>out</p>') == "in"
+    deep = "<div>" * 600 + "a<nav>menu</nav><div>b</div>c<p>d<p>e" + "</div>" * 600 + "f"
+    assert read(deep) == "a b c d e f"
+    assert html_extract.extract("<div>" * 5000 + "x", html_extract.outline(html_extract.parse("<div>y</div>"))) == "x"
+    template = None
+    for i in range(2000):
+        tree = html_extract.outline(html_extract.parse(f"<div class=odd{i}>Odd {i}</div><div class=body>Text {i}</div><div class=same>Same words</div>"))
+        template = tree if template is None else html_extract.pruned(html_extract.merged(template, tree))
+    assert html_extract.count(template) < 600 and template[1] == 2000
+    assert html_extract.extract("<div class=odd7>Odd 7</div><div class=body>Text 7</div><div class=same>Same words</div>", template) == "Odd 7 Text 7"
+
+
+def brute_matching(a, b):
+    """Greatest common size of two trees, by trying every way to pair their children in order."""
+    if a[0] != b[0]:
+        return 0
+
+    def best(i, j):
+        if i == len(a[3]) or j == len(b[3]):
+            return 0
+        return max(best(i + 1, j), best(i, j + 1), brute_matching(a[3][i], b[3][j]) + best(i + 1, j + 1))
+
+    return 1 + best(0, 0)
+
+
+def test_html_matching_by_brute_force():
+    rng = np.random.default_rng(17)
+
+    def tree(depth):
+        return ["pqr"[int(rng.integers(3))] if depth < 3 else "root", 1, None, [tree(depth - 1) for _ in range(int(rng.integers(0, 4)))] if depth else [], []]
+
+    for _ in range(60):
+        a, b = tree(3), tree(3)
+        assert html_extract.size(a, b) == brute_matching(a, b)
+
+
+def test_html_template_by_brute_force(spark):
+    rng = np.random.default_rng(18)
+    pages, want = [], {}
+    for i in range(60):
+        host = f"h{i % 3}.example"
+        blocks = [("lead", f"Lead {i}."), ("same", f"Constant of {host}."), ("body", f"Body {i} of text."), ("end", f"All {host} end so.")]
+        if i % 2:
+            blocks.insert(2, ("extra", f"Extra {i}."))
+        pages.append((i, f"http://{host}/{i}", "<body>" + "".join(f"<div class={c}><span>{t}</span></div>" for c, t in blocks) + "</body>"))
+        want[i] = " ".join(t for c, t in blocks if c not in ("same", "end"))
+    order = [pages[int(k)] for k in rng.permutation(60)]
+    got = html_extract.main_text(spark.createDataFrame(order * 2, "page_id long, url string, html string").repartition(7)).collect()
+    assert len(got) == 120 and all(r["text"] == want[r["page_id"]] for r in got)
+
+
 def test_html_copies_are_no_evidence(spark):
     same = [(i, "http://copy.example/a", "<html><body><div>The whole text.</div></body></html>") for i in range(5)]
     alone = [(10 + i, "http://mixed.example/a", "<body><div class=x>Only here.</div></body>") for i in range(6)] + [(20 + i, f"http://mixed.example/{i}", f"<body><div class=y>Page {i}.</div></body>") for i in range(6)]
