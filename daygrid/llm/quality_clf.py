@@ -1,10 +1,11 @@
 """Quality classifier: random-indexing word vectors pooled per document, then a two-layer numpy network with temperature-calibrated
 probabilities.
 
-Tokens (words and runs of marks, lower case) fall into HASHED buckets. Each bucket has a sparse ternary index vector; its context
-vector is the sum of its neighbours' index vectors over all documents, so the vectors are one table of HASHED rows whatever the
-corpus. Tasks add up what they read and Spark sums the tasks' tables by bucket. A document is the frequency-damped mean of its
-tokens' context vectors and of their index vectors, with a few shape figures (length, variety, marks).
+Every token (a word or a run of marks, lower case) has a sparse ternary index vector of its own, taken from its 64-bit hash. Context vectors,
+sums of the neighbours' index vectors over all documents, are kept for HASHED buckets of tokens, so the table has the same size whatever
+the corpus; tokens of one bucket share a context (the README gives the measured share). Tasks add up what they read and Spark sums the tasks'
+tables by bucket. A document is the frequency-damped mean of its tokens' context vectors and of their index vectors, with a few shape
+figures (length, variety, marks).
 
 The network learns from a bounded sample of labelled rows whose crc32(doc_id) mod 3 is not 1 (the sample_rows lowest by crc32); a
 fifth of it is kept back to fit the temperature.
@@ -41,31 +42,31 @@ SHAPE = 8
 _tokens = re.compile(r"\w+|[^\w\s]+").findall
 
 
-def index_vectors() -> tuple[np.ndarray, np.ndarray]:
-    """Places and signs of each bucket's nonzero entries."""
-    rng = np.random.default_rng(7)
-    place = rng.random((HASHED, DIM)).argpartition(NONZERO, axis=1)[:, :NONZERO]
-    return place, rng.choice(np.array([-1, 1]), (HASHED, NONZERO))
+def parts(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of token hashes: buckets, and places and signs of the index vectors' nonzero entries (a row for each)."""
+    bits = h[None, :] >> (14 + 6 * np.arange(NONZERO, dtype=np.uint64))[:, None]
+    signs = h[None, :] >> (40 + np.arange(NONZERO, dtype=np.uint64))[:, None]
+    return (h % np.uint64(HASHED)).astype(np.int64), (bits % np.uint64(DIM)).astype(np.int64), 1.0 - 2.0 * (signs & np.uint64(1)).astype(float)
 
 
 class Memo(dict):
-    """Bucket numbers of the tokens met so far."""
+    """Hashes of the tokens met so far."""
 
     def __missing__(self, token: str) -> int:
-        self[token] = n = xxhash.xxh32_intdigest(token.encode("utf-8", "surrogatepass")) % HASHED
-        return n
+        self[token] = h = xxhash.xxh64_intdigest(token.encode("utf-8", "surrogatepass"))
+        return h
 
 
-class Buckets:
-    """Bucket numbers of a text's tokens."""
+class Hashes:
+    """Hashes of a text's tokens."""
 
     def __init__(self) -> None:
         self.memo = Memo()
 
     def __call__(self, text: str | None) -> np.ndarray:
-        if len(self.memo) > 500_000:
+        if len(self.memo) > 300_000:
             self.memo.clear()
-        return np.array(list(map(self.memo.__getitem__, _tokens((text or "").lower()))), np.int64)
+        return np.array(list(map(self.memo.__getitem__, _tokens((text or "").lower()))), np.uint64)
 
 
 def context_sums(docs: DataFrame) -> DataFrame:
@@ -73,26 +74,28 @@ def context_sums(docs: DataFrame) -> DataFrame:
     names = ["bucket", "n", *(f"v{i}" for i in range(DIM))]
 
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, sign = index_vectors()
-        of, table, seen = Buckets(), np.zeros((HASHED + 1) * DIM), np.zeros(HASHED + 1, np.int64)
-        place, sign = np.vstack((place, np.zeros((1, NONZERO), np.int64))), np.vstack((sign, np.zeros((1, NONZERO), np.int64)))
-        gap = np.full(REACH, HASHED)
+        of, table, seen = Hashes(), np.zeros((HASHED + 1) * DIM), np.zeros(HASHED + 1, np.int64)
         held: list[np.ndarray] = []
 
         def add() -> None:
             nonlocal table
-            t = np.concatenate([*held, gap])
+            gap = np.full(REACH, HASHED)
+            each = [parts(h) for h in held]
+            # Gaps between texts are of a bucket of their own and add nothing.
+            bucket = np.concatenate([x for b, _, _ in each for x in (gap, b)] + [gap])
+            place = np.hstack([x for _, p, _ in each for x in (np.zeros((NONZERO, REACH), np.int64), p)] + [np.zeros((NONZERO, REACH), np.int64)])
+            sign = np.hstack([x for _, _, g in each for x in (np.zeros((NONZERO, REACH)), g)] + [np.zeros((NONZERO, REACH))])
             held.clear()
-            seen[:] += np.bincount(t, minlength=HASHED + 1)
+            seen[:] += np.bincount(bucket, minlength=HASHED + 1)
             for far in range(1, REACH + 1):
-                for a, b in ((t[:-far], t[far:]), (t[far:], t[:-far])):
+                for own, near in ((slice(None, -far), slice(far, None)), (slice(far, None), slice(None, -far))):
                     for k in range(NONZERO):
-                        table += np.bincount(a * DIM + place[b, k], sign[b, k], (HASHED + 1) * DIM)
+                        table += np.bincount(bucket[own] * DIM + place[k, near], sign[k, near], (HASHED + 1) * DIM)
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                held += [gap, of(text)]
-                if sum(map(len, held[-2:])) > CHUNK or len(held) > 1000:
+                held.append(of(text))
+                if len(held[-1]) > CHUNK or len(held) > 500:
                     add()
         if held:
             add()
@@ -106,30 +109,31 @@ def context_sums(docs: DataFrame) -> DataFrame:
 
 
 def vectors(sums: pd.DataFrame) -> np.ndarray:
-    """One row per bucket: its damped unit context vector and its damped index vector."""
+    """One row per bucket: its damped unit context vector, and the damping."""
     b = sums["bucket"].to_numpy()
     seen, context = np.zeros(HASHED), np.zeros((HASHED, DIM))
     seen[b] = sums["n"]
     context[b] = sums[[f"v{i}" for i in range(DIM)]]
     damp = 1e-3 / (1e-3 + seen / max(seen.sum(), 1))
     context /= np.maximum(np.linalg.norm(context, axis=1, keepdims=True), 1e-9)
-    place, sign = index_vectors()
-    index = np.zeros((HASHED, DIM))
-    np.put_along_axis(index, place, sign / np.sqrt(NONZERO), axis=1)
-    return np.hstack((context, index)) .astype(np.float32) * damp[:, None].astype(np.float32)
+    return np.hstack((context * damp[:, None], damp[:, None])).astype(np.float32)
 
 
-def pooled(text: str | None, of: Buckets, table: np.ndarray) -> np.ndarray:
-    t, text = of(text), text or ""
-    out = np.zeros(table.shape[1] + SHAPE, np.float32)
-    n, chars = len(t), max(len(text), 1)
+def pooled(text: str | None, of: Hashes, table: np.ndarray) -> np.ndarray:
+    h, text = of(text), text or ""
+    out = np.zeros(2 * DIM + SHAPE, np.float32)
+    n, chars = len(h), max(len(text), 1)
     out[-8:-5] = np.log1p(n), np.log1p(chars), np.log1p(text.count("\n"))
     if n:
-        used, count = np.unique(t, return_counts=True)
-        for i in range(0, n, ROWS):
-            out[:-SHAPE] += table[t[i : i + ROWS]].sum(axis=0)
+        used, times = np.unique(h, return_counts=True)
+        for i in range(0, len(used), ROWS):
+            bucket, place, sign = parts(used[i : i + ROWS])
+            rows, count = table[bucket], times[i : i + ROWS]
+            out[:DIM] += count.astype(np.float32) @ rows[:, :DIM]
+            weights = sign * (count * rows[:, DIM] / np.sqrt(NONZERO))
+            out[DIM : 2 * DIM] += np.bincount(place.ravel(), weights.ravel(), DIM).astype(np.float32)
         out[:-SHAPE] /= n
-        out[-5:] = len(used) / n, np.log(count.max() / n), chars / n, sum(map(text.count, "#*$%&|<>")) / chars, sum(map(text.count, ".!?")) / chars
+        out[-5:] = len(used) / n, np.log(times.max() / n), chars / n, sum(map(text.count, "#*$%&|<>")) / chars, sum(map(text.count, ".!?")) / chars
     return out
 
 
@@ -172,7 +176,7 @@ def trained(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
     known = docs.sparkSession.sparkContext.broadcast(table)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = Buckets()
+        of = Hashes()
         for b in batches:
             rows = [pooled(t, of, known.value).tolist() for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float32())), b.column(1)], ["x", "y"])
@@ -192,7 +196,7 @@ def scorer(spark, model: dict):
 
     @F.pandas_udf("double")
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        bucket, m = Buckets(), known.value
+        bucket, m = Hashes(), known.value
         for t in texts:
             if m["net"] is None or not len(t):
                 yield pd.Series([0.5] * len(t), dtype="float64")

@@ -434,6 +434,60 @@ def test_quality_classifier(spark):
     assert {r["score"] for r in quality_clf.score(docs_of(spark, rows[:3]), labels_of(spark, [])).collect()} == {0.5}
 
 
+def test_quality_vectors_and_network_by_brute_force(spark):
+    texts = [lorem(i, 40, 30) + " !! " + lorem(i + 50, 5) for i in range(30)] + [None, "", "one"]
+
+    def index(token):
+        h, v = xxhash.xxh64_intdigest(token.encode()), np.zeros(quality_clf.DIM)
+        for k in range(quality_clf.NONZERO):
+            v[(h >> (14 + 6 * k)) % quality_clf.DIM] += 1 - 2 * (h >> (40 + k) & 1)
+        return h % quality_clf.HASHED, v
+
+    seen, sums, bags = Counter(), defaultdict(lambda: np.zeros(quality_clf.DIM)), []
+    for t in texts:
+        ts = quality_clf._tokens((t or "").lower())
+        bags.append(ts)
+        for i, w in enumerate(ts):
+            seen[index(w)[0]] += 1
+            for j in (i - 2, i - 1, i + 1, i + 2):
+                if 0 <= j < len(ts):
+                    sums[index(w)[0]] += index(ts[j])[1]
+    df = docs_of(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]).repartition(3)
+    got = quality_clf.context_sums(df).toPandas()
+    assert {int(r["bucket"]): r["n"] for _, r in got.iterrows()} == dict(seen)
+    assert all(np.array_equal(r[[f"v{i}" for i in range(quality_clf.DIM)]].to_numpy(float), sums[int(r["bucket"])]) for _, r in got.iterrows())
+    table, total = quality_clf.vectors(got), sum(seen.values())
+    for t, ts in zip(texts, bags, strict=True):
+        want = np.zeros(2 * quality_clf.DIM)
+        for w in ts:
+            b, v = index(w)
+            damp = 1e-3 / (1e-3 + seen[b] / total)
+            want += np.concatenate([sums[b] / max(np.linalg.norm(sums[b]), 1e-9), v / 2]) * damp / len(ts)
+        assert quality_clf.pooled(t, quality_clf.Hashes(), table)[: 2 * quality_clf.DIM] == pytest.approx(want, abs=1e-5)
+    rng = np.random.default_rng(19)
+    x = rng.normal(size=(1500, 6))
+    y = (x[:, 0] * x[:, 1] > 0).astype(float)
+    net = quality_clf.network(x, y)
+    out = quality_clf.logits(net, x)
+    w1, b1, w2, b2 = net["p"]
+    for i in range(20):
+        z = [(x[i, k] - net["mean"][k]) / net["spread"][k] for k in range(6)]
+        hidden = [np.tanh(sum(z[k] * w1[k, j] for k in range(6)) + b1[j]) for j in range(quality_clf.HIDDEN)]
+        assert out[i] == pytest.approx((sum(h * w for h, w in zip(hidden, w2, strict=True)) + b2[0]) / net["t"])
+    assert ((out > 0) == (y > 0)).mean() > 0.9 and 0.5 <= net["t"] <= 8
+
+
+def test_long_texts_repeats_and_extra_columns_of_the_classifiers(spark):
+    rows = [(i, lorem(i, 60) if i % 2 else "# | " * 40, "en", "s") for i in range(60)] + [(100, lorem(3, 600_000), "en", "s"), (5, lorem(5, 60), "en", "s")]
+    labels = labels_of(spark, [(i, i % 2, (i + 1) % 2) for i in range(60)])
+    for score in (quality_clf.score, toxicity.score):
+        got = score(docs_of(spark, rows).withColumn("predicted", F.lit(1)).withColumn("toxic", F.lit(1)).withColumn("y", F.lit(1)), labels).collect()
+        assert len(got) == len(rows) and all(0 <= r["score"] <= 1 for r in got)
+        assert len({r["score"] for r in got if r["doc_id"] == 5}) == 1
+    kept = toxicity.keep_clean(docs_of(spark, rows).withColumn("toxic", F.lit(1)).withColumn("__toxic", F.lit(1)), labels)
+    assert "toxic" in kept.columns and "__toxic" in kept.columns
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T {i}</title><style>p{{}}</style><script>var a="</p>";</script></head><body><nav><a href=/>Home</a></nav>
 <div class="cookie-notice">We use cookies {i}</div><div class="ad">Buy {i}</div>{open}<h1>Head {i}</h1><p><b>Bold {i}<br><p>Fish &amp; chips &eacute; &#233;&copy {i}</p><ul><li>one {i}<li>two</ul>
 <form><input value=x>Search</form>{close}<aside>More {i}</aside><section id="comments"><p>Reader {i}</p></section><footer>&copy; host</footer></body></html>"""
