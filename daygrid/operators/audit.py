@@ -100,48 +100,50 @@ def distance_bins(stores: DataFrame) -> DataFrame:
 
 
 def profile(history: DataFrame, stores: DataFrame, test_start=TEST_START, n_long: int = 3) -> DataFrame:
-    """One row per store. Behaviour from days before the test, schedule from all days. One grouped pass over the history, with closure
-    runs and the dimension joined to it (both at most a few rows per store)."""
+    """One row per store. Guests, checks and anomalies come from days before the test, the schedule (closures, Sundays, open days) from all days.
+    One grouped pass over the history, with closure runs and the dimension joined to it (both at most a few rows per store)."""
     train = F.col("Date") < F.lit(test_start)
     active = train & (F.col("Open") == 1) & (F.col("Customers") > 0)
     when = lambda c, x: F.when(c, F.col(x))
-    year = lambda y: F.when(active & (F.year("Date") == y) & F.col("Date").between(F.lit(dt.date(y, 1, 1)), F.lit(dt.date(y, 6, 19))), F.col("Customers"))
+    train_end = test_start - dt.timedelta(1)
+    year = lambda y: F.when(active & F.col("Date").between(F.lit(dt.date(y, 1, 1)), F.lit(train_end.replace(year=y))), F.col("Customers"))
     low, high = history.agg(F.min("Date"), F.max("Date")).first()
+    before, last = test_start.year - 1, test_start.year
     per = history.groupBy("Store").agg(
-        (F.lit((high - low).days + 1) - F.count("*")).cast("long").alias("missing_days"),
-        F.count_if(train & (F.col("Open") == 0)).alias("closed_days"),
-        F.count_if(train).alias("train_days"),
+        F.count("*").alias("n_rows"),
+        F.count_if(F.col("Open") == 0).alias("closed_days"),
         F.count_if(train & (F.col("Open") == 1) & (F.col("Customers") == 0)).alias("n_anomalies"),
         F.count_if((F.col("DayOfWeek") == 7) & (F.col("Open") == 1)).alias("sunday_open_days"),
         F.count_if(~train & (F.col("Open") == 1)).alias("open_days_test"),
         F.percentile(when(active, "Customers"), F.lit(0.5)).alias("guests_median"),
         (F.stddev_samp(when(active, "Customers")) / F.avg(when(active, "Customers"))).alias("guests_cv"),
         (F.sum(when(active, "Sales")) / F.sum(when(active, "Customers"))).alias("avg_check"),
-        F.count(year(2014)).alias("open_days_2014"),
-        F.count(year(2015)).alias("open_days_2015"),
-        F.try_divide(F.avg(year(2015)), F.avg(year(2014))).alias("growth_ratio"),
+        F.count(year(before)).alias(f"open_days_{before}"),
+        F.count(year(last)).alias(f"open_days_{last}"),
+        F.try_divide(F.avg(year(last)), F.avg(year(before))).alias("growth_ratio"),
     )
-    runs = flag_runs(closure_runs(history), history, n_long, test_start)
-    long_train = F.col("is_long") & (F.col("start") < F.lit(test_start))
-    closures = runs.groupBy("Store").agg(F.count_if(long_train).alias("n_long_closures"), F.sum(F.when(long_train, F.col("days")).otherwise(0)).alias("long_closure_days"), F.bool_or(F.col("is_long") & F.col("is_left_censored")).alias("has_left_censored"), F.bool_or(F.col("is_long") & F.col("in_test")).alias("closed_in_test"))
-    rows = per.join(closures, "Store", "left").join(stores, "Store")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
-    no = lambda c: F.coalesce(F.col(c), F.lit(False)).alias(c)
-    n = F.col("train_days")
-    rows = rows.select("*", F.coalesce("long_closure_days", F.lit(0)).alias("__long"))
+    long_runs = flag_runs(closure_runs(history), history, n_long, test_start).filter("is_long")
+    closures = long_runs.groupBy("Store").agg(F.count("*").alias("n_long"), F.sum("days").alias("long_days"), F.bool_or("is_left_censored").alias("left"), F.bool_or("in_test").alias("test"))
+    dim = competitor_opening(stores).withColumn("competitor_opened_in_train", F.coalesce((F.col("opened") > F.lit(low)) & (F.col("opened") <= F.lit(train_end)), F.lit(False)))
+    rows = per.join(closures, "Store", "left").join(dim, "Store")
+    zero = lambda c, name: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(name)
+    no = lambda c, name: F.coalesce(F.col(c), F.lit(False)).alias(name)
+    long_days = F.coalesce(F.col("long_days"), F.lit(0))
+    missing = (F.lit((high - low).days + 1) - F.col("n_rows")).cast("long") if low else F.col("n_rows")
     return rows.select(
-        "Store", "StoreType", "Assortment", "CompetitionDistance", "Promo2", "missing_days", zero("n_long_closures"), zero("long_closure_days"),
-        F.try_divide(F.col("closed_days") - F.col("__long"), n).alias("share_regular_closed"), F.try_divide(F.col("__long"), n).alias("share_long_closed"),
-        "n_anomalies", "sunday_open_days", "open_days_test", "guests_median", "guests_cv", "avg_check", "open_days_2014", "open_days_2015", (F.col("growth_ratio") - 1).alias("growth_raw"),
-        (F.col("missing_days") > 0).alias("has_export_gap"), (F.coalesce("n_long_closures", F.lit(0)) > 0).alias("has_long_closure"), no("has_left_censored"), no("closed_in_test"), (F.col("sunday_open_days") > 0).alias("sunday_open"),
-    ).withColumn("growth_yoy", F.when(F.least("open_days_2014", "open_days_2015") >= MIN_OPEN_DAYS, F.col("growth_raw"))).withColumn("segment", F.coalesce(*[F.when(F.col("StoreType") == k, v) for k, v in SEGMENTS.items()]))
-
-
-def network_series(history: DataFrame, window: int = 28, least: int = 20) -> DataFrame:
-    """Mean guests of a stable set (stores without export gaps, Monday to Saturday, no holidays) per day with its 28-row rolling mean.
-    One row per day, so the window needs no key."""
-    stable = history.join(export_gaps(history).select("Store").distinct(), "Store", "left_anti")
-    days = stable.filter((F.col("DayOfWeek") <= 6) & (F.col("StateHoliday") == "0") & (F.col("Open") == 1)).groupBy("Date").agg(F.avg("Customers").alias("mean"))
+        "Store", "StoreType", "Assortment", "CompetitionDistance", "Promo2", "competitor_opened_in_train", missing.alias("missing_days"), zero("n_long", "n_long_closures"), zero("long_days", "long_closure_days"),
+        ((F.col("closed_days") - long_days) / F.col("n_rows")).alias("share_regular_closed"), (long_days / F.col("n_rows")).alias("share_long_closed"),
+        "n_anomalies", "sunday_open_days", "open_days_test", "guests_median", "guests_cv", "avg_check", f"open_days_{before}", f"open_days_{last}", (F.col("growth_ratio") - 1).alias("growth_raw"),
+        (missing > 1).alias("has_export_gap"), (F.coalesce("n_long", F.lit(0)) > 0).alias("has_long_closure"), no("left", "has_left_censored"), no("test", "closed_in_test"), (F.col("sunday_open_days") > 0).alias("sunday_open"),
+    ).withColumn("growth_yoy", F.when(F.least(f"open_days_{before}", f"open_days_{last}") >= MIN_OPEN_DAYS, F.col("growth_raw"))).withColumn("segment", F.coalesce(*[F.when(F.col("StoreType") == k, v) for k, v in SEGMENTS.items()]))
+
+
+def network_series(history: DataFrame, window: int = 28, least: int = 20, test_start=TEST_START) -> DataFrame:
+    """Mean guests of a stable set (stores without an export gap of more than a day, open days with guests before the test, Monday to Saturday,
+    no holidays) per day with its 28-row rolling mean. One row per day, so the window needs no key."""
+    gap_stores = export_gaps(history).filter("days > 1").select("Store").distinct()
+    stable = history.filter((F.col("Date") < F.lit(test_start)) & (F.col("Open") == 1) & (F.col("Customers") > 0)).join(gap_stores, "Store", "left_anti")
+    days = stable.filter((F.col("DayOfWeek") <= 6) & (F.col("StateHoliday") == "0")).groupBy("Date").agg(F.avg("Customers").alias("mean"))
     w = Window.orderBy("Date").rowsBetween(1 - window, 0)
     return days.select("Date", "mean", F.when(F.count("mean").over(w) >= least, F.avg("mean").over(w)).alias("rolling"))
 

@@ -73,11 +73,14 @@ def source_weeks(pred: DataFrame) -> DataFrame:
 
 
 def promo_errors(pred: DataFrame) -> DataFrame:
-    """Bias and absolute error in % by fold, model and promotion."""
-    return pred.groupBy("fold", "model", "Promo").agg((F.sum(F.col("pred") - F.col("y")) / F.sum("y") * 100).alias("bias_pct"), (F.avg(F.abs(F.col("pred") - F.col("y")) / F.col("y")) * 100).alias("ape"))
+    """Mean relative error and mean absolute relative error in % by fold, model and promotion, on the validation folds."""
+    e = (F.col("pred") - F.col("y")) / F.col("y") * 100
+    return pred.filter(F.col("fold") != HOLDOUT[0]).groupBy("fold", "model", "Promo").agg(F.avg(e).alias("bias_pct"), F.avg(F.abs(e)).alias("ape"))
 
 
 def phase_errors(pred: DataFrame) -> DataFrame:
-    """Absolute error in % when the source day had the same promotion state, and when not."""
-    rows = pred.filter("from_promo is not null").withColumn("same_promo", F.col("Promo") == F.col("from_promo"))
-    return rows.groupBy("model", "same_promo").agg(F.count("*").alias("days"), (F.avg(F.abs(F.col("pred") - F.col("y")) / F.col("y")) * 100).alias("ape"))
+    """Per lag on the validation folds: the share in % of days whose source day had the same promotion state (a day without a source had not),
+    and the absolute error in % on those days and on the others."""
+    rows = pred.filter((F.col("fold") != HOLDOUT[0]) & F.col("model").isin("lag_7", "lag_14")).withColumn("same", F.coalesce(F.col("Promo") == F.col("from_promo"), F.lit(False)))
+    ape = F.abs(F.col("pred") - F.col("y")) / F.col("y") * 100
+    return rows.groupBy("model").agg((F.avg(F.col("same").cast("int")) * 100).alias("same_share"), F.avg(F.when(F.col("same"), ape)).alias("ape_same"), F.avg(F.when(~F.col("same"), ape)).alias("ape_other"))

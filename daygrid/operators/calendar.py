@@ -101,9 +101,10 @@ def gap_groups(gaps: DataFrame) -> DataFrame:
 
 
 def gap_border(history: DataFrame, gaps: DataFrame, around: int = 3) -> DataFrame:
-    """Open share on the days before and after the longest gap, for stores with it and without. Date, with_gap, without_gap."""
+    """Open share on the days before and after the longest gap, for stores with any gap of more than a day and without. Date, with_gap,
+    without_gap."""
     top = gaps.orderBy(F.desc("days"), "start", "Store").limit(1).select(F.col("start").alias("s"), F.col("end").alias("e"))
-    at = gaps.join(F.broadcast(top), (F.col("start") == F.col("s")) & (F.col("end") == F.col("e"))).select("Store").distinct().withColumn("in_gap", F.lit(1))
+    at = gaps.filter("days > 1").select("Store").distinct().withColumn("in_gap", F.lit(1))
     near = F.col("Date").between(F.date_sub("s", around), F.date_sub("s", 1)) | F.col("Date").between(F.date_add("e", 1), F.date_add("e", around))
     rows = history.join(F.broadcast(top), near).join(at, "Store", "left")
     share = lambda with_gap: F.avg(F.when(F.col("in_gap").isNotNull() if with_gap else F.col("in_gap").isNull(), F.col("Open")))

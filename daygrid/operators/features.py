@@ -15,13 +15,15 @@ HORIZON, HOLIDAY_WINDOW = 7, 3
 LAG_WEEKS = (1, 2, 3, 4)
 NO_EVENT = "none"
 SEGMENTS = {"b": "high_traffic", "a": "mid", "c": "mid", "d": "high_check"}
-NUMERIC = (
-    ["level_age"]
-    + [f"{p}lag_{7 * w}" for p in ("", "promo_") for w in LAG_WEEKS]
-    + ["lag_filled", "lag_filled_weeks", "lag_median", "rel_364", "month", "day_of_month", "Promo", "SchoolHoliday", "days_since_reopen", "days_to_long_closure", "competition_open", "competition_distance_log", "promo2_active"]
-)
-CATEGORICAL = ["DayOfWeek", "next_holiday", "prev_holiday", "easter_day", "carnival_day", "christmas_day", "segment", "Assortment", "store_id"]
+LAGS = [f"lag_{7 * w}" for w in LAG_WEEKS]
+BASE_NUMERIC = ["Promo", "level_age", "lag_filled", "lag_filled_weeks", "lag_median", "rel_364", *LAGS, *(f"promo_{x}" for x in LAGS)]
+BASE_CATEGORICAL = ["DayOfWeek", "month", "segment", "next_holiday", "prev_holiday", "easter_day", "christmas_day", "carnival_day", "days_since_reopen", "days_to_long_closure"]
+NUMERIC = [*BASE_NUMERIC, "day_of_month", "SchoolHoliday", "competition_open", "competition_distance_log", "promo2_active"]
+CATEGORICAL = [*BASE_CATEGORICAL, "Assortment", "store_id"]
 FEATURES = NUMERIC + CATEGORICAL
+#: What models take unless told otherwise: all but promo2_active.
+MODEL_NUMERIC = [c for c in NUMERIC if c != "promo2_active"]
+EVENTS = ("next_holiday", "prev_holiday", "easter_day", "christmas_day", "carnival_day", "days_since_reopen", "days_to_long_closure")
 
 
 def level_features(calendar: DataFrame, keys=("Store",)) -> DataFrame:
@@ -54,12 +56,9 @@ def lag_features(rows: DataFrame, keys=("Store",)) -> DataFrame:
     return rows.withColumn("lag_filled", F.coalesce(*names)).withColumn("lag_filled_weeks", weeks).withColumn("lag_median", median)
 
 
-def label(kind: Column, days: Column, no_event: str = NO_EVENT) -> Column:
-    return F.coalesce(F.concat_ws("_", kind, days.cast("string")), F.lit(no_event))
-
-
 def event_features(rows: DataFrame, keys=("Store",), no_event: str = NO_EVENT) -> DataFrame:
-    """Holidays around (nearest, within three days), Easter, carnival and Christmas days, days since a reopening and to a long closure."""
+    """Holidays around (nearest, within three days), Easter, carnival and Christmas days, days since a reopening (0 is the first day after the
+    last day away, 13 the last) and to a long closure, all as labels."""
     w = by(keys)
     holiday = F.when(F.coalesce(F.col("StateHoliday"), F.lit("0")) != "0", F.struct("Date", F.col("StateHoliday").alias("kind")))
     rows = rows.withColumn("__holiday", holiday).select(
@@ -81,9 +80,9 @@ def event_features(rows: DataFrame, keys=("Store",), no_event: str = NO_EVENT) -
         text(between(F.col("__easter"), -7, 1)).alias("easter_day"),
         text(between(F.col("__easter") + 48, -4, 1)).alias("carnival_day"),
         F.when((md >= "12-01") | (md <= "01-06"), md).otherwise(no_event).alias("christmas_day"),
-        between(F.datediff("Date", "__away"), 0, 13).cast("double").alias("days_since_reopen"),
-        between(F.datediff("__leaves", "Date"), 1, 7).cast("double").alias("days_to_long_closure"),
-        F.month("Date").cast("double").alias("month"),
+        text(between(F.datediff("Date", "__away") - 1, 0, 13)).alias("days_since_reopen"),
+        text(between(F.datediff("__leaves", "Date"), 1, 7)).alias("days_to_long_closure"),
+        F.month("Date").alias("month"),
         F.dayofmonth("Date").cast("double").alias("day_of_month"),
     ).drop("__holiday", "__next", "__prev", "__away", "__leaves", "__easter")
 
@@ -116,12 +115,12 @@ def build_features(calendar: DataFrame, stores: DataFrame, keys=("Store",), no_e
 
 
 def category_levels(stores: DataFrame, no_event: str = NO_EVENT) -> dict[str, list[str]]:
-    """Allowed values of each categorical feature, sorted. Only the stores' own values are read; one row per store."""
-    found = stores.agg(F.sort_array(F.collect_set("Assortment")), F.sort_array(F.collect_set("Store"))).first()
+    """Allowed values of each categorical feature, sorted. Only the stores' numbers are read; one row per store."""
+    found = stores.agg(F.sort_array(F.collect_set("Store"))).first()[0]
     days = lambda a, b: [str(d) for d in range(a, b + 1)]
     xmas = [f"12-{d:02d}" for d in range(1, 32)] + [f"01-{d:02d}" for d in range(1, 7)]
     around = lambda first: [f"{k}_{d}" for k in "abc" for d in range(first, HOLIDAY_WINDOW + 1)]
-    out = {"DayOfWeek": days(1, 7), "next_holiday": around(0) + [no_event], "prev_holiday": around(1) + [no_event], "easter_day": days(-7, 1) + [no_event], "carnival_day": days(-4, 1) + [no_event], "christmas_day": xmas + [no_event], "segment": list(set(SEGMENTS.values())), "Assortment": found[0], "store_id": [str(s) for s in found[1]]}
+    out = {"DayOfWeek": days(1, 7), "next_holiday": around(0) + [no_event], "prev_holiday": around(1) + [no_event], "easter_day": days(-7, 1) + [no_event], "carnival_day": days(-4, 1) + [no_event], "christmas_day": xmas + [no_event], "segment": list(set(SEGMENTS.values())), "days_since_reopen": days(0, 13) + [no_event], "days_to_long_closure": days(1, 7) + [no_event], "month": days(1, 12), "Assortment": list("abc"), "store_id": [str(s) for s in found]}
     return {k: sorted(v) for k, v in out.items()}
 
 
@@ -140,39 +139,74 @@ def check_levels(features: DataFrame, levels: dict[str, list[str]]) -> DataFrame
     return features
 
 
-def check_features(features: DataFrame, names=tuple(NUMERIC)) -> DataFrame:
-    """An error for features that lack, are not numeric or hold infinity."""
+def check_features(features: DataFrame, numeric=tuple(MODEL_NUMERIC), categorical=tuple(CATEGORICAL)) -> DataFrame:
+    """The frame, or an error for features that lack, are not numeric or hold infinity. Nulls are allowed."""
     kinds = dict(features.dtypes)
-    wrong = [n for n in names if kinds.get(n) not in ("double", "float", "int", "bigint")]
+    lack = [n for n in (*numeric, *categorical) if n not in kinds]
+    if lack:
+        raise ValueError(f"features absent: {lack}")
+    wrong = [n for n in numeric if kinds[n] not in ("double", "float", "int", "bigint")]
     if wrong:
-        raise ValueError(f"features absent or not numeric: {wrong}")
-    row = features.agg(*[F.count_if(F.abs(F.col(n)) == float("inf")).alias(n) for n in names]).first()
-    if any(row):
-        raise ValueError(f"infinite values: {[n for n in names if row[n]]}")
+        raise ValueError(f"features not numeric: {wrong}")
+    bad = [r["feature"] for r in infinite_values(features, numeric).filter("rows > 0").orderBy("feature").collect()] if numeric else []
+    if bad:
+        raise ValueError(f"infinite values: {bad}")
     return features
 
 
-def coverage(features: DataFrame, before, names=tuple(NUMERIC)) -> DataFrame:
+def infinite_values(features: DataFrame, numeric=tuple(NUMERIC)) -> DataFrame:
+    """feature, rows with infinity."""
+    row = features.agg(*[F.count_if(F.abs(F.col(n)) == float("inf")).alias(n) for n in numeric])
+    return row.select(F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).alias("rows")) for n in numeric])).alias("p")).select("p.*")
+
+
+def open_before(rows: DataFrame, before) -> DataFrame:
+    return rows.filter((F.col("day_status") == "open") & (F.col("Date") < F.lit(before).cast("date")))
+
+
+def coverage(features: DataFrame, before, names=(*NUMERIC, "target")) -> DataFrame:
     """On open days before a date: per feature the share of nulls in % and the number of stores with a null."""
-    rows = features.filter((F.col("day_status") == "open") & (F.col("Date") < F.lit(before).cast("date")))
-    pairs = rows.select("Store", F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).isNull().alias("gone")) for n in names])).alias("p")).select("Store", "p.*")
+    pairs = open_before(features, before).select("Store", F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).isNull().alias("gone")) for n in names])).alias("p")).select("Store", "p.*")
     return pairs.groupBy("feature").agg((F.avg(F.col("gone").cast("int")) * 100).alias("null_pct"), F.count_distinct(F.when(F.col("gone"), F.col("Store"))).alias("stores"))
 
 
-def level_age_bins(features: DataFrame, before) -> DataFrame:
-    """Open days by how old their level is."""
-    rows = features.filter((F.col("day_status") == "open") & (F.col("Date") < F.lit(before).cast("date")))
-    age = F.col("level_age")
-    bin_ = F.when(age.isNull(), "none").when(age <= 7, "7").when(age <= 14, "8-14").when(age < LEVEL_AGE_CAP, "15-27").otherwise("28+")
-    return rows.groupBy(bin_.alias("age")).agg(F.count("*").alias("days"))
+def level_ages(calendar: DataFrame, keys=("Store",)) -> DataFrame:
+    """Days since the last open day up to t-7, without the cap that level_age has."""
+    last = F.last(F.when(F.col("day_status") == "open", F.col("Date")), ignorenulls=True).over(by(keys).rowsBetween(Window.unboundedPreceding, -HORIZON))
+    return calendar.select(*keys, "Date", "day_status", F.datediff("Date", last).alias("age"))
+
+
+def level_age_bins(calendar: DataFrame, before) -> DataFrame:
+    """Open days before a date by how old their level is."""
+    age = F.col("age")
+    bin_ = F.when(age.isNull(), "none").when(age <= 7, "7").when(age <= 14, "8-14").when(age <= 28, "15-28").when(age <= 60, "29-60").otherwise("over 60")
+    return open_before(level_ages(calendar), before).groupBy(bin_.alias("bin")).agg(F.count("*").alias("days"))
+
+
+def old_levels(calendar: DataFrame, before, over: int = 60) -> DataFrame:
+    """Stores with open days whose level is older than that: days, their span and the ages."""
+    rows = open_before(level_ages(calendar), before).filter(F.col("age") > over)
+    return rows.groupBy("Store").agg(F.count("*").alias("days"), F.min("Date").alias("first_day"), F.max("Date").alias("last_day"), F.min("age").alias("least"), F.max("age").alias("most"))
+
+
+def event_shares(features: DataFrame, before, no_event: str = NO_EVENT) -> DataFrame:
+    """Share of open days before a date that lie in each event's window."""
+    row = open_before(features, before).agg(*[F.avg((F.col(c) != no_event).cast("int")).alias(c) for c in EVENTS])
+    return row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("event"), F.col(c).alias("share")) for c in EVENTS])).alias("p")).select("p.*")
 
 
-def leak_audit(history: DataFrame, stores: DataFrame, end, origin, restore) -> DataFrame:
-    """Wipe guests and sales from an origin on, rebuild, and count per feature the rows of the seven days from it that differ (must be 0)."""
-    day = F.lit(origin).cast("date")
-    wiped = history.withColumn("Customers", F.when(F.col("Date") >= day, F.lit(1)).otherwise(F.col("Customers"))).withColumn("Sales", F.when(F.col("Date") >= day, F.lit(1)).otherwise(F.col("Sales")))
-    week = lambda h: build_features(restore(h, end), stores).filter(F.col("Date").between(day, F.date_add(day, HORIZON - 1)))
-    names = [c for c in FEATURES if c not in ("DayOfWeek", "store_id", "days_since_reopen")] + ["level"]
-    a, b = week(history).alias("a"), week(wiped).alias("b")
-    differ = [F.count_if(~F.col(f"a.{n}").eqNullSafe(F.col(f"b.{n}"))).alias(n) for n in names]
-    return a.join(b, ["Store", "Date"]).agg(F.count("*").alias("rows"), *differ)
+def leak_audit(calendar: DataFrame, stores: DataFrame, origins, build=build_features) -> DataFrame:
+    """Per origin: wipe the guests from it on, rebuild, and count per feature the rows of the seven days from it that differ (must be 0),
+    and the later rows whose lag_7 differs (must not be 0, or the audit sees nothing)."""
+    names = [*NUMERIC, "level"]
+    whole, out = build(calendar, stores), None
+    for origin in origins:
+        day = F.lit(origin).cast("date")
+        wiped = build(calendar.withColumn("Customers", F.when(F.col("Date") < day, F.col("Customers"))), stores)
+        rows = whole.alias("a").join(wiped.alias("b"), ["Store", "Date"]).filter(F.col("Date") >= day)
+        week = F.col("Date") <= F.date_add(day, HORIZON - 1)
+        other = lambda n: ~F.col(f"a.{n}").eqNullSafe(F.col(f"b.{n}"))
+        counts = rows.agg(F.count_if(week).alias("n_rows"), *[F.count_if(week & other(n)).alias(n) for n in names], F.count_if(~week & other("lag_7")).alias("later_lag_7"))
+        counts = counts.select(day.alias("origin"), "*")
+        out = counts if out is None else out.unionByName(counts)
+    return out

@@ -45,9 +45,9 @@ def check_requests(requests: DataFrame, history: DataFrame, plan: DataFrame) ->
         .when(F.col("last_day").isNull(), "unknown store")
         .when(F.col("origin") <= F.col("first_day"), "date before the history")
         .when(F.col("origin") > F.date_add("last_day", 1), "date after the history")
-        .when(F.coalesce("n_open", F.lit(0)) < MIN_LEVEL_DAYS, "history too short")
         .when(F.col("gone") > 0, F.concat(F.lit("no plan for "), F.col("gone_days")))
         .when(F.col("wrong") > 0, "plan values out of range")
+        .when(F.coalesce("n_open", F.lit(0)) < MIN_LEVEL_DAYS, "history too short")
     )
     return all_.select(F.col("Store").alias("restaurant"), "origin", error.alias("error"))
 
@@ -77,24 +77,39 @@ def request_features(requests: DataFrame, history: DataFrame, plan: DataFrame, s
 def one_pass_features(requests: DataFrame, calendar: DataFrame, stores: DataFrame) -> DataFrame:
     """For large backtests: one feature table of the whole calendar serves every origin. It differs from the exact form where the
     calendar knows more than the request did: holidays after the week, closures that go on after it, anomalies inside it, and the
-    grid's start."""
-    rows = build_features(calendar, stores)
+    grid's start. Days that the calendar does not hold stay, with known = false and no features."""
+    rows = build_features(calendar, stores).withColumn("known", F.lit(True))
     days = requests.select("Store", "origin", F.explode(F.sequence(F.col("origin"), F.date_add("origin", HORIZON - 1))).alias("Date"))
-    return rows.join(days, ["Store", "Date"])
+    return days.join(rows, ["Store", "Date"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
+
+
+def with_plan(history: DataFrame, plan: DataFrame) -> DataFrame:
+    """The calendar of the history with the planned days behind it (without guests)."""
+    ahead = plan.join(history.select("Store", "Date"), ["Store", "Date"], "left_anti").select("Store", "Date", F.lit(None).cast("bigint").alias("Sales"), F.lit(None).cast("int").alias("Customers"), *DAY)
+    rows = history.select("Store", "Date", "Sales", "Customers", *DAY).unionByName(ahead)
+    first, last = rows.agg(F.min("Date"), F.max("Date")).first()
+    return with_status(grid(rows, F.lit(first), F.lit(last)))
 
 
 def baseline_weeks(requests: DataFrame, history: DataFrame, plan: DataFrame) -> DataFrame:
-    """Store, origin, Date, DayOfWeek, the plan of the day, baseline_lag_7 (0 when closed), actual."""
-    rows = baselines.with_baselines(request_calendars(requests, history, plan), KEYS).filter(F.col("Date") >= F.col("origin"))
+    """Store, origin, Date, DayOfWeek, the plan of the day, baseline_lag_7 (0 when closed), actual. The last open same weekday before a day of the
+    week lies a week back at least, so before the origin: one table of lags serves all requests."""
+    spent = with_plan(history, plan)
+    known = F.when((F.col("day_status") == "open") & F.col("Customers").isNotNull(), F.col("Customers").cast("double"))
+    week = baselines.weekday_window().rowsBetween(-52, -1)
+    # A store-only window first, so that the one exchange is by store.
+    rows = spent.withColumn("first", F.min("Date").over(Window.partitionBy("Store"))).withColumn("lag_7", F.last(known, ignorenulls=True).over(week)).select("Store", "Date", "lag_7")
+    days = week_plan(requests, history, plan).join(rows, ["Store", "Date"], "left")
     actual = history.select("Store", "Date", F.col("Customers").alias("actual"))
     lag = F.when(F.col("Open") == 0, 0.0).otherwise(F.col("lag_7"))
-    return rows.select(*KEYS, "Date", "DayOfWeek", *DAY, lag.alias("baseline_lag_7")).join(actual, ["Store", "Date"], "left").select(*KEYS, "Date", "DayOfWeek", *DAY, "baseline_lag_7", "actual")
+    return days.select(*KEYS, "Date", (F.weekday("Date") + 1).alias("DayOfWeek"), *DAY, lag.alias("baseline_lag_7")).join(actual, ["Store", "Date"], "left").select(*KEYS, "Date", "DayOfWeek", *DAY, "baseline_lag_7", "actual")
 
 
 def forecast_weeks(requests: DataFrame, history: DataFrame, plan: DataFrame, stores: DataFrame, predict) -> DataFrame:
-    """The forecast table of all good requests. predict: features -> (Store, origin, Date, forecast) of open days; closed days get 0."""
+    """The forecast table of all good requests. predict: features -> (Store, origin, Date, forecast) of open days, an error if
+    one has no level; closed days get 0."""
     weeks = baseline_weeks(requests, history, plan)
-    feats = request_features(requests, history, plan, stores).filter("day_status <> 'closed' and day_status <> 'absent'")
+    feats = request_features(requests, history, plan, stores).filter("day_status = 'open'")
     pred = predict(feats).select(*KEYS, "Date", "forecast")
     return weeks.join(pred, [*KEYS, "Date"], "left").withColumn("forecast", F.when(F.col("Open") == 0, 0.0).otherwise(F.col("forecast")))
 

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from .audit import quantile_bin
 
 SUBSET_SIZE, MIN_PER_SEGMENT, SEED = 40, 5, 42
-# Stores that the sample must hold at least, by flag, filled in this order.
-MANDATORY = {"has_export_gap": 4, "has_long_closure": 6, "has_anomaly": 4, "has_left_censored": 2, "sunday_open": 3}
+# Stores that the sample must hold at least, by flag, filled in this order; and features that it is uneven in by design.
+MANDATORY = {"has_left_censored": 1, "has_anomaly": 3, "has_export_gap": 3, "has_long_closure": 3, "competitor_opened_in_train": 3}
+BY_DESIGN = ("competitor_opened_in_train", "has_export_gap", "has_long_closure", "StoreType_b", "Assortment_b", "sunday_open")
+APART = "high_traffic"
 METRICS = ("guests_median", "avg_check", "guests_cv", "growth_yoy")
 
 
@@ -40,33 +42,33 @@ def proportional_quota(sizes: DataFrame, total: int | Column, minimum: int = 0,
 
 def select_stores(pool: DataFrame, size: int = SUBSET_SIZE, seed: int = SEED, mandatory=MANDATORY, min_per_segment: int = MIN_PER_SEGMENT) -> DataFrame:
     """Store and the reason for it. Each flag in order is filled to its quota (stores already chosen count for every flag that they
-    have); then segments get proportional quotas and, inside them, growth terciles, less what is already chosen. The pool has one row
-    per store, so each flag is one ranked window over it; only the table of strata (segments x terciles) is read by the driver."""
+    have); then segments get proportional quotas and, inside them, growth terciles, less what is already chosen. Where the mandatory stores of a
+    segment have used up its quota, the largest needs of that segment are trimmed, a store at a time. The pool has one row per store, so each
+    flag is one ranked window over it."""
     rows = pool.select("Store", "segment", "growth_tercile", draw_order(seed, "Store").alias("draw"), F.lit(None).cast("string").alias("reason"), *mandatory)
     for flag, quota in mandatory.items():
         free = F.col(flag) & F.col("reason").isNull()
         have = F.count_if(F.col(flag) & F.col("reason").isNotNull()).over(Window.partitionBy())
         rows = rows.withColumn("__free", free).withColumn("__have", have).withColumn("__place", F.row_number().over(Window.partitionBy("__free").orderBy("draw", "Store")))
         rows = rows.withColumn("reason", F.when(F.col("__free") & (F.col("__place") <= quota - F.col("__have")), f"mandatory:{flag}").otherwise(F.col("reason"))).drop("__free", "__have", "__place")
-    rows = rows.persist()
     strata = rows.groupBy("segment", F.col("growth_tercile").alias("group")).agg(F.count("*").alias("size"), F.count("reason").alias("had"))
     segments = proportional_quota(rows.groupBy(F.col("segment").alias("group")).agg(F.count("*").alias("size")), size, min_per_segment).select(F.col("group").alias("segment"), F.col("quota").alias("total"))
-    table = proportional_quota(strata.join(segments, "segment"), F.col("total"), 0, ("segment",)).collect()
-    need = {(r["segment"], r["group"]): max(0, r["quota"] - r["had"]) for r in table}
-    over = sum(need.values()) + sum(r["had"] for r in table) - size
-    for _ in range(max(0, min(over, sum(need.values())))):  # what the mandatory stores took beyond their strata is trimmed from the largest
-        need[max(sorted(need), key=need.get)] -= 1
-    quotas = pool.sparkSession.createDataFrame([(s, t, n) for (s, t), n in sorted(need.items())], "segment string, growth_tercile string, need int")
+    table = proportional_quota(strata.join(segments, "segment"), F.col("total"), 0, ("segment",))
+    # Needs as single stores: those of a low number in their stratum go first, so the largest needs are trimmed.
+    unit = F.row_number().over(Window.partitionBy("segment").orderBy("unit", F.desc("group")))
+    table = table.withColumn("left", F.greatest(F.col("total") - F.sum("had").over(Window.partitionBy("segment")), F.lit(0)))
+    needs = table.filter("quota > had").withColumn("unit", F.explode(F.sequence(F.lit(1).cast("long"), F.col("quota") - F.col("had")))).withColumn("turn", unit).filter("turn <= left")
+    needs = needs.groupBy("segment", F.col("group").alias("growth_tercile")).agg(F.count("*").alias("need"))
     order = Window.partitionBy("segment", "growth_tercile").orderBy("draw", "Store")
-    free = rows.filter("reason is null").withColumn("place", F.row_number().over(order)).join(quotas, ["segment", "growth_tercile"])
+    free = rows.filter("reason is null").withColumn("place", F.row_number().over(order)).join(needs, ["segment", "growth_tercile"])
     return rows.filter("reason is not null").select("Store", "reason").unionByName(free.filter("place <= need").select("Store", F.lit("stratified").alias("reason")))
 
 
 def balance_frame(profile: DataFrame) -> DataFrame:
     """Numeric features to compare a sample with its population: metrics, log distance, flags, one-hot types and assortments."""
-    flags = [F.col(f).cast("int").cast("double").alias(f) for f in ("has_export_gap", "has_long_closure", "has_left_censored", "sunday_open")] + [(F.col("n_anomalies") > 0).cast("int").cast("double").alias("has_anomaly")]
+    flags = [F.col(f).cast("int").cast("double").alias(f) for f in ("Promo2", "competitor_opened_in_train", "has_export_gap", "has_long_closure", "sunday_open")]
     hot = lambda c, values: [F.when(F.col(c) == v, 1.0).otherwise(0.0).alias(f"{c}_{v}") for v in values]
-    return profile.select("Store", "segment", *[F.col(m).cast("double").alias(m) for m in METRICS], F.log10("CompetitionDistance").alias("log_distance"), *flags, *hot("StoreType", "abcd"), *hot("Assortment", "abc"))
+    return profile.select("Store", "segment", *[F.col(m).cast("double").alias(m) for m in METRICS], F.log10("CompetitionDistance").alias("log10_competition_distance"), *flags, *hot("StoreType", "abcd"), *hot("Assortment", "abc"))
 
 
 def unpivoted(frame: DataFrame) -> DataFrame:
@@ -87,13 +89,20 @@ def smd(frame: DataFrame, sample: DataFrame) -> DataFrame:
     return long.groupBy("feature").agg(_smd(F.coalesce("in_sample", F.lit(False))).alias("smd"))
 
 
-def balance_table(frame: DataFrame, sample: DataFrame, segment: str, by_design=()) -> DataFrame:
-    """Differences with all segments and without one, and whether a feature is uneven by design."""
+def balance_table(frame: DataFrame, sample: DataFrame, segment: str = APART, by_design=BY_DESIGN) -> DataFrame:
+    """Means of the whole frame and of the sample, differences with all segments and without one, and whether a feature is uneven by design."""
     rest = frame.filter(F.col("segment") != segment)
-    out = smd(frame, sample).join(smd(rest, sample.join(rest, "Store", "left_semi")).withColumnRenamed("smd", "smd_without"), "feature")
+    chosen = sample.select("Store", F.lit(True).alias("in_sample"))
+    means = unpivoted(frame).join(chosen, "Store", "left").groupBy("feature").agg(F.avg("x").alias("whole_mean"), F.avg(F.when(F.col("in_sample"), F.col("x"))).alias("sample_mean"))
+    out = means.join(smd(frame, sample), "feature").join(smd(rest, sample.join(rest, "Store", "left_semi")).withColumnRenamed("smd", "smd_without"), "feature")
     return out.withColumn("by_design", F.col("feature").isin(*by_design) if by_design else F.lit(False))
 
 
+def core(frame: DataFrame, segment: str = APART, by_design=BY_DESIGN) -> DataFrame:
+    """What the balance criterion looks at: stores of the other segments, features that are not uneven by design."""
+    return frame.filter(F.col("segment") != segment).drop(*by_design)
+
+
 def simulate(frame: DataFrame, n: int, sims: int = 500, seed: int = SEED) -> DataFrame:
     """sim, feature, smd of random samples of n stores without replacement. The stores (one small row each) are repeated per simulation
     and ranked by md5(seed|sim|Store) inside it."""
@@ -120,18 +129,20 @@ def verdict(observed: DataFrame, simulated: DataFrame, level: float = 0.95) -> D
     return out.select("feature", F.col("own").alias("smd"), "share_larger", (size("own") <= F.round(F.lit(limit), 9)).alias("balanced"))
 
 
-def phenomena(profile: DataFrame, history: DataFrame, sample: DataFrame) -> DataFrame:
-    """What the sample holds: stores by flag, anomalous days, holiday dates, rows (long: what, n)."""
-    own = profile.join(sample.select("Store"), "Store", "left_semi")
-    flags = ("has_export_gap", "has_long_closure", "has_left_censored", "sunday_open")
-    a = own.agg(*[F.count_if(F.col(f)).alias(f) for f in flags], F.coalesce(F.sum("n_anomalies"), F.lit(0)).alias("anomalous_days"), F.count("*").alias("stores"))
+FLAGS = ("has_export_gap", "has_long_closure", "has_left_censored", "has_anomaly", "competitor_opened_in_train", "sunday_open")
+
+
+def phenomena(pool: DataFrame, history: DataFrame, sample: DataFrame) -> DataFrame:
+    """What the sample holds: stores by flag, segment and growth tercile, anomalous days, holiday dates, rows (long: what, n)."""
+    own = pool.join(sample.select("Store"), "Store", "left_semi")
+    a = own.agg(*[F.count_if(F.col(f)).alias(f) for f in FLAGS], F.coalesce(F.sum("n_anomalies"), F.lit(0)).alias("anomalous_days"), F.count("*").alias("stores"))
     rows = history.join(sample.select("Store"), "Store", "left_semi")
     b = rows.agg(F.count_distinct(F.when(F.col("StateHoliday") != "0", F.col("Date"))).alias("holiday_dates"), F.count("*").alias("rows"))
     long = lambda df: df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("what"), F.col(c).cast("long").alias("n")) for c in df.columns])).alias("p")).select("p.*")
-    return long(a).unionByName(long(b))
+    kinds = own.select(F.explode(F.array(F.concat(F.lit("segment "), "segment"), F.concat(F.lit("growth "), "growth_tercile"))).alias("what")).groupBy("what").agg(F.count("*").alias("n"))
+    return long(a).unionByName(long(b)).unionByName(kinds)
 
 
-def chosen_table(profile: DataFrame, sample: DataFrame) -> DataFrame:
-    """The chosen stores with reason, segment and flags, to be written."""
-    flags = ("has_export_gap", "has_long_closure", "has_left_censored", "has_anomaly", "sunday_open")
-    return sample.join(eligible(profile), "Store").select("Store", "reason", "segment", "StoreType", "growth_tercile", *flags)
+def chosen_table(pool: DataFrame, sample: DataFrame) -> DataFrame:
+    """The chosen stores of the eligible pool with reason, segment and flags, to be written."""
+    return sample.join(pool, "Store").select("Store", "reason", "segment", "StoreType", "growth_tercile", *FLAGS)

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import audit, baselines, features, scoring
+from ..operators import audit, baselines, features, sampling, scoring
 from ..operators import calendar as cal
 from ..sources import panel
 from . import fixture
-from .oracle import text
+from .oracle import cte, text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -26,6 +28,7 @@ class Panel:
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark = spark
+        self.folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='panel-')}/panel-{uuid.uuid4().hex}"
         self.history = fixture.history(spark, sf_dir)
 
     @property
@@ -56,6 +59,10 @@ class Panel:
     def profile(self) -> DataFrame:
         return audit.profile(self.history, self.stores)
 
+    @property
+    def pool(self) -> DataFrame:
+        return sampling.eligible(self.profile)
+
 
 def query(sql: str | None = None, *needs: str):
     def add(f: Callable[[Panel], DataFrame]):
@@ -68,7 +75,7 @@ def query(sql: str | None = None, *needs: str):
 
 
 HELD = "fold = 'holdout'"
-FLAG_COLUMNS = ("has_export_gap", "has_long_closure", "has_left_censored", "closed_in_test", "sunday_open")
+FLAG_COLUMNS = ("has_export_gap", "has_long_closure", "competitor_opened_in_train", "has_left_censored", "has_anomaly")
 
 # Sources and checks
 
@@ -79,6 +86,19 @@ def stores_with_selection(p: Panel) -> DataFrame:
     return panel.with_selection(p.stores, chosen).select("Store", "StoreType", "Assortment", "reason")
 
 
+@query("select * from history", "history")
+def loaded_history(p: Panel) -> DataFrame:
+    """The history written as a table and loaded back, checked."""
+    path = f"{p.folder}/history"
+    p.history.select(panel.HISTORY.names).write.parquet(path)
+    return panel.load_history(p.spark, path)
+
+
+@query("select 'history' as name, 'missing columns' as problem, 'Weather' as detail union all select 'plan', 'rows', count(*)::varchar || ', 5 expected' from plan union all select 'weather', 'absent', ''", "plan")
+def raw_problems(p: Panel) -> DataFrame:
+    return panel.raw_problems({"history": p.history, "stores": p.stores, "plan": p.plan}, {"history": ([*panel.HISTORY.names, "Weather"], None), "stores": (["Store"], None), "plan": (panel.PLAN.names, 5), "weather": (["Date"], None)})
+
+
 @query(
     """select rule, cast(n as bigint) as count from (select
  count(*) filter (Date is null) as null_date, count(*) filter (DayOfWeek <> isodow(Date)) as day_of_week, count(*) filter (Open not in (0, 1) or Open is null) as Open,
@@ -180,10 +200,8 @@ def export_gap_groups(p: Panel) -> DataFrame:
 
 
 @query(
-    """select h.Date, round(avg(Open) filter (g.Store is not null), 6) as with_gap, round(avg(Open) filter (g.Store is null), 6) as without_gap
- from history h cross join (select start as s, "end" as e from gaps order by days desc, start, Store limit 1) t
- left join (select distinct gaps.Store from gaps join (select start, "end" from gaps order by days desc, start, Store limit 1) q on q.start = gaps.start and q."end" = gaps."end") g on g.Store = h.Store
- where h.Date between s - 3 and s - 1 or h.Date between e + 1 and e + 3 group by 1""",
+    """select h.Date, round(avg(case when h.Store in (select Store from gaps where days > 1) then Open end), 6) as with_gap, round(avg(case when h.Store not in (select Store from gaps where days > 1) then Open end), 6) as without_gap
+ from history h, (select start as s, "end" as e from gaps order by days desc, start, Store limit 1) t where h.Date in (s - 3, s - 2, s - 1, e + 1, e + 2, e + 3) group by h.Date""",
     "gaps",
 )
 def export_gap_border(p: Panel) -> DataFrame:
@@ -293,31 +311,62 @@ def feature_table(p: Panel) -> DataFrame:
 
 
 @query(
-    """select feature, round(avg(case when v is null then 1 else 0 end) * 100, 6) as null_pct, count(distinct case when v is null then Store end) as stores from (
- select Store, unnest(['level_age', 'lag_7', 'lag_filled', 'lag_median', 'rel_364', 'competition_distance_log']) as feature, unnest([level_age, lag_7, lag_filled, lag_median, rel_364, competition_distance_log]) as v
+    f"""select feature, round(avg(case when v is null then 1 else 0 end) * 100, 6) as null_pct, count(distinct case when v is null then Store end) as stores from (
+ select Store, unnest({[*features.NUMERIC, 'target']}) as feature, unnest([{', '.join(f'{c}::double' for c in (*features.NUMERIC, 'target'))}]) as v
  from features where day_status = 'open' and Date < date '2015-06-20') group by 1""",
     "features",
 )
 def feature_coverage(p: Panel) -> DataFrame:
-    return features.coverage(p.features, "2015-06-20", ("level_age", "lag_7", "lag_filled", "lag_median", "rel_364", "competition_distance_log"))
+    return features.coverage(p.features, "2015-06-20")
 
 
-@query("select case when level_age is null then 'none' when level_age <= 7 then '7' when level_age <= 14 then '8-14' when level_age < 28 then '15-27' else '28+' end as age, count(*) as days from features where day_status = 'open' and Date < date '2015-06-20' group by 1", "features")
+cte("ages", ("leveled",), "select Store, Date, Date - last_open as age from leveled where day_status = 'open' and Date < date '2015-06-20'")
+
+
+@query("select case when age is null then 'none' when age <= 7 then '7' when age <= 14 then '8-14' when age <= 28 then '15-28' when age <= 60 then '29-60' else 'over 60' end as bin, count(*) as days from ages group by 1", "ages")
 def level_age_bins(p: Panel) -> DataFrame:
-    return features.level_age_bins(p.features, "2015-06-20")
+    return features.level_age_bins(p.calendar, "2015-06-20")
+
+
+@query("select Store, count(*) as days, min(Date) as first_day, max(Date) as last_day, cast(min(age) as integer) as least, cast(max(age) as integer) as most from ages where age > 60 group by 1", "ages")
+def old_levels(p: Panel) -> DataFrame:
+    return features.old_levels(p.calendar, "2015-06-20")
+
+
+@query(
+    " union all ".join(f"select '{c}' as event, round(count(*) filter ({c} <> 'none') / count(*), 6) as share from features where day_status = 'open' and Date < date '2015-06-20'" for c in features.EVENTS),
+    "features",
+)
+def event_shares(p: Panel) -> DataFrame:
+    return features.event_shares(p.features, "2015-06-20")
 
 
-@query("select 'easter_day' as feature, 'x' as value, cast(0 as bigint) as rows where false")
+@query("select 'christmas_day' as feature, strftime(Date, '%m-%d') || '!' as value, count(*) as rows from features where christmas_day <> 'none' and Store % 5 = 0 group by 2 union all select 'Assortment', 'x', count(*) from features where Store = 2", "features")
 def unknown_levels(p: Panel) -> DataFrame:
-    return features.unknown_levels(p.features, features.category_levels(p.stores))
+    """Values outside the lists, of a table with planted ones."""
+    planted = p.features.withColumn("christmas_day", F.when((F.col("christmas_day") != "none") & (F.col("Store") % 5 == 0), F.concat("christmas_day", F.lit("!"))).otherwise(F.col("christmas_day")))
+    return features.unknown_levels(planted.withColumn("Assortment", F.when(F.col("Store") == 2, "x").otherwise(F.col("Assortment"))), features.category_levels(p.stores))
 
 
-_audited = [c for c in features.FEATURES if c not in ("DayOfWeek", "store_id", "days_since_reopen")] + ["level"]
+@query(" union all ".join(f"select '{c}' as feature, " + ("count(*) filter (lag_7 is not null and Store % 3 = 0)" if c == "lag_7" else "count(*) filter (false)") + " as rows from features" for c in features.NUMERIC), "features")
+def infinite_features(p: Panel) -> DataFrame:
+    """Infinite values by feature, of a table with planted ones."""
+    return features.infinite_values(p.features.withColumn("lag_7", F.when(F.col("lag_7").isNotNull() & (F.col("Store") % 3 == 0), float("inf")).otherwise(F.col("lag_7"))))
 
 
-@query(f"select count(*) as n_rows, {', '.join(f'cast(0 as bigint) as {c}' for c in _audited)} from calendar where Date between date '2015-06-20' and date '2015-06-26'", "calendar")
+ORIGINS = ("2014-12-06", "2015-03-28", "2015-05-09", "2015-06-20")
+
+
+@query(
+    " union all ".join(
+        f"select date '{o}' as origin, count(*) filter (Date <= date '{o}' + 6) as n_rows, {', '.join(f'0 as {c}' for c in (*features.NUMERIC, 'level'))}, count(*) filter (Date > date '{o}' + 6 and lag_7 is not null) as later_lag_7 from features where Date >= date '{o}'"
+        for o in ORIGINS
+    ),
+    "features",
+)
 def leak_audit(p: Panel) -> DataFrame:
-    return features.leak_audit(p.history, p.stores, fixture.END, "2015-06-20", cal.restore_calendar).withColumnRenamed("rows", "n_rows")
+    """No feature of a week changes when its guests are wiped; every later lag_7 loses its source."""
+    return features.leak_audit(p.calendar.persist(), p.stores, ORIGINS)
 
 
 @query("select Store, Date, round(target, 6) as target from features where Date < date '2015-06-20' and target is not null", "features")
@@ -353,12 +402,18 @@ def baseline_source_weeks(p: Panel) -> DataFrame:
     return baselines.source_weeks(p.pred)
 
 
-@query("select fold, model, Promo, round(sum(pred - y) / sum(y) * 100, 6) as bias_pct, round(avg(abs(pred - y) / y) * 100, 6) as ape from pred group by 1, 2, 3", "pred")
+@query("select fold, model, Promo, round(avg(pred / y - 1) * 100, 6) as bias_pct, round(avg(abs(pred / y - 1)) * 100, 6) as ape from pred where fold in ('winter', 'spring', 'summer') group by 1, 2, 3", "pred")
 def baseline_errors_by_promo(p: Panel) -> DataFrame:
     return baselines.promo_errors(p.pred)
 
 
-@query("select model, Promo = from_promo as same_promo, count(*) as days, round(avg(abs(pred - y) / y) * 100, 6) as ape from pred where from_promo is not null group by 1, 2", "pred")
+@query(
+    """select 'lag_' || w as model, round(avg(coalesce((s.Promo = b.Promo)::int, 0)) * 100, 6) as same_share, round(avg(abs(s.Customers - b.Customers) / b.Customers) filter (s.Promo = b.Promo) * 100, 6) as ape_same,
+ round(avg(abs(s.Customers - b.Customers) / b.Customers) filter (s.Promo <> b.Promo) * 100, 6) as ape_other from (select unnest([7, 14]) as w) cross join calendar b join folds f on b.Date between f.start and f."end" and fold <> 'holdout' left join lateral (
+ select Promo, Customers from calendar c where c.Store = b.Store and c.day_status = 'open' and c.Date < b.Date and c.Date >= b.Date - 364 and (b.Date - c.Date) % w = 0 order by c.Date desc limit 1) s on true where b.day_status = 'open' group by w""",
+    "calendar",
+    "folds",
+)
 def baseline_errors_by_phase(p: Panel) -> DataFrame:
     return baselines.phase_errors(p.pred)
 
@@ -406,19 +461,19 @@ def improvement_over_base(p: Panel) -> DataFrame:
 
 _boot = """blocks as (select model, Store, date_diff('day', date '2015-06-20', Date) // 7 as week, count(*) as n, sum(abs(pred - y)) as e, sum(abs(pred - y) / y) as r from pred where fold = 'holdout' group by 1, 2, 3),
  bk as (select Store, week, row_number() over (order by Store, week) - 1 as block, count(*) over () as b from (select distinct Store, week from blocks)),
- dr as (select draw, ('0x' || substr(md5('42|' || draw || '|' || slot), 1, 8))::bigint % b as block from (select unnest(range(50)) as draw), (select block as slot, b from bk)),
+ dr as (select draw, ('0x' || substr(md5('42|' || draw || '|' || slot), 1, 8))::bigint % b as block from (select unnest(range(2000)) as draw), (select block as slot, b from bk)),
  tm as (select draw, block, count(*) as t from dr group by 1, 2),
  boot as (select draw, model, sum(t * e) / sum(t * n) as mae, sum(t * r) / sum(t * n) * 100 as mape from blocks join bk using (Store, week) join tm using (block) group by 1, 2)"""
 
 
 @query(None)
 def bootstrap_draws(p: Panel) -> DataFrame:
-    return scoring.bootstrap(scoring.block_sums(p.pred.filter(HELD), "2015-06-20"), 50)
+    return scoring.bootstrap(scoring.block_sums(p.pred.filter(HELD), "2015-06-20"))
 
 
 @query(None)
 def bootstrap_gains(p: Panel) -> DataFrame:
-    return scoring.bootstrap_gains(scoring.bootstrap(scoring.block_sums(p.pred.filter(HELD), "2015-06-20"), 50), "median_7_28")
+    return scoring.bootstrap_gains(scoring.bootstrap(scoring.block_sums(p.pred.filter(HELD), "2015-06-20")), "median_7_28")
 
 
 SQL["bootstrap_draws"] = text("", "pred").rstrip() + ",\n" + _boot + " select draw, model, round(mae, 6) as mae, round(mape, 6) as mape from boot"

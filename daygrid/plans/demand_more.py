@@ -2,41 +2,78 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import audit, baselines, forecast, models, sampling, scoring
-from ..operators.features import build_features, category_levels
+from ..operators.features import CATEGORICAL, EVENTS, MODEL_NUMERIC, build_features, category_levels
+from ..sources import panel
 from .demand import FLAG_COLUMNS, HELD, SQL, Panel, query
-from .oracle import cte, text
-
-cte("prof0", ("history", "runs", "dim"), """
- select h.*, m.* exclude (Store), coalesce(r.n_long_closures, 0) as n_long_closures, coalesce(r.long_closure_days, 0) as long_closure_days, coalesce(r.lc, false) as has_left_censored, coalesce(r.ct, false) as closed_in_test from (
- select Store, (select max(Date) - min(Date) + 1 from history) - count(*) as missing_days, count(*) filter (Date < date '2015-06-20' and Open = 0) as closed_days, count(*) filter (Date < date '2015-06-20') as train_days,
-  count(*) filter (Date < date '2015-06-20' and Open = 1 and Customers = 0) as n_anomalies, count(*) filter (DayOfWeek = 7 and Open = 1) as sunday_open_days, count(*) filter (Date >= date '2015-06-20' and Open = 1) as open_days_test,
-  quantile_cont(Customers::double, 0.5) filter (Date < date '2015-06-20' and Open = 1 and Customers > 0) as guests_median,
-  stddev_samp(Customers) filter (Date < date '2015-06-20' and Open = 1 and Customers > 0) / avg(Customers) filter (Date < date '2015-06-20' and Open = 1 and Customers > 0) as guests_cv,
-  sum(Sales) filter (Date < date '2015-06-20' and Open = 1 and Customers > 0) / sum(Customers) filter (Date < date '2015-06-20' and Open = 1 and Customers > 0) as avg_check,
-  count(*) filter (Open = 1 and Customers > 0 and Date between date '2014-01-01' and date '2014-06-19') as open_days_2014, count(*) filter (Open = 1 and Customers > 0 and Date between date '2015-01-01' and date '2015-06-19') as open_days_2015,
-  avg(Customers) filter (Open = 1 and Customers > 0 and Date between date '2015-01-01' and date '2015-06-19') / avg(Customers) filter (Open = 1 and Customers > 0 and Date between date '2014-01-01' and date '2014-06-19') - 1 as growth_raw
- from history group by 1) h join dim m on m.Store = h.Store
- left join (select Store, count(*) filter (is_long and start < date '2015-06-20') as n_long_closures, sum(case when is_long and start < date '2015-06-20' then days else 0 end) as long_closure_days, bool_or(is_long and is_left_censored) as lc, bool_or(is_long and in_test) as ct from runs group by 1) r on r.Store = h.Store""")
-cte("profile", ("prof0",), """
- select *, (closed_days - long_closure_days) / train_days as share_regular_closed, long_closure_days / train_days as share_long_closed, missing_days > 0 as has_export_gap, n_long_closures > 0 as has_long_closure, sunday_open_days > 0 as sunday_open,
-  case when least(open_days_2014, open_days_2015) >= 120 then growth_raw end as growth_yoy from prof0""")
-cte("netseries", ("history", "gaps"), """
- select Date, m as mean, case when count(m) over w >= 20 then avg(m) over w end as rolling from (select Date, avg(Customers) as m from history where Store not in (select Store from gaps) and DayOfWeek <= 6 and StateHoliday = '0' and Open = 1 group by 1)
+from .oracle import cte
+
+cte("active", ("history",), "select * from history where Date <= date '2015-06-19' and Open = 1 and Customers > 0")
+cte("long_runs", ("runs",), "select * from runs where is_long")
+cte("profile", ("history", "active", "long_runs", "dim"), """
+ with guests as (select Store, quantile_cont(Customers::double, 0.5) as guests_median, stddev_samp(Customers) / avg(Customers) as guests_cv, sum(Sales) / sum(Customers) as avg_check from active group by 1),
+ w14 as (select Store, count(*) as n, avg(Customers) as m from active where Date >= date '2014-01-01' and Date <= date '2014-06-19' group by 1),
+ w15 as (select Store, count(*) as n, avg(Customers) as m from active where Date >= date '2015-01-01' group by 1),
+ shut as (select Store, count(*) as n, sum(days) as days from long_runs group by 1),
+ closed as (select Store, count(*) as n from history where Open = 0 group by 1), size as (select Store, count(*) as n from history group by 1),
+ odd as (select Store, count(*) as n from history where Date <= date '2015-06-19' and Open = 1 and Customers = 0 group by 1),
+ sundays as (select Store, count(*) as n from history where Open = 1 and isodow(Date) = 7 group by 1), test as (select Store, sum(Open) as n from history where Date >= date '2015-06-20' group by 1),
+ every as (select d.Store, StoreType, Assortment, CompetitionDistance, Promo2, segment, coalesce(since > (select min(Date) from history) and since <= date '2015-06-19', false) as competitor_opened_in_train,
+  (select date_diff('day', min(Date), max(Date)) + 1 from history) - size.n as missing_days, coalesce(shut.n, 0) as n_long_closures, coalesce(shut.days, 0)::bigint as long_closure_days,
+  (coalesce(closed.n, 0) - coalesce(shut.days, 0)) / size.n as share_regular_closed, coalesce(shut.days, 0) / size.n as share_long_closed, coalesce(odd.n, 0) as n_anomalies, coalesce(sundays.n, 0) as sunday_open_days,
+  coalesce(test.n, 0)::bigint as open_days_test, guests_median, guests_cv, avg_check, coalesce(w14.n, 0) as open_days_2014, coalesce(w15.n, 0) as open_days_2015, w15.m / w14.m - 1 as growth_raw
+  from dim d join size using (Store) left join guests using (Store) left join w14 using (Store) left join w15 using (Store) left join shut using (Store) left join closed using (Store) left join odd using (Store) left join sundays using (Store) left join test using (Store))
+ select *, missing_days > 1 as has_export_gap, n_long_closures > 0 as has_long_closure, Store in (select Store from long_runs where is_left_censored) as has_left_censored,
+  Store in (select Store from long_runs where in_test) as closed_in_test, sunday_open_days > 0 as sunday_open, case when open_days_2014 >= 120 and open_days_2015 >= 120 then growth_raw end as growth_yoy, n_anomalies > 0 as has_anomaly from every""")
+cte("netseries", ("active", "gaps"), """
+ select Date, m as mean, case when count(m) over w >= 20 then avg(m) over w end as rolling from (
+  select Date, avg(Customers) as m from active where not exists (select 1 from gaps where gaps.Store = active.Store and gaps.days > 1) and isodow(Date) <> 7 and StateHoliday = '0' group by 1)
  window w as (order by Date rows between 27 preceding and current row)""")
 cte("terc", ("profile",), "select quantile_cont(growth_yoy, 1.0 / 3) as a, quantile_cont(growth_yoy, 2.0 / 3) as b from profile where not closed_in_test")
-cte("pool", ("profile", "terc"), "select p.*, n_anomalies > 0 as has_anomaly, case when growth_yoy is null then 'no data' when growth_yoy <= a then '1' when growth_yoy <= b then '2' else '3' end as growth_tercile from profile p cross join terc where not closed_in_test")
-_features = ["guests_median", "avg_check", "guests_cv", "growth_yoy", "log_distance", "has_export_gap", "has_long_closure", "has_left_censored", "sunday_open", "has_anomaly"] + [f"StoreType_{c}" for c in "abcd"] + [f"Assortment_{c}" for c in "abc"]
-cte("frame", ("profile",), f"""
- select Store, segment, unnest({_features}) as feature, unnest([guests_median, avg_check, guests_cv, growth_yoy, log10(CompetitionDistance), has_export_gap::int::double, has_long_closure::int::double, has_left_censored::int::double, sunday_open::int::double, (n_anomalies > 0)::int::double,
-  {', '.join(f"(StoreType = '{c}')::int::double" for c in 'abcd')}, {', '.join(f"(Assortment = '{c}')::int::double" for c in 'abc')}]) as x from profile""")
+cte("pool", ("profile", "terc"), "select p.*, case when growth_yoy is null then 'no data' when growth_yoy <= a then '1' when growth_yoy <= b then '2' else '3' end as growth_tercile from profile p cross join terc where not closed_in_test")
+# The sample: mandatory flags one after another, then quotas by segment and, inside, by tercile.
+cte("m0", ("pool",), "select *, md5('42|' || Store) as draw, cast(null as varchar) as reason from pool")
+for _i, (_flag, _quota_) in enumerate(sampling.MANDATORY.items()):
+    cte(f"m{_i + 1}", (f"m{_i}",), f"""
+ select * replace (case when {_flag} and reason is null and row_number() over (partition by {_flag} and reason is null order by draw, Store) <= {_quota_} - count(*) filter ({_flag} and reason is not null) over () then 'mandatory:{_flag}' else reason end as reason) from m{_i}""")
+
+
+def _quotas(total: str, minimum: int, by: str) -> str:
+    """Largest remainder over rows (g, size) within `by`."""
+    over = f"over (partition by {by})" if by else "over ()"
+    rank = f"partition by {by + ', ' if by else ''}fixed is null"
+    return f"""(with a as (select *, {total} * size / sum(size) {over} as share from src), b as (select *, case when share < {minimum} then least({minimum}, size) end as fixed from a),
+ c as (select *, ({total} - coalesce(sum(fixed) {over}, 0)) * (case when fixed is null then size end) / sum(case when fixed is null then size end) {over} as exact from b),
+ d as (select *, {total} - coalesce(sum(fixed) {over}, 0) - coalesce(sum(floor(exact)) {over}, 0) as lft from c)
+ select *, cast(coalesce(fixed, floor(exact) + case when row_number() over ({rank} order by round(exact - floor(exact), 9) desc, g) <= lft then 1 else 0 end) as bigint) as quota from d)"""
+
+
+_last = f"m{len(sampling.MANDATORY)}"
+_size = "least(40, greatest(1, (select count(*) from pool) // 2))"
+cte("segment_quota", (_last,), f"with src as (select segment as g, count(*) as size from {_last} group by 1) select g, size, quota from {_quotas(_size, 5, '')}")
+cte("stratum_quota", ("segment_quota",), f"""
+ with src as (select m.segment, growth_tercile as g, count(*) as size, count(reason) as had, any_value(q.quota) as total from {_last} m join segment_quota q on q.g = m.segment group by 1, 2)
+ select segment, g, had, total, quota from {_quotas('total', 0, 'segment')}""")
+cte("needs", ("stratum_quota",), """
+ with units as (select segment, g, greatest(total - (select sum(had) from stratum_quota o where o.segment = q.segment), 0) as room, unnest(range(1, greatest(quota - had, 0)::bigint + 1)) as unit from stratum_quota q)
+ select segment, g, count(*) as need from (select *, row_number() over (partition by segment order by unit, g desc) as turn from units) where turn <= room group by 1, 2""")
+cte("sample", ("needs",), f"""
+ select * from (select m.* replace (case when reason is null and row_number() over (partition by m.segment, growth_tercile, reason is null order by draw, Store) <= need then 'stratified' else reason end as reason)
+ from {_last} m left join needs on needs.segment = m.segment and needs.g = m.growth_tercile) where reason is not null""")
+_features = ["guests_median", "avg_check", "guests_cv", "growth_yoy", "log10_competition_distance", "Promo2", "competitor_opened_in_train", "has_export_gap", "has_long_closure", "sunday_open"] + [f"StoreType_{c}" for c in "abcd"] + [f"Assortment_{c}" for c in "abc"]
+cte("frame", ("pool", "sample"), f"""
+ select Store, segment, Store in (select Store from sample) as s, unnest({_features}) as feature, unnest([guests_median, avg_check, guests_cv, growth_yoy, log10(CompetitionDistance), Promo2::double, competitor_opened_in_train::int::double, has_export_gap::int::double, has_long_closure::int::double, sunday_open::int::double,
+  {', '.join(f"(StoreType = '{c}')::int::double" for c in 'abcd')}, {', '.join(f"(Assortment = '{c}')::int::double" for c in 'abc')}]) as x from pool""")
 _smd = "case when sqrt((coalesce(var_samp(x) filter (s), 0) + coalesce(var_samp(x), 0)) / 2) > 1e-12 then (avg(x) filter (s) - avg(x)) / sqrt((coalesce(var_samp(x) filter (s), 0) + coalesce(var_samp(x), 0)) / 2) else 0.0 end"
-cte("sims", ("frame",), f"""
- select sim, feature, {_smd} as smd from (select f.*, p.sim, p.k <= greatest(2, n // 2) as s from frame f join (
- select Store, sim, row_number() over (partition by sim order by md5('42|' || sim || '|' || Store), Store) as k, count(*) over (partition by sim) as n from (select distinct Store from frame) cross join (select unnest(range(50)) as sim)) p on p.Store = f.Store) group by 1, 2""")
+cte("core", ("frame",), f"select * from frame where segment <> 'high_traffic' and feature not in {sampling.BY_DESIGN}")
+cte("sims", ("core",), f"""
+ with n as (select count(distinct Store) filter (s) as n from core), k as (select Store, sim, row_number() over (partition by sim order by md5('42|' || sim || '|' || Store), Store) as k from (select distinct Store from core) cross join (select unnest(range(500)) as sim))
+ select sim, feature, {_smd} as smd from (select c.feature, c.x, k.sim, k.k <= n.n as s from core c join k using (Store) cross join n) group by 1, 2""")
 cte("good0", ("requests", "history", "plan"), "select distinct restaurant as Store, origin from requests")
 cte("wk", ("good0",), """
  select r.Store, r.origin, r.origin + cast(k as integer) as Date, d.Open, d.Promo, d.StateHoliday, d.SchoolHoliday from good0 r cross join (select unnest(range(7)) as k)
@@ -44,7 +81,7 @@ cte("wk", ("good0",), """
  on d.Store = r.Store and d.Date = r.origin + cast(k as integer)""")
 cte("checked", ("wk",), """
  select r.Store as restaurant, r.origin, case when r.Store <= 0 then 'store number must be positive' when s.b is null then 'unknown store' when r.origin <= s.a then 'date before the history' when r.origin > s.b + 1 then 'date after the history'
-  when coalesce(n, 0) < 12 then 'history too short' when g.gone > 0 then 'no plan for ' || g.days end as error
+  when g.gone > 0 then 'no plan for ' || g.days when coalesce(n, 0) < 12 then 'history too short' end as error
  from good0 r left join (select Store, min(Date) as a, max(Date) as b from history group by 1) s on s.Store = r.Store
  left join (select r.Store, r.origin, count(*) as n from good0 r join history h on h.Store = r.Store and h.Date <= r.origin - 7 and h.Open = 1 and h.Customers > 0 group by 1, 2) o on o.Store = r.Store and o.origin = r.origin
  left join (select Store, origin, count(*) filter (Open is null) as gone, string_agg(case when Open is null then Date::varchar end, ',' order by Date) as days from wk group by 1, 2) g on g.Store = r.Store and g.origin = r.origin""")
@@ -54,11 +91,18 @@ cte("weeks", ("ok", "wk"), """
   select cast(h.Customers as double) from history h where h.Store = w.Store and h.Date < w.origin and h.Open = 1 and h.Customers > 0 and h.Date >= w.Date - 364 and (w.Date - h.Date) % 7 = 0 order by h.Date desc limit 1) end as baseline_lag_7, a.Customers as actual
  from wk w join ok on ok.Store = w.Store and ok.origin = w.origin left join history a on a.Store = w.Store and a.Date = w.Date""")
 
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """A small table that several parts of a query read: cached in Spark, which drops it when the session or its cache is cleared."""
+    return df.persist()
+
+
 # Profile
 
 
 @query(
-    """select Store, StoreType, Assortment, CompetitionDistance, Promo2, missing_days, n_long_closures, long_closure_days, round(share_regular_closed, 6) as share_regular_closed, round(share_long_closed, 6) as share_long_closed, n_anomalies, sunday_open_days, open_days_test,
+    """select Store, StoreType, Assortment, CompetitionDistance, Promo2, competitor_opened_in_train, missing_days, n_long_closures, long_closure_days, round(share_regular_closed, 6) as share_regular_closed, round(share_long_closed, 6) as share_long_closed, n_anomalies, sunday_open_days, open_days_test,
  guests_median, round(guests_cv, 6) as guests_cv, round(avg_check, 6) as avg_check, open_days_2014, open_days_2015, round(growth_raw, 6) as growth_raw, has_export_gap, has_long_closure, has_left_censored, closed_in_test, sunday_open, round(growth_yoy, 6) as growth_yoy, segment from profile""",
     "profile",
 )
@@ -96,6 +140,11 @@ def traffic_check_correlation(p: Panel) -> DataFrame:
     return audit.spearman(p.profile, "guests_median", "avg_check")
 
 
+@query("select round(corr(ra, rb), 6) as rho from (select rank() over (order by guests_median) + (count(*) over (partition by guests_median) - 1) / 2 as ra, rank() over (order by guests_cv) + (count(*) over (partition by guests_cv) - 1) / 2 as rb from profile)", "profile")
+def traffic_variation_correlation(p: Panel) -> DataFrame:
+    return audit.spearman(p.profile, "guests_median", "guests_cv")
+
+
 @query(
     "select Store, case when CompetitionDistance is null then null when CompetitionDistance <= q[1] then '1' when CompetitionDistance <= q[2] then '2' when CompetitionDistance <= q[3] then '3' else '4' end as quartile from stores cross join (select quantile_cont(CompetitionDistance, [0.25, 0.5, 0.75]) as q from stores)",
     "stores",
@@ -110,20 +159,21 @@ def segment_summary(p: Panel) -> DataFrame:
 
 
 _eps = """select '{g}' as feature, '{v}' as target, round((12.0 / (n * (n + 1)) * s - 3 * (n + 1)) / nullif(1 - t / (n * n * n - n), 0) / nullif(n - 1, 0), 6) as eps2 from
- (select sum(r * r / k) as s, sum(k)::double as n from (select {g}, sum(rk) as r, count(*) as k from (select {g}, rank() over (order by {v}) + (count(*) over (partition by {v}) - 1) / 2 as rk from profile where {g} is not null and {v} is not null) group by 1)),
- (select sum(c * c * c - c)::double as t from (select count(*)::double as c from profile where {g} is not null and {v} is not null group by {v}))"""
+ (select sum(r * r / k) as s, sum(k)::double as n from (select {g}, sum(rk) as r, count(*) as k from (select {g}, rank() over (order by {v}) + (count(*) over (partition by {v}) - 1) / 2 as rk from grouped where {g} is not null and {v} is not null) group by 1)),
+ (select sum(c * c * c - c)::double as t from (select count(*)::double as c from grouped where {g} is not null and {v} is not null group by {v}))"""
+
+
+GROUPINGS, TARGETS = ("StoreType", "Assortment", "Promo2", "distance_quartile", "competitor_opened_in_train"), ("guests_median", "avg_check", "growth_yoy")
+cte("grouped", ("profile",), """
+ select p.*, case when CompetitionDistance is null then null when CompetitionDistance <= q[1] then '1' when CompetitionDistance <= q[2] then '2' when CompetitionDistance <= q[3] then '3' else '4' end as distance_quartile
+ from profile p cross join (select quantile_cont(CompetitionDistance, [0.25, 0.5, 0.75]) as q from profile)""")
 
 
-@query(" union all ".join(_eps.format(g=g, v=v) for g in ("segment", "Assortment") for v in ("guests_median", "avg_check")), "profile")
+@query(" union all ".join(_eps.format(g=g, v=v) for g in GROUPINGS for v in TARGETS), "grouped")
 def effect_sizes(p: Panel) -> DataFrame:
-    """Kruskal-Wallis effect sizes of two groupings on two targets."""
-    rows = p.profile.persist()
-    out = None
-    for g in ("segment", "Assortment"):
-        for v in ("guests_median", "avg_check"):
-            e = audit.epsilon_squared(rows, g, v)
-            out = e if out is None else out.unionByName(e)
-    return out
+    """Kruskal-Wallis effect sizes of five groupings on three targets."""
+    rows = kept(audit.quantile_bin(p.profile, "CompetitionDistance", 4, "distance_quartile"))
+    return reduce(DataFrame.unionByName, [audit.epsilon_squared(rows, g, v) for g in GROUPINGS for v in TARGETS])
 
 
 @query("select segment as \"group\", guests_median as value, round(cume_dist() over (partition by segment order by guests_median), 6) as share from profile where guests_median is not null", "profile")
@@ -131,9 +181,9 @@ def guests_ecdf(p: Panel) -> DataFrame:
     return audit.ecdf(p.profile, "segment", "guests_median")
 
 
-@query("select growth_tercile as \"group\", count(*) as stores, min(open_days_2015) as least, max(open_days_2015) as most from pool group by 1", "pool")
+@query("select growth_tercile as \"group\", count(*) as stores, round(min(growth_yoy), 6) as least, round(max(growth_yoy), 6) as most from pool group by 1", "pool")
 def observations_by_tercile(p: Panel) -> DataFrame:
-    return audit.observation_summary(sampling.eligible(p.profile), "growth_tercile", "open_days_2015")
+    return audit.observation_summary(p.pool, "growth_tercile", "growth_yoy")
 
 
 # Sampling
@@ -144,99 +194,115 @@ def eligible_pool(p: Panel) -> DataFrame:
     return sampling.eligible(p.profile).select("Store", "segment", "has_anomaly", "growth_tercile")
 
 
-_quota = """sz as (select segment as g, count(*) as size from pool group by 1), sh as (select *, least(20, (select sum(size) from sz)) * size / sum(size) over () as share from sz),
- fx as (select *, case when share < 2 then least(2, size) end as fixed from sh), ex as (select *, (least(20, (select sum(size) from sz)) - coalesce(sum(fixed) over (), 0)) * (case when fixed is null then size end) / sum(case when fixed is null then size end) over () as exact from fx),
- bs as (select *, floor(exact) as base, least(20, (select sum(size) from sz)) - coalesce(sum(fixed) over (), 0) - coalesce(sum(floor(exact)) over (), 0) as lft from ex)
- select g as "group", size, cast(coalesce(fixed, base + case when row_number() over (partition by fixed is null order by round(exact - base, 9) desc, g) <= lft then 1 else 0 end) as bigint) as quota from bs"""
+def drawn(p: Panel) -> tuple[DataFrame, DataFrame]:
+    """The eligible pool and a stratified sample of half of it, forty stores at most."""
+    pool = kept(p.pool)
+    return pool, kept(sampling.select_stores(pool, min(40, max(1, pool.count() // 2))))
 
 
-@query(None)
+@query('select g as "group", size, quota from segment_quota', "segment_quota")
 def segment_quotas(p: Panel) -> DataFrame:
-    pool = sampling.eligible(p.profile).persist()
+    pool = kept(p.pool)
     sizes = pool.groupBy(F.col("segment").alias("group")).agg(F.count("*").alias("size"))
-    return sampling.proportional_quota(sizes, min(20, pool.count()), 2)
+    return sampling.proportional_quota(sizes, min(40, max(1, pool.count() // 2)), sampling.MIN_PER_SEGMENT)
 
 
-@query(None)
+@query(f"select Store, reason, segment, StoreType, growth_tercile, {', '.join(sampling.FLAGS)} from sample", "sample")
 def selected_stores(p: Panel) -> DataFrame:
-    """A stratified sample of half of the eligible stores, forty at most, with reason and flags."""
-    rows = p.profile.persist()
-    size = min(40, max(1, sampling.eligible(rows).count() // 2))
-    return sampling.chosen_table(rows, sampling.select_stores(sampling.eligible(rows), size))
+    """The sample with reason and flags."""
+    return sampling.chosen_table(*drawn(p))
 
 
-@query(f"select feature, round({_smd}, 6) as smd from (select *, Store % 3 = 1 as s from frame) group by 1", "frame")
-def sample_balance(p: Panel) -> DataFrame:
-    rows = p.profile
-    return sampling.smd(sampling.balance_frame(rows), rows.filter("Store % 3 = 1"))
+@query("select case when grouping(segment) = 1 then 'all' else segment end as segment, case when grouping(growth_tercile) = 1 then 'all' else growth_tercile end as growth_tercile, count(*) as n from sample group by cube (segment, growth_tercile)", "sample")
+def segment_by_tercile(p: Panel) -> DataFrame:
+    pool, sample = drawn(p)
+    return audit.cross_tab(pool.join(sample, "Store", "left_semi"), "segment", "growth_tercile")
 
 
-@query("select sim, feature, round(smd, 6) as smd from sims", "sims")
-def simulated_balance(p: Panel) -> DataFrame:
-    rows = p.profile.persist()
-    return sampling.simulate(sampling.balance_frame(rows), max(2, rows.count() // 2), 50)
+cte("own_smd", ("frame",), f"select feature, avg(x) as whole_mean, avg(x) filter (s) as sample_mean, {_smd} as smd from frame group by 1")
+cte("core_smd", ("frame",), f"select feature, {_smd} as smd from frame where segment <> 'high_traffic' group by 1")
 
 
-@query("select round(quantile_cont(m, 0.95), 6) as threshold from (select sim, max(abs(smd)) as m from sims group by 1)", "sims")
-def balance_threshold(p: Panel) -> DataFrame:
-    rows = p.profile.persist()
-    return sampling.threshold(sampling.simulate(sampling.balance_frame(rows), max(2, rows.count() // 2), 50))
+@query("select feature, round(smd, 6) as smd from own_smd", "own_smd")
+def sample_balance(p: Panel) -> DataFrame:
+    pool, sample = drawn(p)
+    return sampling.smd(sampling.balance_frame(pool), sample)
 
 
 @query(
-    """select what, cast(n as bigint) as n from (select count(*) filter (has_export_gap) as has_export_gap, count(*) filter (has_long_closure) as has_long_closure, count(*) filter (has_left_censored) as has_left_censored, count(*) filter (sunday_open) as sunday_open,
- coalesce(sum(n_anomalies), 0)::bigint as anomalous_days, count(*) as stores, (select count(distinct Date) from history where Store % 3 = 1 and StateHoliday <> '0') as holiday_dates, (select count(*) from history where Store % 3 = 1) as "rows" from profile where Store % 3 = 1)
- unpivot (n for what in (has_export_gap, has_long_closure, has_left_censored, sunday_open, anomalous_days, stores, holiday_dates, "rows"))""",
-    "profile",
+    f"select o.feature, round(whole_mean, 6) as whole_mean, round(sample_mean, 6) as sample_mean, round(o.smd, 6) as smd, round(c.smd, 6) as smd_without, o.feature in {sampling.BY_DESIGN} as by_design from own_smd o join core_smd c using (feature)",
+    "own_smd",
+    "core_smd",
 )
-def sample_phenomena(p: Panel) -> DataFrame:
-    rows = p.profile
-    return sampling.phenomena(rows, p.history, rows.filter("Store % 3 = 1").select("Store"))
+def balance_without_segment(p: Panel) -> DataFrame:
+    pool, sample = drawn(p)
+    return sampling.balance_table(sampling.balance_frame(pool), sample)
 
 
-cte("own_smd", ("frame",), f"select feature, {_smd} as smd from (select *, Store % 3 = 1 as s from frame) group by 1")
+def simulated(p: Panel) -> tuple[DataFrame, DataFrame]:
+    """Differences of the sample and of 500 random ones of its size, by the criterion's features and stores."""
+    pool, sample = drawn(p)
+    frame = kept(sampling.core(sampling.balance_frame(pool)))
+    own = sample.join(frame, "Store", "left_semi")
+    return sampling.smd(frame, own), sampling.simulate(frame, own.count())
+
+
+@query("select sim, feature, round(smd, 6) as smd from sims", "sims")
+def simulated_balance(p: Panel) -> DataFrame:
+    return simulated(p)[1]
+
+
+@query("select round(quantile_cont(m, 0.95), 6) as threshold from (select sim, max(abs(smd)) as m from sims group by 1)", "sims")
+def balance_threshold(p: Panel) -> DataFrame:
+    return sampling.threshold(simulated(p)[1])
 
 
 @query(
     """select o.feature, round(o.smd, 6) as smd, round(avg(case when round(abs(s.smd), 9) > round(abs(o.smd), 9) then 1 else 0 end), 6) as share_larger,
- round(abs(o.smd), 9) <= round((select quantile_cont(m, 0.95) from (select sim, max(abs(smd)) as m from sims group by 1)), 9) as balanced from own_smd o join sims s on s.feature = o.feature group by o.feature, o.smd""",
-    "own_smd",
+ round(abs(o.smd), 9) <= round((select quantile_cont(m, 0.95) from (select sim, max(abs(smd)) as m from sims group by 1)), 9) as balanced from core_smd o join sims s on s.feature = o.feature group by o.feature, o.smd""",
+    "core_smd",
     "sims",
 )
 def balance_verdict(p: Panel) -> DataFrame:
-    rows = p.profile.persist()
-    frame = sampling.balance_frame(rows)
-    return sampling.verdict(sampling.smd(frame, rows.filter("Store % 3 = 1")), sampling.simulate(frame, max(2, rows.count() // 2), 50))
+    return sampling.verdict(*simulated(p))
 
 
 @query(
-    f"""select o.feature, round(o.smd, 6) as smd, round(w.smd, 6) as smd_without, o.feature = 'sunday_open' as by_design from own_smd o
- join (select feature, {_smd} as smd from (select *, Store % 3 = 1 as s from frame where segment <> 'high_traffic') group by 1) w on w.feature = o.feature""",
-    "own_smd",
+    "select 'stores' as what, count(*) as n from sample union all select 'anomalous_days', sum(n_anomalies)::bigint from sample "
+    + " ".join(f"union all select '{f}', count(*) from sample where {f}" for f in sampling.FLAGS)
+    + " union all select 'holiday_dates', count(distinct Date) from history semi join sample using (Store) where StateHoliday <> '0' union all select 'rows', count(*) from history semi join sample using (Store)"
+    + " union all select 'segment ' || segment, count(*) from sample group by segment union all select 'growth ' || growth_tercile, count(*) from sample group by growth_tercile",
+    "sample",
 )
-def balance_without_segment(p: Panel) -> DataFrame:
-    rows = p.profile.persist()
-    return sampling.balance_table(sampling.balance_frame(rows), rows.filter("Store % 3 = 1"), "high_traffic", ("sunday_open",))
+def sample_phenomena(p: Panel) -> DataFrame:
+    pool, sample = drawn(p)
+    return sampling.phenomena(pool, p.history, sample)
 
 
 # Scores by profile
 
-_groups = "(select Store, unnest(list_filter(['all', segment, case when has_export_gap then 'has_export_gap' end, case when has_long_closure then 'has_long_closure' end, case when has_left_censored then 'has_left_censored' end, case when closed_in_test then 'closed_in_test' end, case when sunday_open then 'sunday_open' end], lambda x: x is not null)) as g from profile)"
+
+def flagged(p: Panel) -> DataFrame:
+    return p.profile.withColumn("has_anomaly", F.col("n_anomalies") > 0)
+
+
+_set = ", ".join(f"case when {f} then '{f}' end" for f in FLAG_COLUMNS)
+_groups = f"(select Store, unnest(list_filter(['all', segment, {_set}], lambda x: x is not null)) as g from profile)"
 
 
 @query(f'select model, g as "group", count(distinct pred.Store) as stores, round(avg(abs(pred - y) / y) * 100, 6) as ape from pred join {_groups} q on q.Store = pred.Store where fold = \'holdout\' group by 1, 2', "pred", "profile")
 def errors_by_store_group(p: Panel) -> DataFrame:
-    return scoring.by_group(p.pred.filter(HELD), p.profile, FLAG_COLUMNS)
+    return scoring.by_group(p.pred.filter(HELD), flagged(p), FLAG_COLUMNS)
 
 
 @query(
-    """select Store, round(m, 6) as mape, round(b, 6) as bias_pct, array_to_string(list_filter([case when has_export_gap then 'has_export_gap' end, case when has_long_closure then 'has_long_closure' end, case when has_left_censored then 'has_left_censored' end, case when closed_in_test then 'closed_in_test' end, case when sunday_open then 'sunday_open' end], lambda x: x is not null), ',') as flags
+    f"""select Store, round(m, 6) as mape, round(b, 6) as bias_pct, array_to_string(list_filter([{_set}], lambda x: x is not null), ',') as flags
  from (select Store, avg(abs(pred - y) / y) * 100 as m, sum(pred - y) / sum(y) * 100 as b from pred where fold = 'holdout' and model = 'lag_7' group by 1) join profile using (Store) order by m desc, Store limit 6""",
     "pred",
     "profile",
 )
 def worst_stores(p: Panel) -> DataFrame:
-    return scoring.worst_stores(p.pred.filter(HELD), p.profile, "lag_7", FLAG_COLUMNS)
+    return scoring.worst_stores(p.pred.filter(HELD), flagged(p), "lag_7", FLAG_COLUMNS)
 
 
 # Weekly forecasts
@@ -275,11 +341,15 @@ def store_coverage(p: Panel) -> DataFrame:
     return forecast.coverage(p.history, p.plan, dim)
 
 
-@query(None)
+@query(
+    "select ok.Store, ok.origin, ok.origin + k::integer as Date, round(level, 6) as level, round(lag_filled, 6) as lag_filled, f.Store is not null as known from ok cross join (select unnest(range(7)) as k) left join features f on f.Store = ok.Store and f.Date = ok.origin + k::integer",
+    "ok",
+    "features",
+)
 def one_pass_weeks(p: Panel) -> DataFrame:
-    """Levels and lags of all request days from one feature table."""
+    """Levels and lags of all request days from one feature table; days after the calendar are not known to it."""
     good = forecast.good(forecast.check_requests(p.requests, p.history, p.plan))
-    return forecast.one_pass_features(good, p.calendar, p.stores).select("Store", "origin", "Date", "level", "lag_filled")
+    return forecast.one_pass_features(good, p.calendar, p.stores).select("Store", "origin", "Date", "level", "lag_filled", "known")
 
 
 # Models
@@ -287,7 +357,7 @@ def one_pass_weeks(p: Panel) -> DataFrame:
 
 @query(
     """select * from (select f.Store, f.Date, round(case when changed then target - ratio + center + sign(score) * 5 * scale else target end, 6) as target, changed from (
- select f.*, coalesce(abs(score) > 5 and not (days_since_reopen is not null or days_to_long_closure is not null or next_holiday <> 'none' or prev_holiday <> 'none' or easter_day <> 'none' or carnival_day <> 'none' or christmas_day <> 'none'), false) as changed, ratio, center, scale, score
+ select f.*, coalesce(abs(score) > 5 and not (days_since_reopen <> 'none' or days_to_long_closure <> 'none' or next_holiday <> 'none' or prev_holiday <> 'none' or easter_day <> 'none' or carnival_day <> 'none' or christmas_day <> 'none'), false) as changed, ratio, center, scale, score
  from features f join (select *, case when scale <> 0 then (ratio - center) / scale end as score from (select *, 1.4826 * quantile_cont(abs(ratio - center), 0.5) over (partition by Store) as scale from (select *, quantile_cont(ratio, 0.5) over (partition by Store) as center from (
  select *, ln(y / nullif(case when count(y) over n >= 3 then quantile_cont(y, 0.5) over n end, 0)) as ratio from (select Store, Date, DayOfWeek, Promo, Customers::double as y from calendar where day_status = 'open' and Date < date '2015-06-20') window n as (partition by Store, DayOfWeek, Promo order by Date rows between 2 preceding and 2 following))))) d using (Store, Date) where target is not null) f)""",
     "features",
@@ -298,10 +368,11 @@ def clipped_targets(p: Panel) -> DataFrame:
 
 
 @query(
-    """select Store, Date, """
-    + ", ".join(f"(DayOfWeek = {d})::int::double as weekday_{d}" for d in range(1, 8))
-    + """, coalesce(Promo, 0.0) as promo, regexp_matches(next_holiday, '_[1-3]$')::int::double as before_holiday, (prev_holiday <> 'none')::int::double as after_holiday, regexp_matches(easter_day, '^-[2-6]$')::int::double as easter_week, (easter_day = '-1')::int::double as easter_saturday,
- (christmas_day between '12-01' and '12-23')::int::double as advent, (christmas_day between '12-24' and '12-31')::int::double as christmas, regexp_matches(christmas_day, '^01-')::int::double as new_year, (carnival_day <> 'none')::int::double as carnival, (days_since_reopen is not null)::int::double as reopened, (days_to_long_closure is not null)::int::double as before_closure, """
+    "select Store, Date, " + ", ".join(f"case isodow(Date) when {d} then 1.0 else 0.0 end::double as dow_{d}" for d in range(1, 8))
+    + """, coalesce(Promo, 0)::double as promo, (right(next_holiday, 2) in ('_1', '_2', '_3'))::int::double as before_holiday, (prev_holiday not in ('none'))::int::double as after_holiday,
+ (easter_day in ('-6', '-5', '-4', '-3'))::int::double as easter_week, (easter_day = '-1')::int::double as easter_saturday, (month(Date) = 12 and day(Date) between 17 and 23)::int::double as pre_christmas, (month(Date) = 12 and day(Date) in (24, 31))::int::double as short_day,
+ (month(Date) = 12 and day(Date) between 27 and 30)::int::double as between_holidays, (month(Date) = 1 and day(Date) between 2 and 6)::int::double as early_january, (carnival_day not in ('none'))::int::double as carnival,
+ (days_since_reopen not in ('none'))::int::double as after_reopen, (days_to_long_closure not in ('none'))::int::double as before_closure, """
     + ", ".join(f"round({n}({k} * (2 * pi() * dayofyear(Date) / 365.25)), 6) as {n}_{k}" for k in (1, 2) for n in ("sin", "cos"))
     + " from features",
     "features",
@@ -310,51 +381,104 @@ def store_model_regressors(p: Panel) -> DataFrame:
     return models.exogenous(p.features)
 
 
+def model_tables(p: Panel) -> tuple[DataFrame, DataFrame, dict]:
+    """Calendar and features, written once for all fits, and the levels of the categories."""
+    calendar = kept(p.calendar)
+    return calendar, kept(build_features(calendar, p.stores)), category_levels(p.stores)
+
+
 @query(None)
 def ridge_fold_scores(p: Panel) -> DataFrame:
     """Ridge on the expanding folds, scored."""
-    calendar = p.calendar.persist()
-    feats = build_features(calendar, p.stores).persist()
-    return scoring.fold_scores(models.run_folds(feats, calendar, models.make_ridge(category_levels(p.stores)), "ridge"))
+    calendar, feats, levels = model_tables(p)
+    return scoring.fold_scores(scoring.checked(models.run_folds(feats, calendar, models.make_ridge(levels), "ridge")))
+
+
+@query(None)
+def tree_fold_scores(p: Panel) -> DataFrame:
+    """Boosted trees at their defaults (150 trees) on the expanding folds, scored."""
+    calendar, feats, levels = model_tables(p)
+    return scoring.fold_scores(scoring.checked(models.run_folds(feats, calendar, models.make_trees(levels), "trees")))
+
+
+@query(None)
+def store_model_scores(p: Panel) -> DataFrame:
+    """Per-store regressions with both kinds of ARIMA errors on the expanding folds, and which has the least mean MAPE."""
+    calendar, feats, _ = model_tables(p)
+    scores = scoring.fold_scores(scoring.checked(models.store_model_folds(calendar, models.exogenous(feats))))
+    best = scores.filter("fold = 'mean'").orderBy("mape", "model").limit(1).select("model", F.lit(True).alias("chosen"))
+    return scores.join(F.broadcast(best), "model", "left").withColumn("chosen", F.coalesce("chosen", F.lit(False)))
 
 
 @query(None)
 def holdout_model_table(p: Panel) -> DataFrame:
-    """Baselines and a ridge model on the same open days of the holdout: metrics and business figures."""
-    calendar = p.calendar.persist()
-    feats = build_features(calendar, p.stores).persist()
-    ridge = models.run_folds(feats, calendar, models.make_ridge(category_levels(p.stores)), "ridge", (baselines.HOLDOUT,))
-    base = baselines.baseline_predictions(baselines.with_baselines(calendar), baselines.folds(p.spark, (baselines.HOLDOUT,)))
-    columns = ["Store", "Date", "model", "y", "pred"]
-    every = base.select(columns).unionByName(ridge.select(columns))
+    """Baselines, ridge, ridge with a segment's own model and per-store models on the same open days of the holdout: metrics and business figures."""
+    calendar, feats, levels = model_tables(p)
+    last, ridge = (baselines.HOLDOUT,), models.make_ridge(levels)
+    parts = [models.run_folds(feats, calendar, ridge, "ridge", last), models.run_folds(feats, calendar, ridge, "ridge_by_segment", last, segments=("high_check",)), models.store_model_folds(calendar, models.exogenous(feats), (1,), last)]
+    base = baselines.baseline_predictions(baselines.with_baselines(calendar), baselines.folds(p.spark, last))
+    every = kept(scoring.checked(reduce(DataFrame.unionByName, [x.select("Store", "Date", "model", "y", "pred") for x in (base, *parts)])))
     return scoring.metrics(every, "model").join(scoring.business_summary(every, baselines.HOLDOUT[1], "model"), "model")
 
 
 @query(None)
-def tree_fold_scores(p: Panel) -> DataFrame:
-    """Boosted trees (few and shallow, for the fixture's size) on the last fold."""
-    calendar = p.calendar.persist()
-    feats = build_features(calendar, p.stores).persist()
-    make = models.make_trees(category_levels(p.stores), trees=8, depth=4, min_rows=20)
-    return scoring.fold_scores(models.run_folds(feats, calendar, make, "trees", baselines.FOLDS[-1:]))
+def ridge_grid(p: Panel) -> DataFrame:
+    """Mean fold MAPE of five penalties, least first."""
+    calendar, feats, levels = model_tables(p)
+    return models.grid_search(feats, calendar, {f"alpha_{a}": models.make_ridge(levels, alpha=a) for a in (0.1, 1.0, 10.0, 100.0, 1000.0)})
 
 
 @query(None)
-def store_model_scores(p: Panel) -> DataFrame:
-    """Per-store regressions with ARIMA errors on the last fold."""
-    calendar = p.calendar.persist()
-    exog = models.exogenous(build_features(calendar, p.stores))
-    return scoring.fold_scores(models.store_model_folds(calendar, exog, (0,), baselines.FOLDS[-1:]))
+def feature_ablation(p: Panel) -> DataFrame:
+    """Change of mean fold MAPE without a group of features, and the verdict."""
+    calendar, feats, levels = model_tables(p)
+    groups = {"lags": [c for c in MODEL_NUMERIC if "lag" in c], "year": ["rel_364"], "events": list(EVENTS), "store": ["store_id", "segment", "Assortment"], "competition": ["competition_open", "competition_distance_log"]}
+    return models.ablation(feats, calendar, lambda n, c: models.make_ridge(levels, n, c), groups)
 
 
 @query(None)
-def weekly_forecast(p: Panel) -> DataFrame:
-    """The serving path: a ridge model on all history before the holdout forecasts all good requests."""
-    history, plan, stores = p.history, p.plan, p.stores
-    good = forecast.good(forecast.check_requests(p.requests, history, plan)).persist()
-    train = scoring.training_rows(p.features, "2015-06-20").persist()
-    model = models.GuestForecaster(models.make_ridge(category_levels(stores))).fit(train)
-    return forecast.forecast_weeks(good, history, plan, stores, lambda f: model.forecast(f.filter("level is not null")))
+def tree_importance(p: Panel) -> DataFrame:
+    """Share of each feature in % in boosted trees fitted on all days before the holdout."""
+    _, feats, levels = model_tables(p)
+    model = models.make_trees(levels, trees=40)(kept(scoring.training_rows(feats, "2015-06-20")))
+    return p.spark.createDataFrame(list(models.importance(model).items()), "feature string, share double")
+
+
+@query(None)
+def reloaded_model(p: Panel) -> DataFrame:
+    """Forecasts of the holdout's open days by a model that was saved and loaded."""
+    _, feats, levels = model_tables(p)
+    names = [*MODEL_NUMERIC, *CATEGORICAL]
+    panel.save_model(models.make_ridge(levels)(scoring.training_rows(feats, "2015-06-20")), {"features": names}, f"{p.folder}/model")
+    model, _ = panel.load_model(p.spark, f"{p.folder}/model", names)
+    held = feats.filter("day_status = 'open' and Date >= '2015-06-20'")
+    return models.forecast(model.transform(held).withColumn("rel", F.col("__pred"))).select("Store", "Date", "forecast")
+
+
+@query("select 'baselines' as run, " + ", ".join(f"round(max(mape) filter (model = '{m}'), 6) as mape_{m}" for m in baselines.BASELINES) + " from (select model, avg(mape) as mape from scores group by 1)", "scores")
+def run_report(p: Panel) -> DataFrame:
+    return models.report(scoring.fold_scores(p.pred), {"run": "baselines"})
 
 
-SQL["segment_quotas"] = text("", "pool").rstrip() + ",\n" + _quota
+@query("select Store, Date, round(median_7_28, 6) as forecast from based where day_status = 'open' and Date >= date '2015-06-20'", "based")
+def forecast_of_levels(p: Panel) -> DataFrame:
+    """exp(prediction + level), with a baseline's logarithm less the level as the prediction."""
+    rows = baselines.with_baselines(p.calendar).filter("day_status = 'open' and Date >= '2015-06-20'").select("Store", "Date", "median_7_28")
+    rows = rows.join(p.features.select("Store", "Date", "level"), ["Store", "Date"])
+    return models.forecast(rows.withColumn("rel", F.ln("median_7_28") - F.col("level"))).select("Store", "Date", "forecast")
+
+
+@query(None)
+def poisson_bootstrap_draws(p: Panel) -> DataFrame:
+    """2000 draws by Poisson weights, the form for very many blocks."""
+    return scoring.poisson_bootstrap(scoring.block_sums(p.pred.filter(HELD), "2015-06-20"))
+
+
+@query(None)
+def weekly_forecast(p: Panel) -> DataFrame:
+    """The serving path: a model with an own one for a segment, on all history before the holdout, forecasts all good requests."""
+    history, plan, stores = p.history, p.plan, p.stores
+    good = kept(forecast.good(forecast.check_requests(p.requests, history, plan)))
+    _, feats, levels = model_tables(p)
+    model = models.DemandModel(models.make_ridge(levels), levels=levels).fit(scoring.training_rows(feats, "2015-06-20"))
+    return forecast.forecast_weeks(good, history, plan, stores, model.forecast)

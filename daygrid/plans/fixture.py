@@ -1,5 +1,5 @@
 """A store-day panel derived from lineitem, the same in Spark and in DuckDB: supplier groups are stores, ship dates fold into 942 days,
-quantities are guests; fixed rules add closures, gaps, anomalies, promotions and holidays."""
+quantities are guests; fixed rules add closures, gaps, anomalies, promotions and holidays, and fill the calendar of every fourth store."""
 
 from __future__ import annotations
 
@@ -8,15 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 END = "2015-07-31"
 
 HISTORY_SQL = """
-with base as (
+with raw as (
   select cast(l_suppkey // 5 as integer) + 1 as Store,
          date '2013-01-01' + cast(date_diff('day', date '1995-01-01', cast(l_shipdate as date)) % 942 as integer) as Date,
-         cast(sum(l_quantity) as integer) as q, cast(sum(cast(round(l_extendedprice) as bigint)) as bigint) as p
-  from lineitem group by 1, 2),
+         cast(l_quantity as bigint) as q, cast(round(l_extendedprice) as bigint) as p from lineitem),
+base as (
+  select Store, Date, cast(sum(q) as integer) as q, cast(sum(p) as bigint) as p from (
+    select * from raw union all
+    select Store, Date, cast(10 + (Store * 13 + day(Date) * 7 + month(Date)) % 23 as bigint) as q, cast(900 + (Store * 31 + day(Date)) % 700 as bigint) as p
+    from (select Store, cast(unnest(generate_series(date '2013-01-01', date '2015-07-31', interval 1 day)) as date) as Date from (select distinct Store from raw) s) f
+    where Store % 4 = 2) u group by Store, Date),
 x as (
   select *, isodow(Date) as dow, strftime(Date, '%m-%d') as md,
     case when isodow(Date) = 7 and Store % 8 <> 0 then 0
          when Store % 10 = 3 and Date between date '2014-03-10' and date '2014-03-19' then 0
+         when Store % 13 = 6 and Date between date '2014-02-01' and date '2014-04-30' then 0
          when Store % 9 = 4 and Date <= date '2013-01-20' then 0
          when strftime(Date, '%m-%d') in ('01-01','05-01','10-03','12-25','12-26') and Store % 8 <> 0 then 0
          else 1 end as Open
@@ -66,6 +72,7 @@ def spark_text(sql: str) -> str:
     for old, new in (
         ("l_suppkey // 5", "l_suppkey div 5"),
         ("date '2013-01-01' + cast(date_diff('day', date '1995-01-01', cast(l_shipdate as date)) % 942 as integer)", "date_add(date'2013-01-01', cast(datediff(cast(l_shipdate as date), date'1995-01-01') % 942 as int))"),
+        ("cast(unnest(generate_series(date '2013-01-01', date '2015-07-31', interval 1 day)) as date)", "explode(sequence(date'2013-01-01', date'2015-07-31'))"),
         ("isodow(Date)", "(weekday(Date) + 1)"),
         ("strftime(Date, '%m-%d')", "date_format(Date, 'MM-dd')"),
         ("cast(unnest(generate_series(date '2015-08-01', date '2015-09-17', interval 1 day)) as date)", "explode(sequence(date'2015-08-01', date'2015-09-17'))"),

@@ -106,15 +106,15 @@ cte("events", ("ev0",), """
   case when pv is null then 'none' else pv.k || '_' || date_diff('day', pv.d, Date) end as prev_holiday,
   case when ed between -7 and 1 then ed::varchar else 'none' end as easter_day, case when ed + 48 between -4 and 1 then (ed + 48)::varchar else 'none' end as carnival_day,
   case when strftime(Date, '%m-%d') >= '12-01' or strftime(Date, '%m-%d') <= '01-06' then strftime(Date, '%m-%d') else 'none' end as christmas_day,
-  case when date_diff('day', away, Date) between 0 and 13 then date_diff('day', away, Date) end::double as days_since_reopen,
-  case when date_diff('day', Date, leaves) between 1 and 7 then date_diff('day', Date, leaves) end::double as days_to_long_closure from ev0""")
+  case when Date > away and Date <= away + 14 then (Date - away - 1)::varchar else 'none' end as days_since_reopen,
+  case when leaves > Date and leaves <= Date + 7 then (leaves - Date)::varchar else 'none' end as days_to_long_closure from ev0""")
 cte("dim", ("stores",), """
  select *, case StoreType when 'b' then 'high_traffic' when 'a' then 'mid' when 'c' then 'mid' when 'd' then 'high_check' end as segment,
   case when CompetitionOpenSinceYear is not null and CompetitionOpenSinceMonth is not null then make_date(CompetitionOpenSinceYear::bigint, CompetitionOpenSinceMonth::bigint, 1) end as since,
   case when Promo2 = 1 and Promo2SinceYear is not null then date_trunc('week', make_date(Promo2SinceYear::bigint, 1, 4))::date + (7 * (Promo2SinceWeek - 1))::integer end as p2 from stores""")
 cte("features", ("lagged", "events", "dim"), """
  select l.Store, l.Date, l.DayOfWeek, l.Promo::double as Promo, l.SchoolHoliday::double as SchoolHoliday, l.day_status, l.level, l.target, level_age, lag_7, lag_14, lag_21, lag_28,
-  promo_lag_7, promo_lag_14, promo_lag_21, promo_lag_28, lag_filled, lag_filled_weeks, lag_median, rel_364, month(l.Date)::double as month, day(l.Date)::double as day_of_month,
+  promo_lag_7, promo_lag_14, promo_lag_21, promo_lag_28, lag_filled, lag_filled_weeks, lag_median, rel_364, month(l.Date) as month, day(l.Date)::double as day_of_month,
   next_holiday, prev_holiday, easter_day, carnival_day, christmas_day, days_since_reopen, days_to_long_closure, segment, Assortment, l.Store::varchar as store_id,
   case when CompetitionDistance is not null and (since is null or l.Date >= since) then 1.0 else 0.0 end::double as competition_open,
   case when CompetitionDistance is not null and (since is null or l.Date >= since) then ln(CompetitionDistance) end as competition_distance_log,

@@ -70,21 +70,30 @@ def validate(df: DataFrame, columns, name: str, allow_missing_open: bool = False
     return df
 
 
-def check_tables(tables: dict[str, DataFrame], expected: dict[str, tuple[list[str], int | None]]) -> list[str]:
-    """Problems of raw tables: absent ones, columns that lack, row counts that differ."""
-    out = []
+def raw_problems(tables: dict[str, DataFrame], expected: dict[str, tuple[list[str], int | None]]) -> DataFrame:
+    """name, problem, detail of raw tables: absent ones, columns that lack, row counts that differ."""
+    spark = next(iter(tables.values())).sparkSession
+    out = spark.createDataFrame([], "name string, problem string, detail string")
+    row = lambda df, name, problem, detail: df.select(F.lit(name).alias("name"), F.lit(problem).alias("problem"), detail.alias("detail"))
     for name, (columns, rows) in expected.items():
         df = tables.get(name)
         if df is None:
-            out.append(f"{name}: absent")
+            out = out.unionByName(row(spark.range(1), name, "absent", F.lit("")))
             continue
         lack = [c for c in columns if c not in df.columns]
-        out += [f"{name}: missing columns {lack}"] if lack else []
-        if rows is not None and (n := df.count()) != rows:
-            out.append(f"{name}: {n} rows, {rows} expected")
+        if lack:
+            out = out.unionByName(row(spark.range(1), name, "missing columns", F.lit(", ".join(lack))))
+        if rows is not None:
+            n = df.agg(F.count("*").alias("n")).filter(F.col("n") != rows)
+            out = out.unionByName(row(n, name, "rows", F.concat(F.col("n").cast("string"), F.lit(f", {rows} expected"))))
     return out
 
 
+def check_tables(tables: dict[str, DataFrame], expected: dict[str, tuple[list[str], int | None]]) -> list[str]:
+    """The same as a list of sentences."""
+    return [f"{r['name']}: {r['problem']} {r['detail']}".rstrip() for r in raw_problems(tables, expected).collect()]
+
+
 def only_selected(df: DataFrame, selected: DataFrame) -> DataFrame:
     return df.join(selected.select("Store"), "Store", "left_semi")
 

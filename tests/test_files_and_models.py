@@ -27,7 +27,7 @@ def test_files(spark, tmp_path):
     stores = spark.createDataFrame(STORE, STORE_SCHEMA)
     panel.build_processed(history, plan, stores, stores, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out/history")).count() == 40
-    assert panel.check_tables({"h": history}, {"h": (["Store", "Nope"], 39), "s": ([], None)}) == ["h: missing columns ['Nope']", "h: 40 rows, 39 expected", "s: absent"]
+    assert panel.check_tables({"h": history}, {"h": (["Store", "Nope"], 39), "s": ([], None)}) == ["h: missing columns Nope", "h: rows 40, 39 expected", "s: absent"]
     panel.log_run(spark, {"run": 1, "mape": 2.0}, str(tmp_path / "log"))
     panel.log_run(spark, {"run": 2, "wape": 3.0}, str(tmp_path / "log"))
     assert {tuple(r) for r in panel.runs(spark, str(tmp_path / "log")).select("run", "mape", "wape").collect()} == {(1, 2.0, None), (2, None, 3.0)}
@@ -56,7 +56,7 @@ def test_trees_and_segments(spark, tables):
     calendar, table, levels = tables
     numeric, categorical = ["lag_filled", "Promo"], ["DayOfWeek"]
     make = models.make_trees(levels, numeric, categorical, trees=3, depth=3, min_rows=2)
-    fitted = models.GuestForecaster(make, {"mid": models.make_ridge(levels, numeric, categorical)}).fit(scoring.training_rows(table, "2015-04-01"))
+    fitted = models.DemandModel(make, {"mid": models.make_ridge(levels, numeric, categorical)}).fit(scoring.training_rows(table, "2015-04-01"))
     shares = models.importance(fitted.shared, numeric, categorical)
     assert sum(shares.values()) == pytest.approx(100) and set(shares) == {*numeric, *categorical}
     assert models.importance_over_folds([fitted.shared, fitted.shared], numeric, categorical)["Promo"][1] == 0

@@ -105,6 +105,68 @@ def test_lags_and_leaks(spark):
     assert closed["lag_7"] is None and closed["lag_filled"] == closed["lag_14"] and closed["lag_filled_weeks"] == 2
 
 
+def test_days_after_a_closure(spark):
+    def shut(x):  # five days away behind a closed Sunday, and one anomaly a month later
+        if dt.date(2015, 2, 9) <= x["Date"] <= dt.date(2015, 2, 13):
+            x.update(Open=0, Customers=0, Sales=0)
+        if x["Date"] == dt.date(2015, 3, 16):
+            x["Customers"] = 0
+        return x
+
+    got = features(spark, rows(shut))
+    since = {d: got[d]["days_since_reopen"] for d in got}
+    assert since[dt.date(2015, 2, 13)] == "none" and [since[dt.date(2015, 2, 14) + dt.timedelta(k)] for k in range(15)] == [str(k) for k in range(14)] + ["none"]
+    assert since[dt.date(2015, 3, 16)] == "none" and since[dt.date(2015, 3, 17)] == "0"
+    before = [got[dt.date(2015, 2, 8) - dt.timedelta(k)]["days_to_long_closure"] for k in range(9)]
+    assert before == ["none", *"1234567", "none"]
+
+
+def test_audit_sees_a_planted_leak(spark):
+    calendar = cal.restore_calendar(frame(spark, rows()), START + dt.timedelta(119)).persist()
+    stores = spark.createDataFrame(STORE, STORE_SCHEMA)
+
+    def leaky(c, s):
+        from pyspark.sql import Window
+
+        near = c.select("Store", "Date", F.lag("Customers", 3).over(Window.partitionBy("Store").orderBy("Date")).cast("double").alias("near"))
+        return feats.build_features(c, s).join(near, ["Store", "Date"]).withColumn("lag_median", F.col("near")).drop("near")
+
+    origins = ("2015-03-20", "2015-04-10")
+    for r in feats.leak_audit(calendar, stores, origins).collect():
+        assert r["n_rows"] == 7 and not any(r[n] for n in (*feats.NUMERIC, "level")) and r["later_lag_7"] > 5
+    assert all(r["lag_median"] > 0 and r["lag_7"] == 0 for r in feats.leak_audit(calendar, stores, origins, leaky).collect())
+
+
+def test_one_missing_day_is_no_gap(spark):
+    from daygrid.operators import audit
+
+    def lose(*days):
+        return lambda x: None if x["Date"] in days else x
+
+    one = rows(lose(dt.date(2015, 2, 10)))
+    two = [dict(r, Store=2) for r in rows(lose(dt.date(2015, 3, 10), dt.date(2015, 3, 11)))]
+    three = [dict(r, Store=3) for r in rows(lose(dt.date(2015, 3, 24), dt.date(2015, 3, 25), dt.date(2015, 3, 26)))]
+    history = frame(spark, one + two + three)
+    stores = spark.createDataFrame([(k, *STORE[0][1:4], m, 2015.0, *STORE[0][6:]) for k, m in ((1, 1.0), (2, 2.0), (3, 5.0))], STORE_SCHEMA)
+    got = {r["Store"]: r for r in audit.profile(history, stores, dt.date(2015, 4, 20)).collect()}
+    assert [got[k]["has_export_gap"] for k in (1, 2, 3)] == [False, True, True] and got[1]["missing_days"] == 1
+    assert [got[k]["competitor_opened_in_train"] for k in (1, 2, 3)] == [False, True, False]  # on the first day is before, in May after
+    border = {r["Date"]: r for r in cal.gap_border(history, cal.export_gaps(history)).collect()}
+    assert sorted(border) == [dt.date(2015, 3, d) for d in (21, 22, 23, 27, 28, 29)]
+    assert border[dt.date(2015, 3, 23)]["with_gap"] == border[dt.date(2015, 3, 23)]["without_gap"] == 1.0
+    open_days = {r["Date"] for r in audit.network_series(history, test_start=dt.date(2015, 4, 20)).collect()}
+    assert dt.date(2015, 2, 10) not in open_days and dt.date(2015, 3, 10) in open_days and max(open_days) == dt.date(2015, 4, 18)
+
+
+def test_mandatory_stores_over_a_segments_quota(spark):
+    # segment b has two stores of twenty, both mandatory and of one tercile; of six places b gets one
+    pool = spark.createDataFrame([(k, "b" if k <= 2 else "a", str(k % 2) if k > 2 else "0", k <= 2 or k == 3) for k in range(1, 21)], "Store int, segment string, growth_tercile string, flag boolean")
+    got = {r["Store"]: r["reason"] for r in sampling.select_stores(pool, 6, 42, {"flag": 3}, 0).collect()}
+    assert {k for k, r in got.items() if r == "mandatory:flag"} == {1, 2, 3}
+    quota_a = 5  # of 6: 5.4 and 0.6, the larger remainder takes the last place
+    assert sum(k > 2 for k in got) == quota_a and len(got) == 2 + quota_a
+
+
 def test_level_equals_pandas(spark):
     got = features(spark, rows())
     p = pd.DataFrame(rows()).set_index("Date")
@@ -128,11 +190,11 @@ def test_quotas(spark):
 
 
 def test_selection_is_repeatable(spark):
-    pool = spark.range(1, 101).select(F.col("id").cast("int").alias("Store"), F.when(F.col("id") % 3 == 0, "mid").otherwise("high_check").alias("segment"), (F.col("id") % 2 + 1).cast("string").alias("growth_tercile"), *[(F.col("id") % k == 0).alias(f) for k, f in ((7, "has_export_gap"), (5, "has_long_closure"), (11, "has_anomaly"), (13, "has_left_censored"), (17, "sunday_open"))])
+    pool = spark.range(1, 101).select(F.col("id").cast("int").alias("Store"), F.when(F.col("id") % 3 == 0, "mid").otherwise("high_check").alias("segment"), (F.col("id") % 2 + 1).cast("string").alias("growth_tercile"), *[(F.col("id") % k == 0).alias(f) for k, f in ((7, "has_export_gap"), (5, "has_long_closure"), (11, "has_anomaly"), (13, "has_left_censored"), (17, "competitor_opened_in_train"))])
     a, b = (sampling.select_stores(pool, 40).collect() for _ in range(2))
     assert sorted(a) == sorted(b) and len(a) == 40 == len({r["Store"] for r in a})
     chosen = {r["Store"] for r in a}
-    assert sum(s % 7 == 0 for s in chosen) >= 4 and sum(s % 5 == 0 for s in chosen) >= 6
+    assert all(sum(s % k == 0 for s in chosen) >= n for k, n in ((7, 3), (5, 3), (11, 3), (13, 1), (17, 3)))
 
 
 def test_requests(spark):
@@ -167,7 +229,7 @@ def test_forecaster_and_store_models(spark, tmp_path):
     table = feats.build_features(calendar, stores).persist()
     levels = feats.category_levels(stores)
     train = scoring.training_rows(table, "2015-04-01")
-    fitted = models.GuestForecaster(models.make_ridge(levels), levels=levels).fit(train)
+    fitted = models.DemandModel(models.make_ridge(levels), levels=levels).fit(train)
     held = table.filter("Date >= '2015-04-01' and day_status = 'open'")
     assert fitted.forecast(held).filter("forecast > 0").count() == held.count()
     panel.save_model(fitted.shared, {"features": feats.FEATURES}, str(tmp_path / "m"))
