@@ -31,6 +31,8 @@ COMMON = 32
 #: Character classes of sound texts have a longer upper tail (lists, names, numbers) than their common words.
 CLASS_SPREADS, WORD_SPREADS = 20.0, 5.0
 MIN_CLASS = 50
+#: The code point of the first common word; 20,000 Chinese characters follow it, then others.
+CODE = 0x4E00
 
 #: Character classes; what none of them holds is the last bin.
 CLASSES = {"upper": "[A-Z]+", "digit": "[0-9]+", "mark": r"[.,;:!?'\"()\-]+", "symbol": r"[#*$%&|<>]+", "wide": r"[^\x00-\x7F]+"}
@@ -65,11 +67,11 @@ def prepared(docs: DataFrame) -> DataFrame:
 
 
 def common_words(docs: DataFrame, n: int = COMMON) -> DataFrame:
-    """lang, word: the n words of each language that stand in most of its documents. Tasks count first; the window keeps n a language and task."""
+    """lang, word, n: the n words of each language that stand in most of its documents. Tasks count first; the window keeps n a language and task."""
     own = prepared(docs).filter("lang is not null").select("lang", F.explode(F.array_distinct(F.transform(words(F.col("text")), F.lower))).alias("word"))
     counts = own.groupBy("lang", "word").agg(F.count("*").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
-    return counts.withColumn("place", place).filter(F.col("place") <= n).select("lang", "word")
+    return counts.withColumn("place", place).filter(F.col("place") <= n).select("lang", "word", "n")
 
 
 def features(docs: DataFrame, common: list[str]) -> DataFrame:
@@ -77,16 +79,15 @@ def features(docs: DataFrame, common: list[str]) -> DataFrame:
     times). A common word becomes one code point, so its bin is counted in a string of codes and not in the text."""
     rows = prepared(docs)
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    codes = {w: chr(0x4E00 + i) if i < 20_000 else chr(0x20000 + i - 20_000) for i, w in enumerate(common)}
-    known = F.create_map(*[F.lit(x) for pair in codes.items() for x in pair]) if codes else None
+    # The map is searched from its start: the most frequent words come first.
+    known = F.create_map(*[F.lit(x) for i, w in enumerate(common) for x in (w, chr(CODE + i))]) if common else None
 
     def of(w: Column) -> Column:
-        none = F.array().cast("array<struct<word:int,times:int>>")
-        bins = none
-        if codes:
-            coded = F.array_join(F.transform(F.filter(F.transform(w, F.lower), lambda x: x.isin(list(codes))), lambda x: F.element_at(known, x)), "")
-            times = lambda s, c: F.length(s) - F.length(F.replace(s, F.lit(c), F.lit("")))
-            met = lambda s: F.filter(F.array(*[F.struct(F.lit(i).alias("word"), times(s, c).alias("times")) for i, c in enumerate(codes.values())]), lambda b: b["times"] > 0)
+        bins = F.array().cast("array<struct<word:int,times:int>>")
+        if common:
+            coded = F.transform(F.filter(F.transform(w, F.lower), lambda x: x.isin(common)), lambda x: F.element_at(known, x))
+            times = lambda s, c: F.length(s) - F.length(F.replace(s, c, F.lit("")))
+            met = lambda c: let(F.array_join(c, ""), lambda s: F.transform(F.array_distinct(c), lambda x: F.struct((F.ascii(x) - CODE).alias("word"), times(s, x).alias("times"))))
             bins = let(coded, met)
         return F.struct(F.size(w).alias("n_words"), F.length(F.array_join(w, "")).alias("word_chars"), repeated(w).alias("n_repeat_words"), bins.alias("bins"))
 
@@ -95,7 +96,8 @@ def features(docs: DataFrame, common: list[str]) -> DataFrame:
         "lang",
         F.length("text").alias("n"),
         let(words(F.col("text")), of).alias("w"),
-        F.array(*[_count(F.col("text"), p) for p in CLASSES.values()]).alias("c"),
+        # What no class counts goes first: the rest is short.
+        let(F.regexp_replace("text", r"[a-z\x20\x09-\x0D]+", ""), lambda x: F.array(*[_count(x, p) for p in CLASSES.values()])).alias("c"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).alias("n_dup_lines"),
     )
     total = lambda a: F.aggregate(a, F.lit(0), lambda acc, x: acc + x)
@@ -183,8 +185,10 @@ def within(name: str, limit: dict[tuple[str | None, int], float]) -> Column:
 
 def judged(docs: DataFrame, class_spreads: float = CLASS_SPREADS, word_spreads: float = WORD_SPREADS, min_words: int = 2 * MIN_WORDS) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, class_distance, word_distance."""
-    common = sorted((r["lang"], r["word"]) for r in common_words(docs).collect())
-    bins = sorted({w for _, w in common})
+    found = common_words(docs).collect()
+    common = [(r["lang"], r["word"]) for r in found]
+    often = {w: sum(r["n"] for r in found if r["word"] == w) for _, w in common}
+    bins = sorted(often, key=lambda w: (-often[w], w))
     rows = cut(features(docs, bins))
     refs = references(rows, common, bins)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
