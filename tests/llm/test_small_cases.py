@@ -629,6 +629,9 @@ def test_pipeline_drops_near_copies_by_brute_force(spark):
     got = corpus_pipeline.one_of_each(spark, docs_of(spark, rows), "").select("doc_id").collect()
     assert sorted(r["doc_id"] for r in got if r["doc_id"] is not None) == sorted(i for i in sets if root[i] == i)
     assert sum(r["doc_id"] is None for r in got) == 2
+    for chunk in (2, 5):  # buckets and families in pairs of chunks
+        split = near_copies.groups(docs_of(spark, rows), chunk).collect()
+        assert {r["doc_id"]: r["component_id"] for r in split} == root
     assert corpus_pipeline.one_of_each(spark, docs_of(spark, []), "").collect() == []
 
 
