@@ -95,7 +95,7 @@ class Grammar:
     def symbol(self, word: str) -> tuple[str, str | None, float]:
         got = self.memo.get(word)
         if got is None:
-            if len(self.memo) > 200_000:
+            if len(self.memo) > 60_000:
                 self.memo.clear()
             best = max(((weight(*self.terms[t], *self.n), t) for t in terms(word) if t in self.terms), default=(0.0, None))
             kind = "." if word in ".!?;\n" else "N" if word in NEGATIONS or word.endswith(("n't", "n’t")) else "R" if word in REPORTS else "T" if word in THREATS else "Y" if word in TARGETS else "I" if best[0] > 0 else "o"
