@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 #: Bytes (about) of a worker's memories of chunks and of pieces, kept from task to task. A full memory becomes the old one, from which
 #: what is met again moves back, so frequent words stay; each holds two generations at most. A chunk over LONG characters is not kept.
-CHUNK_BYTES = 24 << 20
-PIECE_BYTES = 24 << 20
+CHUNK_BYTES = 12 << 20
+PIECE_BYTES = 12 << 20
 LONG = 256
 # Fixed values of the tokenizer library (it lowers by Unicode 17 and splits by 16): letters that Python's tables do not lower yet (first, last, lower
 # form of the first), and ranges of code points that are no letters there, whatever the installed regex module says.
