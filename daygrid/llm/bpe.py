@@ -24,9 +24,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
+#: Rows that are encoded together.
+ROWS = 128
 #: Bytes (about) of a worker's memories of chunks and of pieces, kept from task to task. A full memory becomes the old one, from which
 #: what is met again moves back, so frequent words stay; each holds two generations at most. A chunk over LONG characters is not kept.
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 20 << 20
 PIECE_BYTES = 12 << 20
 LONG = 256
 # Fixed values of the tokenizer library (it lowers by Unicode 17 and splits by 16): letters that Python's tables do not lower yet (first, last, lower
@@ -205,14 +209,15 @@ def encoded(docs: DataFrame, path: str | None = None, full: bool = False) -> Dat
     def shown(s: str) -> str:
         return s if full else hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
 
+    @tidy
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = known.value  # one object for all tasks of a worker
         if "encoder" not in vocab:
             vocab["encoder"] = Encoder(vocab)
         enc = vocab["encoder"]
         for big in batches:
-            for i in range(0, big.num_rows, 500):  # bounds what a very long batch holds
-                b = big.slice(i, 500)
+            for i in range(0, big.num_rows, ROWS):  # bounds what a very long batch holds
+                b = big.slice(i, ROWS)
                 got = [(n, shown(ids), shown(text)) for n, ids, text in enc.encode(b.column(1).to_pylist())]
                 cols = [pa.array([g[k] for g in got], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string()))]
                 yield pa.RecordBatch.from_arrays([b.column(0), *cols], names)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fold, own_name
+from .common import cut, fold, give_back, own_name, tidy
 
 ORDER = 4
 #: A text is rejected above its language's 99.9 % training quantile times this.
@@ -42,7 +42,7 @@ SHARPNESS = tuple(float(x) for x in np.geomspace(0.05, 50, 31))
 BLOCK_BYTES = 256 << 20
 #: Texts with fewer characters than this have too noisy an entropy to be rejected.
 MIN_CHARS = 40
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _tables: dict[str, np.ndarray] = {}
 
 
@@ -168,6 +168,7 @@ def fit(counts: pd.DataFrame, chars: np.ndarray | None = None) -> Model:
 def gram_counts(train: DataFrame) -> DataFrame:
     """train(text, lang): lang, key, n of all 4-grams."""
 
+    @tidy
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}
 
@@ -180,7 +181,7 @@ def gram_counts(train: DataFrame) -> DataFrame:
 
             def flush(lang: str) -> None:
                 held.setdefault(lang, []).append(_counted(np.concatenate(by.pop(lang))))  # noqa: B023
-                if len(held[lang]) > 16:
+                if len(held[lang]) > 8:
                     held[lang] = merged(held[lang])
 
             for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -242,10 +243,12 @@ def measured(docs: DataFrame, blocks: list[Model], name: str) -> DataFrame:
         known = docs.sparkSession.sparkContext.broadcast(vars(model))
 
         @F.pandas_udf("e array<double>, n int")
-        def entropies(texts: pd.Series) -> pd.DataFrame:
+        def entropies(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             m = Model(**known.value)
-            got = [m.entropy(t) for t in texts]
-            return pd.DataFrame({"e": [e for e, _ in got], "n": [n for _, n in got]})
+            for texts in parts:
+                got = [m.entropy(t) for t in texts]
+                yield pd.DataFrame({"e": [e for e, _ in got], "n": [n for _, n in got]})
+            give_back()
 
         return entropies(text)
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, own_name
+from .common import fold, give_back, own_name, tidy
 
 SAMPLE_ROWS = 20_000
 ERRORS = 2.0
@@ -166,6 +166,7 @@ def sampled(docs: DataFrame, labels: DataFrame, label: str, k: int, out: int, ro
 def trained(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> dict:
     sample = sampled(docs, labels, "toxic", 5, 0, sample_rows).persist()
 
+    @tidy
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count: tuple[Counter, Counter] = (Counter(), Counter())
         for b in batches:
@@ -188,6 +189,7 @@ def trained(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
     fitted["terms"] = {r["term"]: (r["toxic"], r["clean"]) for r in found.filter("gain > 0.5").collect()}  # terms of the bounded sample
     known = docs.sparkSession.sparkContext.broadcast(fitted)
 
+    @tidy
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = Grammar(known.value)
         for b in batches:
@@ -209,6 +211,7 @@ def scorer(spark, fitted: dict):
         g = Grammar(known.value)
         for t in texts:
             yield pd.Series([g.score(x) for x in t], dtype="float64")
+        give_back()
 
     return of
 
