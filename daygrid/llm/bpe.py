@@ -28,10 +28,10 @@ from .common import tidy
 
 #: Rows that are encoded together.
 ROWS = 128
-#: Bytes (about) of a worker's memories of chunks and of pieces, kept from task to task. A full memory becomes the old one, from which
+#: Default bytes (about) of a worker's memories of chunks and of pieces (they change speed, never results), kept from task to task. A full memory becomes the old one, from which
 #: what is met again moves back, so frequent words stay; each holds two generations at most. A chunk over LONG characters is not kept.
-CHUNK_BYTES = 20 << 20
-PIECE_BYTES = 12 << 20
+CHUNK_BYTES = 72 << 20
+PIECE_BYTES = 44 << 20
 LONG = 256
 # Fixed values of the tokenizer library (it lowers by Unicode 17 and splits by 16): letters that Python's tables do not lower yet (first, last, lower
 # form of the first), and ranges of code points that are no letters there, whatever the installed regex module says.
@@ -82,8 +82,8 @@ def byte_letters() -> list[str]:
 
 
 class Encoder:
-    def __init__(self, vocab: dict) -> None:
-        self.v = vocab
+    def __init__(self, vocab: dict, chunk_bytes: int = CHUNK_BYTES, piece_bytes: int = PIECE_BYTES) -> None:
+        self.v, self.chunk_bytes, self.piece_bytes = vocab, chunk_bytes, piece_bytes
         letter, end, ids = byte_letters(), vocab["end"], vocab["ids"]
         self.inner = [ids.get(c) for c in letter]
         self.last = [ids.get(c + end) for c in letter]
@@ -157,9 +157,9 @@ class Encoder:
 
     def learn(self, chunks: set[str]) -> dict[str, tuple[int, str, str]]:
         """Encode the chunks (runs between white space) that are not known. Returns those too long to be kept."""
-        if self.known_bytes > CHUNK_BYTES:
+        if self.known_bytes > self.chunk_bytes:
             self.known_before, self.known, self.known_bytes = self.known, {}, 0
-        if self.met_bytes > PIECE_BYTES:
+        if self.met_bytes > self.piece_bytes:
             self.met_before, self.met, self.met_bytes = self.met, {}, 0
         new = [c for c in chunks if c not in self.known]
         back = {c: self.known_before[c] for c in new if c in self.known_before}
@@ -201,7 +201,7 @@ class Encoder:
             yield sum(g[0] for g in got), " ".join(g[1] for g in got if g[0]), " ".join(g[2] for g in got if g[0])
 
 
-def encoded(docs: DataFrame, path: str | None = None, full: bool = False) -> DataFrame:
+def encoded(docs: DataFrame, path: str | None = None, full: bool = False, chunk_bytes: int = CHUNK_BYTES, piece_bytes: int = PIECE_BYTES) -> DataFrame:
     """doc_id, n_tokens and, with full, ids (joined by a space) and decoded; else their sha256."""
     known = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
     names = ["doc_id", "n_tokens", "ids", "decoded"] if full else ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
@@ -213,7 +213,7 @@ def encoded(docs: DataFrame, path: str | None = None, full: bool = False) -> Dat
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = known.value  # one object for all tasks of a worker
         if "encoder" not in vocab:
-            vocab["encoder"] = Encoder(vocab)
+            vocab["encoder"] = Encoder(vocab, chunk_bytes, piece_bytes)
         enc = vocab["encoder"]
         for big in batches:
             for i in range(0, big.num_rows, ROWS):  # bounds what a very long batch holds
@@ -225,6 +225,6 @@ def encoded(docs: DataFrame, path: str | None = None, full: bool = False) -> Dat
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(per_task, f"doc_id long, n_tokens long, {names[2]} string, {names[3]} string")
 
 
-def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
+def digests(docs: DataFrame, path: str | None = None, chunk_bytes: int = CHUNK_BYTES, piece_bytes: int = PIECE_BYTES) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    return encoded(docs, path)
+    return encoded(docs, path, False, chunk_bytes, piece_bytes)
