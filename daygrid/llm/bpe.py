@@ -30,9 +30,11 @@ from .common import tidy
 ROWS = 128
 #: Default bytes (about) of a worker's memories of chunks and of pieces (they change speed, never results), kept from task to task. A full memory becomes the old one, from which
 #: what is met again moves back, so frequent words stay; each holds two generations at most. A chunk over LONG characters is not kept.
-CHUNK_BYTES = 72 << 20
-PIECE_BYTES = 44 << 20
+CHUNK_BYTES = 96 << 20
+PIECE_BYTES = 56 << 20
 LONG = 256
+#: Bytes (about) that an entry of a memory takes besides its characters: two string headers and its share of a table.
+BESIDE = 190
 # Fixed values of the tokenizer library (it lowers by Unicode 17 and splits by 16): letters that Python's tables do not lower yet (first, last, lower
 # form of the first), and ranges of code points that are no letters there, whatever the installed regex module says.
 LOWER = (
@@ -92,15 +94,17 @@ class Encoder:
         split = vocab["split"].replace(r"[\p{L}]", r"[\p{L}--[" + gone + "]]").replace(r"[^\s\p{L}\p{N}]", r"[[^\s\p{L}\p{N}]||[" + gone + "]]")
         self.pieces = regex.compile(split, regex.V1).findall
         self.controls = regex.compile("(" + "|".join(map(regex.escape, sorted(vocab["added"], key=len, reverse=True))) + ")")
-        self.known: dict[str, tuple[int, str, str]] = {}
-        self.met: dict[str, list[int]] = {}
-        self.known_before: dict[str, tuple[int, str, str]] = {}
-        self.met_before: dict[str, list[int]] = {}
+        # Memories of chunks and of pieces: the ids, joined by a space. Decoding goes by ids, so no decoded text is kept.
+        self.known: dict[str, str] = {}
+        self.met: dict[str, str] = {}
+        self.known_before: dict[str, str] = {}
+        self.met_before: dict[str, str] = {}
         self.known_bytes = self.met_bytes = 0
-        self.control = {t: (1, str(i), t) for t, i in vocab["added"].items()}
+        self.control = {t: str(i) for t, i in vocab["added"].items()}
+        self.token = {str(i): t for i, t in vocab["tokens"].items()}
 
-    def merged(self, pieces: list[str]) -> list[list[int]]:
-        """Token ids of each piece, by the pair occurrence index over all of them."""
+    def merged(self, pieces: list[str]) -> list[str]:
+        """Token ids of each piece, joined by a space, by the pair occurrence index over all of them."""
         ranks, merges = self.v["ranks"], self.v["merges"]
         sym: list[int] = []
         first = []
@@ -152,33 +156,43 @@ class Encoder:
             while sym[i] != -1:
                 got.append(sym[i])
                 i = after[i]
-            out.append(got)
+            out.append(" ".join(map(str, got)))
         return out
 
-    def learn(self, chunks: set[str]) -> dict[str, tuple[int, str, str]]:
+    def split(self, chunk: str) -> list[str]:
+        """The pieces of a chunk, lower-cased. ASCII letters, with a mark behind them or not, need no pattern."""
+        if not chunk.isascii():
+            return self.pieces(unicodedata.normalize("NFC", chunk).translate(_lower).lower())
+        low = chunk.lower()
+        if low.isalpha():
+            return [low]
+        if low[-1] in ".,;:!?" and low[:-1].isalpha():
+            return [low[:-1], low[-1]]
+        return self.pieces(low)
+
+    def learn(self, chunks: set[str]) -> dict[str, str]:
         """Encode the chunks (runs between white space) that are not known. Returns those too long to be kept."""
         if self.known_bytes > self.chunk_bytes:
             self.known_before, self.known, self.known_bytes = self.known, {}, 0
         if self.met_bytes > self.piece_bytes:
             self.met_before, self.met, self.met_bytes = self.met, {}, 0
-        new = [c for c in chunks if c not in self.known]
+        new = chunks.difference(self.known)
         back = {c: self.known_before[c] for c in new if c in self.known_before}
-        parts = {c: self.pieces(unicodedata.normalize("NFC", c).translate(_lower).lower() if not c.isascii() else c.lower()) for c in new if c not in back}
-        fresh = {p for ps in parts.values() for p in ps if p not in self.met}
+        parts = {c: self.split(c) for c in new.difference(back)}
+        fresh = {p for ps in parts.values() for p in ps}.difference(self.met)
         moved = {p: self.met_before[p] for p in fresh if p in self.met_before}
-        fresh = [p for p in fresh if p not in moved]
+        fresh = list(fresh.difference(moved))
         found = moved | dict(zip(fresh, self.merged(fresh), strict=True))
         long_pieces = {p: ids for p, ids in found.items() if len(p) > LONG}
-        short = {p: ids for p, ids in found.items() if len(p) <= LONG}
+        short = {p: ids for p, ids in found.items() if len(p) <= LONG} if long_pieces else found
         self.met |= short
-        self.met_bytes += sum(250 + len(p) + 16 * len(ids) for p, ids in short.items())
-        tokens, long_chunks, met = self.v["tokens"], {}, self.met
-        for c, ps in parts.items():
-            ids = [i for p in ps for i in (met[p] if p in met else long_pieces[p])]
-            (self.known if len(c) <= LONG else long_chunks)[c] = got = (len(ids), " ".join(map(str, ids)), " ".join(tokens[i] for i in ids))
-            self.known_bytes += (350 + 2 * len(c) + len(got[1]) + 2 * len(got[2])) * (len(c) <= LONG)
-        self.known |= back
-        self.known_bytes += sum(350 + 2 * len(c) + len(got[1]) + 2 * len(got[2]) for c, got in back.items())
+        self.met_bytes += sum(BESIDE + 2 * len(p) + len(ids) for p, ids in short.items())
+        met = self.met
+        got = back | {c: met[ps[0]] if len(ps) == 1 and ps[0] in met else " ".join(filter(None, (met[p] if p in met else long_pieces[p] for p in ps))) for c, ps in parts.items()}
+        long_chunks = {c: ids for c, ids in got.items() if len(c) > LONG}
+        short = {c: ids for c, ids in got.items() if len(c) <= LONG} if long_chunks else got
+        self.known |= short
+        self.known_bytes += sum(BESIDE + 2 * len(c) + len(ids) for c, ids in short.items())
         return long_chunks
 
     def encode(self, texts: list[str | None]) -> Iterator[tuple[int, str, str]]:
@@ -192,13 +206,15 @@ class Encoder:
             flat = [c for cs in chunks for c in cs]
             laid.append(flat)
             need.update(flat)
-        special = {t: got for t, got in self.control.items() if t in need}
+        special = {t: ids for t, ids in self.control.items() if t in need}
         need.difference_update(self.v["added"])
         special |= self.learn(need)
         known = self.known
         for flat in laid:
-            got = [special[c] if c in special else known[c] for c in flat] if special else [known[c] for c in flat]
-            yield sum(g[0] for g in got), " ".join(g[1] for g in got if g[0]), " ".join(g[2] for g in got if g[0])
+            got = (special[c] if c in special else known[c] for c in flat) if special else map(known.__getitem__, flat)
+            ids = " ".join(filter(None, got))  # a chunk may have no token
+            each = ids.split(" ") if ids else []
+            yield len(each), ids, " ".join(map(self.token.__getitem__, each))
 
 
 def encoded(docs: DataFrame, path: str | None = None, full: bool = False, chunk_bytes: int = CHUNK_BYTES, piece_bytes: int = PIECE_BYTES) -> DataFrame:
