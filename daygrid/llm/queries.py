@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, html_extract, langid, merkle, mixing, quality_clf, quality_rules, simhash, toxicity
+from . import bpe, chat, html_extract, langid, line_dedup, merkle, mixing, quality_clf, quality_rules, simhash, toxicity
 from .common import table
 
 
@@ -55,9 +55,13 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_clf.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_merkle_fingerprints": merkle.oracle(), "op7_chat_formatting": chat.SQL}
+    return {"op6_merkle_fingerprints": merkle.oracle(), "op7_chat_formatting": chat.SQL, "op13_line_dedup": line_dedup.SQL}
