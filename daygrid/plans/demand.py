@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -28,7 +27,7 @@ class Panel:
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark = spark
-        self.folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='panel-')}/panel-{uuid.uuid4().hex}"
+        self.folder = f"{panel.work_folder(spark)}/panel-{uuid.uuid4().hex}"
         self.history = fixture.history(spark, sf_dir)
 
     @property
@@ -51,9 +50,18 @@ class Panel:
     def features(self) -> DataFrame:
         return features.build_features(self.calendar, self.stores)
 
+    def predicted(self, *periods) -> DataFrame:
+        return baselines.baseline_predictions(baselines.with_baselines(self.calendar), baselines.folds(self.spark, periods))
+
     @property
     def pred(self) -> DataFrame:
-        return baselines.baseline_predictions(baselines.with_baselines(self.calendar), baselines.folds(self.spark))
+        """Baselines on the three validation folds, by which models are chosen."""
+        return self.predicted(*baselines.FOLDS)
+
+    @property
+    def held(self) -> DataFrame:
+        """Baselines on the holdout, which chooses nothing."""
+        return self.predicted(baselines.HOLDOUT)
 
     @property
     def profile(self) -> DataFrame:
@@ -74,7 +82,6 @@ def query(sql: str | None = None, *needs: str):
     return add
 
 
-HELD = "fold = 'holdout'"
 FLAG_COLUMNS = ("has_export_gap", "has_long_closure", "competitor_opened_in_train", "has_left_censored", "has_anomaly")
 
 # Sources and checks
@@ -379,13 +386,19 @@ def training_rows(p: Panel) -> DataFrame:
 
 @query("select model, fold, round(mae, 6) as mae, round(mape, 6) as mape, round(wape, 6) as wape from all_scores", "all_scores")
 def baseline_scores_by_fold(p: Panel) -> DataFrame:
-    """Calendar, baselines and their scores on every fold, with the mean over folds."""
+    """Calendar, baselines and their scores on the three folds, with the mean over them."""
     return scoring.fold_scores(p.pred)
 
 
+@query("select model, round(avg(abs(pred - y)), 6) as mae, round(avg(abs(pred - y) / y) * 100, 6) as mape, round(sum(abs(pred - y)) / sum(y) * 100, 6) as wape from pred where fold = 'holdout' group by 1", "pred")
+def holdout_baseline_scores(p: Panel) -> DataFrame:
+    """The baselines on the holdout, apart from the folds."""
+    return scoring.metrics(p.held, "model")
+
+
 @query("select Store, Date, fold, model, y, round(pred, 6) as pred from pred", "pred")
 def baseline_predictions(p: Panel) -> DataFrame:
-    return p.pred.select("Store", "Date", "fold", "model", "y", "pred")
+    return p.pred.unionByName(p.held).select("Store", "Date", "fold", "model", "y", "pred")
 
 
 @query("select a.Store, a.Date, k as weeks, b.Customers as value from calendar a, lateral (select unnest(range(1, 53)) as k) join calendar b on b.Store = a.Store and b.Date = a.Date - cast(7 * k as integer) where b.day_status = 'open'", "calendar")
@@ -399,7 +412,7 @@ def same_weekday_history(p: Panel) -> DataFrame:
     "pred",
 )
 def baseline_source_weeks(p: Panel) -> DataFrame:
-    return baselines.source_weeks(p.pred)
+    return baselines.source_weeks(p.predicted(*baselines.FOLDS, baselines.HOLDOUT))
 
 
 @query("select fold, model, Promo, round(avg(pred / y - 1) * 100, 6) as bias_pct, round(avg(abs(pred / y - 1)) * 100, 6) as ape from pred where fold in ('winter', 'spring', 'summer') group by 1, 2, 3", "pred")
@@ -427,7 +440,7 @@ def baseline_errors_by_phase(p: Panel) -> DataFrame:
     "pred",
 )
 def business_summary(p: Panel) -> DataFrame:
-    return scoring.business_summary(p.pred.filter(HELD), "2015-06-20", "model")
+    return scoring.business_summary(p.held, "2015-06-20", "model")
 
 
 @query(
@@ -438,7 +451,7 @@ def business_summary(p: Panel) -> DataFrame:
     "folds",
 )
 def fold_description(p: Panel) -> DataFrame:
-    return scoring.describe_folds(p.calendar, baselines.folds(p.spark))
+    return scoring.describe_folds(p.calendar, baselines.folds(p.spark, (*baselines.FOLDS, baselines.HOLDOUT)))
 
 
 @query(
@@ -468,12 +481,12 @@ _boot = """blocks as (select model, Store, date_diff('day', date '2015-06-20', D
 
 @query(None)
 def bootstrap_draws(p: Panel) -> DataFrame:
-    return scoring.bootstrap(scoring.block_sums(p.pred.filter(HELD), "2015-06-20"))
+    return scoring.bootstrap(scoring.block_sums(p.held, "2015-06-20"))
 
 
 @query(None)
 def bootstrap_gains(p: Panel) -> DataFrame:
-    return scoring.bootstrap_gains(scoring.bootstrap(scoring.block_sums(p.pred.filter(HELD), "2015-06-20")), "median_7_28")
+    return scoring.bootstrap_gains(scoring.bootstrap(scoring.block_sums(p.held, "2015-06-20")), "median_7_28")
 
 
 SQL["bootstrap_draws"] = text("", "pred").rstrip() + ",\n" + _boot + " select draw, model, round(mae, 6) as mae, round(mape, 6) as mape from boot"
@@ -483,7 +496,7 @@ SQL["bootstrap_gains"] = text("", "pred").rstrip() + ",\n" + _boot + """ select
 
 @query("select Store, model, round(avg(abs(pred - y) / y) * 100, 6) as mape, round(sum(pred - y) / sum(y) * 100, 6) as bias_pct from pred where fold = 'holdout' group by 1, 2", "pred")
 def store_mape(p: Panel) -> DataFrame:
-    return scoring.store_mape(p.pred.filter(HELD))
+    return scoring.store_mape(p.held)
 
 
 @query(
@@ -491,7 +504,7 @@ def store_mape(p: Panel) -> DataFrame:
     "pred",
 )
 def store_wins(p: Panel) -> DataFrame:
-    return scoring.wins(p.pred.filter(HELD), "median_7_28", "lag_7")
+    return scoring.wins(p.held, "median_7_28", "lag_7")
 
 
 @query(
@@ -499,10 +512,10 @@ def store_wins(p: Panel) -> DataFrame:
     "pred",
 )
 def errors_by_weekday_and_week(p: Panel) -> DataFrame:
-    return scoring.by_weekday_and_week(p.pred.filter(HELD), "2015-06-20")
+    return scoring.by_weekday_and_week(p.held, "2015-06-20")
 
 
-@query("select model, segment, round(avg(m), 6) as mape from (select model, segment, fold, avg(abs(pred - y) / y) * 100 as m from pred join dim using (Store) group by 1, 2, 3) group by 1, 2", "pred", "dim")
+@query("select model, segment, round(avg(m), 6) as mape from (select model, segment, fold, avg(abs(pred - y) / y) * 100 as m from pred join dim using (Store) where fold in ('winter', 'spring', 'summer') group by 1, 2, 3) group by 1, 2", "pred", "dim")
 def segment_mape(p: Panel) -> DataFrame:
     return scoring.segment_mape(p.pred, p.profile)
 
@@ -513,14 +526,14 @@ def segment_mape(p: Panel) -> DataFrame:
     "pred",
 )
 def store_extremes(p: Panel) -> DataFrame:
-    return scoring.store_extremes(p.pred.filter(HELD), "lag_7")
+    return scoring.store_extremes(p.held, "lag_7")
 
 
 @query("select Date, round(sum(pred - y) / sum(y) * 100, 6) as bias_pct, count(*) filter (abs(pred - y) / y > 0.2) as stores_off from pred where fold = 'holdout' and model = 'lag_7' group by 1", "pred")
 def day_bias(p: Panel) -> DataFrame:
-    return scoring.day_bias(p.pred.filter(HELD), "lag_7")
+    return scoring.day_bias(p.held, "lag_7")
 
 
 @query("select Date, round(sum(pred - y) / sum(y) * 100, 6) as bias_pct, count(*) filter (abs(pred - y) / y > 0.2) as stores_off from pred where fold = 'holdout' and model = 'lag_7' group by 1 order by abs(sum(pred - y) / sum(y)) desc, Date limit 6", "pred")
 def worst_days(p: Panel) -> DataFrame:
-    return scoring.worst_days(p.pred.filter(HELD), "lag_7")
+    return scoring.worst_days(p.held, "lag_7")

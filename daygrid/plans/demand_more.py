@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import audit, baselines, forecast, models, sampling, scoring
 from ..operators.features import CATEGORICAL, EVENTS, MODEL_NUMERIC, build_features, category_levels
 from ..sources import panel
-from .demand import FLAG_COLUMNS, HELD, SQL, Panel, query
+from .demand import FLAG_COLUMNS, SQL, Panel, query
 from .oracle import cte
 
 cte("active", ("history",), "select * from history where Date <= date '2015-06-19' and Open = 1 and Customers > 0")
@@ -292,7 +292,7 @@ _groups = f"(select Store, unnest(list_filter(['all', segment, {_set}], lambda x
 
 @query(f'select model, g as "group", count(distinct pred.Store) as stores, round(avg(abs(pred - y) / y) * 100, 6) as ape from pred join {_groups} q on q.Store = pred.Store where fold = \'holdout\' group by 1, 2', "pred", "profile")
 def errors_by_store_group(p: Panel) -> DataFrame:
-    return scoring.by_group(p.pred.filter(HELD), flagged(p), FLAG_COLUMNS)
+    return scoring.by_group(p.held, flagged(p), FLAG_COLUMNS)
 
 
 @query(
@@ -302,7 +302,7 @@ def errors_by_store_group(p: Panel) -> DataFrame:
     "profile",
 )
 def worst_stores(p: Panel) -> DataFrame:
-    return scoring.worst_stores(p.pred.filter(HELD), flagged(p), "lag_7", FLAG_COLUMNS)
+    return scoring.worst_stores(p.held, flagged(p), "lag_7", FLAG_COLUMNS)
 
 
 # Weekly forecasts
@@ -471,7 +471,7 @@ def forecast_of_levels(p: Panel) -> DataFrame:
 @query(None)
 def poisson_bootstrap_draws(p: Panel) -> DataFrame:
     """2000 draws by Poisson weights, the form for very many blocks."""
-    return scoring.poisson_bootstrap(scoring.block_sums(p.pred.filter(HELD), "2015-06-20"))
+    return scoring.poisson_bootstrap(scoring.block_sums(p.held, "2015-06-20"))
 
 
 @query(None)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import tempfile
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +18,14 @@ HOLIDAYS = ("0", "a", "b", "c")
 FLAGS = ("Open", "Promo", "SchoolHoliday")
 
 
+def work_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir. Only a local session may go without; it gets a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return folder or tempfile.mkdtemp(prefix="panel-")
+
+
 def read(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """A CSV file with a header, or Parquet, by the path's ending; columns cast to the schema where one is given."""
     if path.rstrip("/").endswith(".csv"):
