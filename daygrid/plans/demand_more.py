@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import audit, baselines, forecast, models, sampling, scoring
+from ..operators import audit, baselines, forecast, models, sampling, scoring, statespace
 from ..operators.features import CATEGORICAL, EVENTS, MODEL_NUMERIC, build_features, category_levels
 from ..sources import panel
 from .demand import FLAG_COLUMNS, SQL, Panel, query
@@ -405,17 +405,24 @@ def tree_fold_scores(p: Panel) -> DataFrame:
 def store_model_scores(p: Panel) -> DataFrame:
     """Per-store regressions with both kinds of ARIMA errors on the expanding folds, and which has the least mean MAPE."""
     calendar, feats, _ = model_tables(p)
-    scores = scoring.fold_scores(scoring.checked(models.store_model_folds(calendar, models.exogenous(feats))))
+    scores = scoring.fold_scores(scoring.checked(kept(statespace.store_model_folds(calendar, models.exogenous(feats)))))
     best = scores.filter("fold = 'mean'").orderBy("mape", "model").limit(1).select("model", F.lit(True).alias("chosen"))
     return scores.join(F.broadcast(best), "model", "left").withColumn("chosen", F.coalesce("chosen", F.lit(False)))
 
 
+@query(None)
+def store_model_parameters(p: Panel) -> DataFrame:
+    """phi, theta, deviation, likelihood and the promotion's coefficient of every store's two error models, on all days before the holdout."""
+    calendar, feats, _ = model_tables(p)
+    return statespace.store_model_parameters(calendar, models.exogenous(feats), "2015-06-20")
+
+
 @query(None)
 def holdout_model_table(p: Panel) -> DataFrame:
     """Baselines, ridge, ridge with a segment's own model and per-store models on the same open days of the holdout: metrics and business figures."""
     calendar, feats, levels = model_tables(p)
     last, ridge = (baselines.HOLDOUT,), models.make_ridge(levels)
-    parts = [models.run_folds(feats, calendar, ridge, "ridge", last), models.run_folds(feats, calendar, ridge, "ridge_by_segment", last, segments=("high_check",)), models.store_model_folds(calendar, models.exogenous(feats), (1,), last)]
+    parts = [models.run_folds(feats, calendar, ridge, "ridge", last), models.run_folds(feats, calendar, ridge, "ridge_by_segment", last, segments=("high_check",)), statespace.store_model_folds(calendar, models.exogenous(feats), (1,), last)]
     base = baselines.baseline_predictions(baselines.with_baselines(calendar), baselines.folds(p.spark, last))
     every = kept(scoring.checked(reduce(DataFrame.unionByName, [x.select("Store", "Date", "model", "y", "pred") for x in (base, *parts)])))
     return scoring.metrics(every, "model").join(scoring.business_summary(every, baselines.HOLDOUT[1], "model"), "model")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from daygrid.functions.dates import easter, iso_monday
-from daygrid.operators import baselines, forecast, models, sampling, scoring
+from daygrid.operators import baselines, forecast, models, sampling, scoring, statespace
 from daygrid.operators import calendar as cal
 from daygrid.operators import features as feats
 from daygrid.sources import panel
@@ -239,8 +239,8 @@ def test_forecaster_and_store_models(spark, tmp_path):
         panel.load_model(spark, str(tmp_path / "m"), feats.FEATURES[1:])
     with pytest.raises(ValueError, match="without a level"):
         fitted.forecast(table)
-    got = models.store_models(calendar, models.exogenous(table), "2015-04-01", "2015-04-28").toPandas()
-    assert len(got) == 24 and got.pred.between(200, 900).all()
+    got = statespace.store_model_folds(calendar, models.exogenous(table), (0,), (("a", dt.date(2015, 4, 1), dt.date(2015, 4, 28)),)).toPandas()
+    assert len(got) == 24 and (got.pred > 0).all()  # 90 days say nothing sure of a yearly wave; tests/test_statespace.py has the figures
     with pytest.raises(ValueError, match="segment=x"):
         feats.check_levels(table.withColumn("segment", F.lit("x")), levels)
 
