@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import audit, baselines, forecast, models, sampling, scoring, statespace
-from ..operators.features import CATEGORICAL, EVENTS, MODEL_NUMERIC, build_features, category_levels
+from ..operators import audit, baselines, forecast, models, ridge, sampling, scoring, statespace
+from ..operators.features import BASE_CATEGORICAL, BASE_NUMERIC, CATEGORICAL, MODEL_NUMERIC, build_features, category_levels
 from ..sources import panel
 from .demand import FLAG_COLUMNS, SQL, Panel, query
 from .oracle import cte
@@ -421,8 +421,8 @@ def store_model_parameters(p: Panel) -> DataFrame:
 def holdout_model_table(p: Panel) -> DataFrame:
     """Baselines, ridge, ridge with a segment's own model and per-store models on the same open days of the holdout: metrics and business figures."""
     calendar, feats, levels = model_tables(p)
-    last, ridge = (baselines.HOLDOUT,), models.make_ridge(levels)
-    parts = [models.run_folds(feats, calendar, ridge, "ridge", last), models.run_folds(feats, calendar, ridge, "ridge_by_segment", last, segments=("high_check",)), statespace.store_model_folds(calendar, models.exogenous(feats), (1,), last)]
+    last, make = (baselines.HOLDOUT,), models.make_ridge(levels)
+    parts = [models.run_folds(feats, calendar, make, "ridge", last), models.run_folds(feats, calendar, make, "ridge_by_segment", last, segments=("high_check",)), statespace.store_model_folds(calendar, models.exogenous(feats), (1,), last)]
     base = baselines.baseline_predictions(baselines.with_baselines(calendar), baselines.folds(p.spark, last))
     every = kept(scoring.checked(reduce(DataFrame.unionByName, [x.select("Store", "Date", "model", "y", "pred") for x in (base, *parts)])))
     return scoring.metrics(every, "model").join(scoring.business_summary(every, baselines.HOLDOUT[1], "model"), "model")
@@ -430,17 +430,35 @@ def holdout_model_table(p: Panel) -> DataFrame:
 
 @query(None)
 def ridge_grid(p: Panel) -> DataFrame:
-    """Mean fold MAPE of five penalties, least first."""
+    """Scores of five penalties on the folds and their mean, all from one pass; chosen: least mean MAPE."""
     calendar, feats, levels = model_tables(p)
-    return models.grid_search(feats, calendar, {f"alpha_{a}": models.make_ridge(levels, alpha=a) for a in (0.1, 1.0, 10.0, 100.0, 1000.0)})
+    family = ridge.fit_family(feats, levels, BASE_NUMERIC, BASE_CATEGORICAL)
+    scores = kept(ridge.family_scores(feats, calendar, family, ridge.penalties((0.1, 1.0, 10.0, 100.0, 1000.0))))
+    best = scores.filter("fold = 'mean'").orderBy("mape", "model").limit(1).select("model", F.lit(True).alias("chosen"))
+    return scores.join(F.broadcast(best), "model", "left").withColumn("chosen", F.coalesce("chosen", F.lit(False)))
 
 
 @query(None)
 def feature_ablation(p: Panel) -> DataFrame:
-    """Change of mean fold MAPE without a group of features, and the verdict."""
+    """Change of mean fold MAPE of ridge without each of the eight groups of features, and the verdict; all from one pass."""
+    calendar, feats, levels = model_tables(p)
+    family = ridge.fit_family(feats, levels, BASE_NUMERIC, BASE_CATEGORICAL)
+    return scoring.compare_to_base(ridge.family_scores(feats, calendar, family, ridge.without_groups()), "all")
+
+
+@query(None)
+def candidate_features(p: Panel) -> DataFrame:
+    """Each candidate added to or taken from the base features, the rule's verdict, and all accepted ones together."""
+    calendar, feats, levels = model_tables(p)
+    return ridge.candidate_search(feats, calendar, ridge.fit_family(feats, levels))[0]
+
+
+@query(None)
+def segment_model_decision(p: Panel) -> DataFrame:
+    """For each segment the MAPE on its own days of the shared ridge and of its own, by fold, and the rule's verdict."""
     calendar, feats, levels = model_tables(p)
-    groups = {"lags": [c for c in MODEL_NUMERIC if "lag" in c], "year": ["rel_364"], "events": list(EVENTS), "store": ["store_id", "segment", "Assortment"], "competition": ["competition_open", "competition_distance_log"]}
-    return models.ablation(feats, calendar, lambda n, c: models.make_ridge(levels, n, c), groups)
+    family = ridge.fit_family(feats, levels, BASE_NUMERIC, BASE_CATEGORICAL, by_segment=True)
+    return ridge.segment_decision(feats, calendar, family, levels["segment"])
 
 
 @query(None)
