@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import audit, baselines, forecast, models, ridge, sampling, scoring, statespace
+from ..operators import audit, baselines, boosting, forecast, models, ridge, sampling, scoring, statespace
 from ..operators.features import BASE_CATEGORICAL, BASE_NUMERIC, CATEGORICAL, MODEL_NUMERIC, build_features, category_levels
 from ..sources import panel
 from .demand import FLAG_COLUMNS, SQL, Panel, query
@@ -419,10 +419,10 @@ def store_model_parameters(p: Panel) -> DataFrame:
 
 @query(None)
 def holdout_model_table(p: Panel) -> DataFrame:
-    """Baselines, ridge, ridge with a segment's own model and per-store models on the same open days of the holdout: metrics and business figures."""
+    """Baselines, ridge, boosted trees with a segment's own model, and per-store models on the same open days of the holdout: metrics and business figures."""
     calendar, feats, levels = model_tables(p)
-    last, make = (baselines.HOLDOUT,), models.make_ridge(levels)
-    parts = [models.run_folds(feats, calendar, make, "ridge", last), models.run_folds(feats, calendar, make, "ridge_by_segment", last, segments=("high_check",)), statespace.store_model_folds(calendar, models.exogenous(feats), (1,), last)]
+    last, make, trees = (baselines.HOLDOUT,), models.make_ridge(levels), boosting.make_best_first(levels)
+    parts = [models.run_folds(feats, calendar, make, "ridge", last), models.run_folds(feats, calendar, trees, "best_first_trees", last, segments=("high_check",)), statespace.store_model_folds(calendar, models.exogenous(feats), (1,), last)]
     base = baselines.baseline_predictions(baselines.with_baselines(calendar), baselines.folds(p.spark, last))
     every = kept(scoring.checked(reduce(DataFrame.unionByName, [x.select("Store", "Date", "model", "y", "pred") for x in (base, *parts)])))
     return scoring.metrics(every, "model").join(scoring.business_summary(every, baselines.HOLDOUT[1], "model"), "model")
@@ -461,12 +461,19 @@ def segment_model_decision(p: Panel) -> DataFrame:
     return ridge.segment_decision(feats, calendar, family, levels["segment"])
 
 
+@query(None)
+def tree_grid(p: Panel) -> DataFrame:
+    """Fold scores of trees grown best first to 15 and to 63 leaves, after 50, 100 and 150 trees, from one fit a fold each."""
+    calendar, feats, levels = model_tables(p)
+    makers = {f"leaves={n}": boosting.make_best_first(levels, leaves=n) for n in (15, 63)}
+    return boosting.staged_grid(feats, calendar, makers, [50, 100, 150])
+
+
 @query(None)
 def tree_importance(p: Panel) -> DataFrame:
-    """Share of each feature in % in boosted trees fitted on all days before the holdout."""
+    """Share of each feature in % of the gain in boosted trees (150, best first) of each fold, with mean, least and most."""
     _, feats, levels = model_tables(p)
-    model = models.make_trees(levels, trees=40)(kept(scoring.training_rows(feats, "2015-06-20")))
-    return p.spark.createDataFrame(list(models.importance(model).items()), "feature string, share double")
+    return boosting.importance_over_folds(feats, boosting.make_best_first(levels))
 
 
 @query(None)
