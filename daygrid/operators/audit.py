@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import month_start
 from .calendar import closure_runs, export_gaps, flag_runs
 from .features import SEGMENTS
+from .order import average_ranks, quantiles
 
 TEST_START = dt.date(2015, 6, 20)
 MIN_OPEN_DAYS = 120
@@ -65,7 +66,9 @@ def cross_tab(df: DataFrame, a: str, b: str, total: str = "all") -> DataFrame:
 def describe(df: DataFrame, columns, points=(0.05, 0.25, 0.5, 0.75, 0.95)) -> DataFrame:
     """count, mean, std, min, percentiles (linear between values) and max per column."""
     rows = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns])).alias("p")).select("p.*")
-    return rows.groupBy("column").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), *[F.percentile("x", F.lit(p)).alias(f"p{round(100 * p):02d}") for p in points], F.max("x").alias("max"))
+    names = {f"p{round(100 * p):02d}": p for p in points}
+    out = rows.groupBy("column").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"))
+    return out.join(quantiles(rows, "x", names, ("column",)), "column", "left").select("column", "n", "mean", "std", "min", *names, "max")
 
 
 def competitor_opening(stores: DataFrame) -> DataFrame:
@@ -170,13 +173,6 @@ def below_mode(df: DataFrame, column: str) -> DataFrame:
     return df.filter(F.col(column) < (mode["value"] if mode else None)).select("Store", column)
 
 
-def average_ranks(df: DataFrame, column: str, alias: str) -> DataFrame:
-    """value and its average rank, from counts of distinct values: the ordered window is over distinct values, not rows."""
-    n = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("ties"))
-    below = F.coalesce(F.sum("ties").over(Window.orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return n.select("value", "ties", (below + (F.col("ties") + 1) / 2).alias(alias))
-
-
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     both = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(a, b)
     ra, rb = average_ranks(both, a, "ra"), average_ranks(both, b, "rb")
@@ -186,7 +182,8 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def quantile_bin(df: DataFrame, column: str, bins: int, alias: str, missing: str | None = None) -> DataFrame:
     """Bins 1..n between exact quantiles, right-closed, the first with the least value; null stays null or takes a name."""
-    edges = df.agg(F.percentile(column, F.lit([i / bins for i in range(1, bins)]))).first()[0] or []
+    row = quantiles(df, column, {f"q{i}": i / bins for i in range(1, bins)}).first()
+    edges = [] if row is None or row[0] is None else list(row)
     place = F.lit(bins)
     for i in range(len(edges), 0, -1):
         place = F.when(F.col(column) <= edges[i - 1], i).otherwise(place)

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .baselines import in_folds
+from .order import quantiles
 
 
 def checked(pred: DataFrame) -> DataFrame:
@@ -31,10 +32,13 @@ def business_summary(pred: DataFrame, start, *keys: str) -> DataFrame:
     day = F.lit(start).cast("date") if not isinstance(start, Column) else start
     ape = err() / F.col("y") * 100
     share = lambda c: F.avg(c.cast("int")) * 100
-    days = pred.groupBy(*keys).agg(F.avg("y").alias("mean_y"), F.percentile(err(), F.lit(0.5)).alias("median_error"), F.percentile(err(), F.lit(0.9)).alias("error_90"), share(ape <= 5).alias("within_5"), share(ape > 10).alias("over_10"), share(ape > 20).alias("over_20"), (F.sum(F.col("pred") - F.col("y")) / F.sum("y") * 100).alias("bias_pct"))
+    days = pred.groupBy(*keys).agg(F.avg("y").alias("mean_y"), share(ape <= 5).alias("within_5"), share(ape > 10).alias("over_10"), share(ape > 20).alias("over_20"), (F.sum(F.col("pred") - F.col("y")) / F.sum("y") * 100).alias("bias_pct"))
     weeks = pred.groupBy(*keys, "Store", F.floor(F.datediff("Date", day) / 7).alias("week")).agg(F.sum("y").alias("y"), F.sum("pred").alias("pred"))
-    total = weeks.groupBy(*keys).agg(F.percentile(err() / F.col("y") * 100, F.lit(0.5)).alias("week_median"), F.percentile(err() / F.col("y") * 100, F.lit(0.9)).alias("week_90"))
-    return days.join(total, list(keys)) if keys else days.crossJoin(total)
+    errors = quantiles(pred.select(*keys, err().alias("e")), "e", {"median_error": 0.5, "error_90": 0.9}, keys)
+    total = quantiles(weeks.select(*keys, (err() / F.col("y") * 100).alias("e")), "e", {"week_median": 0.5, "week_90": 0.9}, keys)
+    out = days.join(errors, list(keys)).join(total, list(keys)) if keys else days.crossJoin(errors).crossJoin(total)  # single rows
+    first = [*keys, "mean_y", "median_error", "error_90"]
+    return out.select(*first, *[c for c in out.columns if c not in first])
 
 
 def training_rows(features: DataFrame, before, target: str = "target") -> DataFrame:
@@ -114,11 +118,12 @@ def poisson_bootstrap(blocks: DataFrame, n_boot: int = 2000, seed: int = 42) ->
 
 
 def bootstrap_gains(draws: DataFrame, model: str) -> DataFrame:
-    """Gain in MAPE % of a model against each other one: 2.5 and 97.5 percentiles and the share of draws with a gain."""
-    own = draws.filter(F.col("model") == model).select("draw", F.col("mape").alias("own"))
-    g = draws.filter(F.col("model") != model).join(own, "draw").withColumn("gain", (F.col("mape") - F.col("own")) / F.col("mape") * 100)
+    """Gain in % of a model against each other one, in MAE and in MAPE: 2.5 and 97.5 percentiles and the share of draws with a gain."""
+    long = draws.select("draw", "model", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ("mae", "mape")])).alias("p")).select("draw", "model", "p.*")
+    own = long.filter(F.col("model") == model).select("draw", "metric", F.col("value").alias("own"))
+    g = long.filter(F.col("model") != model).join(own, ["draw", "metric"]).withColumn("gain", (F.col("value") - F.col("own")) / F.col("value") * 100)
     q = lambda p: F.percentile("gain", F.lit(p))
-    return g.groupBy(F.col("model").alias("base")).agg(q(0.025).alias("low"), q(0.975).alias("high"), F.avg((F.col("gain") > 0).cast("int")).alias("share"))
+    return g.groupBy(F.col("model").alias("base"), "metric").agg(q(0.025).alias("low"), q(0.975).alias("high"), F.avg((F.col("gain") > 0).cast("int")).alias("share"))
 
 
 def by_group(pred: DataFrame, profile: DataFrame, flags) -> DataFrame:

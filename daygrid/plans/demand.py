@@ -490,8 +490,8 @@ def bootstrap_gains(p: Panel) -> DataFrame:
 
 
 SQL["bootstrap_draws"] = text("", "pred").rstrip() + ",\n" + _boot + " select draw, model, round(mae, 6) as mae, round(mape, 6) as mape from boot"
-SQL["bootstrap_gains"] = text("", "pred").rstrip() + ",\n" + _boot + """ select base, round(quantile_cont(gain, 0.025), 6) as low, round(quantile_cont(gain, 0.975), 6) as high, round(avg(case when gain > 0 then 1 else 0 end), 6) as share from (
- select b.model as base, (b.mape - o.mape) / b.mape * 100 as gain from boot b join boot o on o.draw = b.draw and o.model = 'median_7_28' where b.model <> 'median_7_28') group by 1"""
+SQL["bootstrap_gains"] = text("", "pred").rstrip() + ",\n" + _boot + """ select base, metric, round(quantile_cont(gain, 0.025), 6) as low, round(quantile_cont(gain, 0.975), 6) as high, round(avg(case when gain > 0 then 1 else 0 end), 6) as share from (
+ select b.model as base, u.metric, (u.v - u.o) / u.v * 100 as gain from boot b join boot o on o.draw = b.draw and o.model = 'median_7_28', lateral (select 'mae' as metric, b.mae as v, o.mae as o union all select 'mape', b.mape, o.mape) u where b.model <> 'median_7_28') group by 1, 2"""
 
 
 @query("select Store, model, round(avg(abs(pred - y) / y) * 100, 6) as mape, round(sum(pred - y) / sum(y) * 100, 6) as bias_pct from pred where fold = 'holdout' group by 1, 2", "pred")

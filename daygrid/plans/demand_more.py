@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import audit, baselines, boosting, forecast, models, ridge, sampling, scoring, statespace
+from ..operators import asof, audit, baselines, boosting, encoding, forecast, models, order, ridge, sampling, scoring, statespace
 from ..operators.features import BASE_CATEGORICAL, BASE_NUMERIC, CATEGORICAL, MODEL_NUMERIC, build_features, category_levels
 from ..sources import panel
 from .demand import FLAG_COLUMNS, SQL, Panel, query
@@ -352,13 +352,57 @@ def one_pass_weeks(p: Panel) -> DataFrame:
     return forecast.one_pass_features(good, p.calendar, p.stores).select("Store", "origin", "Date", "level", "lag_filled", "known")
 
 
+# Joins by the nearest day, ranks, quantiles, columns for very many stores
+
+
+@query(
+    """select h.Store, h.Date, case when h.Date - p.Date <= 28 then p.Date end as promo_Date, case when h.Date - p.Date <= 28 then p.Customers end as promo_Customers
+ from history h asof left join (select Store, Date, Customers from history where Promo = 1 and Open = 1) p on h.Store = p.Store and h.Date > p.Date""",
+    "history",
+)
+def last_promo_day(p: Panel) -> DataFrame:
+    """For each row of the gappy history the last open promotion day before it, at most 28 days back, and its guests."""
+    days = p.history.filter("Promo = 1 and Open = 1").select("Store", "Date", "Customers")
+    return asof.asof(p.history.select("Store", "Date"), days, ("Store",), "Date", ("Customers",), "promo_", tolerance=28, same_day=False)
+
+
+@query("select h.Store, h.Date, c.Date as closed_Date, c.StateHoliday as closed_StateHoliday from history h asof left join (select Store, Date, StateHoliday from history where Open = 0) c on h.Store = c.Store and h.Date <= c.Date", "history")
+def next_closed_day(p: Panel) -> DataFrame:
+    """For each row of the gappy history the first closed day from it on, however far."""
+    days = p.history.filter("Open = 0").select("Store", "Date", "StateHoliday")
+    return asof.asof(p.history.select("Store", "Date"), days, ("Store",), "Date", ("StateHoliday",), "closed_", forward=True)
+
+
+@query("select Customers as value, count(*) as ties, min(r) + (count(*) - 1) / 2 as rank from (select Customers, rank() over (order by Customers) as r from history where Customers is not null) group by 1", "history")
+def guest_ranks(p: Panel) -> DataFrame:
+    """Average rank of every number of guests among all rows."""
+    return order.average_ranks(p.history, "Customers", "rank")
+
+
+@query("select DayOfWeek, " + ", ".join(f"round(quantile_cont(Sales::double, {q}), 6) as q{round(1000 * q)}" for q in (0.001, 0.05, 0.5, 0.9, 0.999)) + " from history group by 1", "history")
+def sales_quantiles(p: Panel) -> DataFrame:
+    """Exact quantiles of sales by weekday."""
+    return order.quantiles(p.history, "Sales", {f"q{round(1000 * q)}": q for q in (0.001, 0.05, 0.5, 0.9, 0.999)}, ("DayOfWeek",))
+
+
+@query(
+    """select Store, Date, round((coalesce(s, 0) + 20 * prior) / (c + 20), 6) as store_mean from (
+ select Store, Date, sum(target) over w as s, count(target) over w as c from features window w as (partition by Store order by Date range between unbounded preceding and interval 7 day preceding)) f
+ left join (select Date, sum(s) over w / nullif(sum(c) over w, 0) as prior from (select Date, sum(target) as s, count(target) as c from features group by 1) window w as (order by Date range between unbounded preceding and interval 7 day preceding)) d using (Date)""",
+    "features",
+)
+def store_means(p: Panel) -> DataFrame:
+    """The store as one number: its mean target up to a week before, drawn to that of all stores."""
+    return encoding.ordered_means(p.features, "store_id", alias="store_mean").select("Store", "Date", "store_mean")
+
+
 # Models
 
 
 @query(
     """select * from (select f.Store, f.Date, round(case when changed then target - ratio + center + sign(score) * 5 * scale else target end, 6) as target, changed from (
  select f.*, coalesce(abs(score) > 5 and not (days_since_reopen <> 'none' or days_to_long_closure <> 'none' or next_holiday <> 'none' or prev_holiday <> 'none' or easter_day <> 'none' or carnival_day <> 'none' or christmas_day <> 'none'), false) as changed, ratio, center, scale, score
- from features f join (select *, case when scale <> 0 then (ratio - center) / scale end as score from (select *, 1.4826 * quantile_cont(abs(ratio - center), 0.5) over (partition by Store) as scale from (select *, quantile_cont(ratio, 0.5) over (partition by Store) as center from (
+ from features f join (select *, case when scale <> 0 then (ratio - center) / scale when ratio <> center then sign(ratio - center) * 'inf'::double end as score from (select *, 1.4826 * quantile_cont(abs(ratio - center), 0.5) over (partition by Store) as scale from (select *, quantile_cont(ratio, 0.5) over (partition by Store) as center from (
  select *, ln(y / nullif(case when count(y) over n >= 3 then quantile_cont(y, 0.5) over n end, 0)) as ratio from (select Store, Date, DayOfWeek, Promo, Customers::double as y from calendar where day_status = 'open' and Date < date '2015-06-20') window n as (partition by Store, DayOfWeek, Promo order by Date rows between 2 preceding and 2 following))))) d using (Store, Date) where target is not null) f)""",
     "features",
 )

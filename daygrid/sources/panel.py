@@ -123,6 +123,14 @@ def runs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("mergeSchema", True).parquet(path)
 
 
+def save_bucketed(df: DataFrame, table: str, buckets: int, path: str | None = None) -> DataFrame:
+    """The panel as a table bucketed by Store and sorted by Store and Date, one file a bucket, in the warehouse or at a path that all executors
+    share. What is keyed by store reads it without an exchange; take about as many buckets as a job has tasks at once."""
+    out = df.repartition(buckets, "Store").write.mode("overwrite").format("parquet").bucketBy(buckets, "Store").sortBy("Store", "Date")
+    (out.option("path", path) if path else out).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 def with_records(log: DataFrame, more: DataFrame) -> DataFrame:
     """Two parts of a log as one, with all fields of both."""
     return log.unionByName(more, allowMissingColumns=True)
