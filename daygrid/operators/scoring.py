@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,8 +103,6 @@ def poisson_bootstrap(blocks: DataFrame, n_boot: int = 2000, seed: int = 42) ->
     (model, draw) rows are shuffled."""
 
     def weigh(batches):
-        import pandas as pd
-
         held: dict[str, np.ndarray] = {}
         for b in batches:
             for r in b.itertuples(index=False):
@@ -117,6 +116,43 @@ def poisson_bootstrap(blocks: DataFrame, n_boot: int = 2000, seed: int = 42) ->
     return parts.groupBy("draw", "model").agg((F.sum("e") / F.sum("n")).alias("mae"), (F.sum("r") / F.sum("n") * 100).alias("mape"))
 
 
+def multinomial_bootstrap(blocks: DataFrame, n_boot: int = 2000, seed: int = 42, bucket_size: int = 4096) -> DataFrame:
+    """Exact resamples with replacement for very many blocks: draw, model, mae, mape. The B slots of a draw are split over a binary tree of hash buckets
+    by binomials, each node's seeded by its place alone, and inside a bucket over its blocks: every task works out the way to its own bucket,
+    nothing is numbered, and no row is made for a draw and a block. All models share the draws; only (model, draw) sums are shuffled. The
+    driver gets one size a bucket."""
+    keyed = blocks.withColumn("hash", F.xxhash64("Store", "week"))
+    total = blocks.select("Store", "week").distinct().count()
+    buckets = 1 << max(0, (max(total, 1) - 1) // bucket_size).bit_length()
+    keyed = keyed.withColumn("bucket", F.pmod("hash", F.lit(buckets)).cast("int")).drop("hash")
+    sizes = np.zeros(buckets, np.int64)
+    for r in keyed.select("Store", "week", "bucket").distinct().groupBy("bucket").count().collect():
+        sizes[r["bucket"]] = r["count"]
+
+    def slots(bucket: int) -> np.ndarray:
+        """Slots of each draw that fall to a bucket."""
+        at, low, high, left = 1, 0, buckets, np.full(n_boot, total)
+        while high - low > 1:
+            middle = (low + high) // 2
+            first, whole = sizes[low:middle].sum(), sizes[low:high].sum()
+            taken = np.random.default_rng([seed, at]).binomial(left, first / whole if whole else 0.0)
+            left, low, high, at = (taken, low, middle, 2 * at) if bucket < middle else (left - taken, middle, high, 2 * at + 1)
+        return left
+
+    def weigh(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        bucket, out = int(key[0]), []
+        place = pdf.groupby(["Store", "week"], sort=True).ngroup().to_numpy()
+        m = int(place.max()) + 1
+        times = np.random.default_rng([seed, 0, bucket]).multinomial(slots(bucket), np.full(m, 1 / m))
+        for model, part in pdf.groupby("model"):
+            s = times[:, place[part.index.to_numpy()]] @ part[["n", "e", "r"]].to_numpy(float)
+            out.append(pd.DataFrame({"draw": np.arange(n_boot), "model": model, "n": s[:, 0], "e": s[:, 1], "r": s[:, 2]}))
+        return pd.concat(out)
+
+    parts = keyed.groupBy("bucket").applyInPandas(weigh, "draw long, model string, n double, e double, r double")
+    return parts.groupBy("draw", "model").agg((F.sum("e") / F.sum("n")).alias("mae"), (F.sum("r") / F.sum("n") * 100).alias("mape"))
+
+
 def bootstrap_gains(draws: DataFrame, model: str) -> DataFrame:
     """Gain in % of a model against each other one, in MAE and in MAPE: 2.5 and 97.5 percentiles and the share of draws with a gain."""
     long = draws.select("draw", "model", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ("mae", "mape")])).alias("p")).select("draw", "model", "p.*")

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import asof, audit, baselines, boosting, encoding, forecast, models, order, ridge, sampling, scoring, statespace
+from ..operators import asof, audit, baselines, boosting, encoding, forecast, forecaster, models, order, ridge, sampling, scoring, statespace
 from ..operators.features import BASE_CATEGORICAL, BASE_NUMERIC, CATEGORICAL, MODEL_NUMERIC, build_features, category_levels
 from ..sources import panel
 from .demand import FLAG_COLUMNS, SQL, Panel, query
@@ -531,9 +531,42 @@ def reloaded_model(p: Panel) -> DataFrame:
     return models.forecast(model.transform(held).withColumn("rel", F.col("__pred"))).select("Store", "Date", "forecast")
 
 
-@query("select 'baselines' as run, " + ", ".join(f"round(max(mape) filter (model = '{m}'), 6) as mape_{m}" for m in baselines.BASELINES) + " from (select model, avg(mape) as mape from scores group by 1)", "scores")
+_figures = "mean_y median_error error_90 within_5 over_10 over_20 bias_pct week_median week_90".split()
+_figure = lambda model, prefix: ", ".join(f"max(case when b.model = '{model}' then b.{c} end) as {prefix}{c}" for c in _figures)
+
+
+@query(
+    "select 'baselines' as run, 'median_7_28' as model, " + ", ".join(f"(select round(mape, 6) from scores where model = 'median_7_28' and fold = '{f[0]}') as fold_{f[0]}_mape" for f in baselines.FOLDS)
+    + ", (select round(sum(mape) / 3, 6) from scores where model = 'median_7_28') as folds_mape, "
+    + ", ".join(f"(select round({e}, 6) from pred where fold = 'holdout' and model = 'median_7_28') as holdout_{m}" for m, e in (("mae", "avg(abs(pred - y))"), ("mape", "avg(abs(pred - y) / y) * 100"), ("wape", "sum(abs(pred - y)) / sum(y) * 100")))
+    + ", " + ", ".join(f"(select round(avg(abs(pred - y) / y) * 100, 6) from pred where fold = 'holdout' and model = '{m}') as holdout_mape_{m}" for m in baselines.BASELINES)
+    + ", " + _figure("median_7_28", "") + ", " + _figure("lag_7", "lag_7_")
+    + " from (select d.*, week_median, week_90 from (select model, round(avg(y), 6) as mean_y, round(median(abs(pred - y)), 6) as median_error, round(quantile_cont(abs(pred - y), 0.9), 6) as error_90, round(100 * avg((abs(pred - y) / y <= 0.05)::int), 6) as within_5,"
+    + " round(100 * avg((abs(pred - y) / y > 0.1)::int), 6) as over_10, round(100 * avg((abs(pred - y) / y > 0.2)::int), 6) as over_20, round((sum(pred) / sum(y) - 1) * 100, 6) as bias_pct from pred where fold = 'holdout' group by 1) d"
+    + " join (select model, round(median(abs(p / y - 1)) * 100, 6) as week_median, round(quantile_cont(abs(p / y - 1), 0.9) * 100, 6) as week_90 from (select model, Store, (Date - date '2015-06-20') // 7 as week, sum(y) as y, sum(pred) as p from pred where fold = 'holdout' group by 1, 2, 3) group by 1) w using (model)) b",
+    "pred",
+    "scores",
+)
 def run_report(p: Panel) -> DataFrame:
-    return models.report(scoring.fold_scores(p.pred), {"run": "baselines"})
+    """The full record of a run, with a baseline as the model, so that SQL can say all of it."""
+    return forecaster.full_report(p.pred, p.held, "median_7_28", {"run": "baselines"}, "2015-06-20")
+
+
+@query(None)
+def forecaster_report(p: Panel) -> DataFrame:
+    """The full record of ridge with a segment's own model: three folds, then fitted on all days before the holdout, saved and loaded as one unit,
+    and scored with the baselines on the holdout's open days."""
+    calendar, feats, levels = model_tables(p)
+    make, name, own = models.make_ridge(levels), "ridge_by_segment", ("high_check",)
+    on_folds = models.run_folds(feats, calendar, make, name, segments=own)
+    fitted = models.DemandModel(make, own, levels).fit(scoring.training_rows(feats, "2015-06-20"))
+    forecaster.save_forecaster(fitted, {"train_end": "2015-06-19"}, f"{p.folder}/forecaster")
+    loaded, about = forecaster.load_forecaster(p.spark, f"{p.folder}/forecaster", MODEL_NUMERIC, CATEGORICAL, levels)
+    held = feats.filter("day_status = 'open' and Date >= '2015-06-20'")
+    y = calendar.select("Store", "Date", F.col("Customers").cast("double").alias("y"))
+    pred = loaded.forecast(held).select("Store", "Date", F.lit(name).alias("model"), F.col("forecast").alias("pred")).join(y, ["Store", "Date"])
+    every = kept(scoring.checked(p.held.select(*pred.columns).unionByName(pred)))
+    return forecaster.full_report(kept(on_folds), every, name, {"run": "forecaster", **about}, "2015-06-20")
 
 
 @query("select Store, Date, round(median_7_28, 6) as forecast from based where day_status = 'open' and Date >= date '2015-06-20'", "based")
@@ -550,6 +583,12 @@ def poisson_bootstrap_draws(p: Panel) -> DataFrame:
     return scoring.poisson_bootstrap(scoring.block_sums(p.held, "2015-06-20"))
 
 
+@query(None)
+def multinomial_bootstrap_draws(p: Panel) -> DataFrame:
+    """2000 exact resamples by binomial splitting, the form for very many blocks."""
+    return scoring.multinomial_bootstrap(scoring.block_sums(p.held, "2015-06-20"))
+
+
 @query(None)
 def weekly_forecast(p: Panel) -> DataFrame:
     """The serving path: a model with an own one for a segment, on all history before the holdout, forecasts all good requests."""
