@@ -2,11 +2,11 @@
 permutations, and a join of blocks by index. DataFrame functions only.
 
 The words of each source form one stream, in an order given by a hash of the id; block b of a source holds its words
-[b * L, (b + 1) * L). Every slot of every output shard draws its source by weight, so a shard's source counts are multinomial. A source's
-slots are numbered in the order of shards; slot t reads block perm(t mod B) in pass t div B, so every block is read once before any is read
-again. What a source takes is what its slots drew, corrected to within TOLERANCE of its target and never more than cap times its size: slots
-beyond that are dropped (the last is cut), and missing ones go to further shards. So the result depends on seed and shard size, and
-a small source, whose draw scatters by tens of per cent, still comes near its target.
+[b * L, (b + 1) * L). Each source has the slots that its target fills (the last one cut, never more than cap times its size). Output shards draw
+their source counts from the multinomial law given these totals: all slots of the mix are numbered source by source, one pseudorandom
+permutation of the numbers deals them out, and each run of SHARD places is a shard. So a shard's counts scatter as drawn, every shard but
+the last is full, and targets hold by construction. Slot t of a source reads block perm(t mod B) in pass t div B, so every block is read once
+before any is read again.
 
 Defined results: null or wordless text has size 0, a finite target of its source and taken 0; a null source is a source of its
 own, last in order; a row is known by its id and its text's hash, null ids included, and repeated rows are rows of their own in the
@@ -26,13 +26,9 @@ BLOCK = 256
 SHARD = 64
 CAP = 3
 SEED = 0
-#: A source's words may differ from its target by this share, as its draw has it.
-TOLERANCE = 0.01
 ROUNDS = 16
-#: Cells of the unit interval in which a slot's draw finds its source.
-CELLS = 1 << 12
-#: Shards numbered in one window.
-GROUP = 1 << 12
+#: Slots of a source that one row stands for until they are dealt to tasks.
+RUN = 1 << 12
 
 
 def permuted(x: Column, n: Column, seed: Column, back: bool = False) -> Column:
@@ -68,60 +64,30 @@ def sources_of(sized: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
     return out.select("source", "rank", "weight", "source_size", F.when(F.col("limited"), (F.col("source_size") * cap).cast("double")).otherwise(free).alias("target"))
 
 
-def same(df: DataFrame) -> DataFrame:
-    return df
-
-
-def drawn(plan: DataFrame, total: int, shard: int, seed: int, hint=same) -> DataFrame:
-    """rank, shard, count, base: the multinomial source counts of each shard, and how many slots of the source come before. The unit
-    interval is parted among the sources by weight; a slot's hash is a point of it. Cells of the interval make that an equi-join."""
-    shares = plan.select("rank", "low", "high", F.explode(F.sequence(F.floor(F.col("low") * CELLS), F.least(F.floor(F.col("high") * CELLS), F.lit(CELLS - 1)))).alias("cell"))
-    each = plan.sparkSession.range(total).select(F.floor(F.col("id") / shard).alias("shard"), (F.pmod(F.xxhash64(F.lit(seed), F.floor(F.col("id") / shard), F.col("id") % shard), F.lit(1 << 40)) / float(1 << 40)).alias("u"))
-    each = each.withColumn("cell", F.floor(F.col("u") * CELLS)).join(hint(shares), "cell").filter("u >= low and u < high")
-    counts = cut(each.groupBy("rank", "shard").agg(F.count("*").alias("count")))
-    counts = counts.withColumn("group", F.floor(F.col("shard") / GROUP))
-    sums = counts.groupBy("rank", "group").agg(F.sum("count").alias("sum"))
-    before = lambda keys, order, c: F.coalesce(F.sum(c).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sums.select("rank", "group", before(["rank"], "group", "sum").alias("start"))
-    inside = counts.withColumn("inner", before(["rank", "group"], "shard", "count"))
-    return inside.join(starts, ["rank", "group"]).select("rank", "shard", "count", (F.col("start") + F.col("inner")).alias("base"))
-
-
-def slots_of(sources: DataFrame, block: int = BLOCK, shard: int = SHARD, hint=same, seed: int = SEED, cap: int = CAP, tolerance: float = TOLERANCE) -> DataFrame:
+def slots_of(sources: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = SEED, cap: int = CAP) -> DataFrame:
     """The mix itself: one row per slot of the output with shard, place in the source's slots, source rank, block, pass and words taken."""
     s = F.col("source_size")
-    plan = sources.filter(s > 0).select("rank", s.alias("n"), "target", F.ceil(s / block).cast("long").alias("blocks"))
+    plan = sources.filter(s > 0).select("rank", s.alias("n"), F.least(F.round("target"), s * cap).cast("long").alias("take"), F.ceil(s / block).cast("long").alias("blocks"))
     plan = plan.withColumn("seed", F.xxhash64(F.lit(seed), "rank", F.lit("blocks"))).withColumn("lack", F.col("blocks") * block - F.col("n"))
-    # One row per source: the unpartitioned windows are over those.
-    every = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    whole = F.sum("target").over(Window.partitionBy())
-    plan = plan.withColumn("high", F.sum("target").over(every) / whole).withColumn("low", F.coalesce(F.lag("high").over(Window.orderBy("rank")), F.lit(0.0)))
-    plan = cut(plan.withColumn("high", F.when(F.row_number().over(Window.orderBy(F.desc("rank"))) == 1, F.lit(1.0)).otherwise(F.col("high"))))
-    total = int(-(-(plan.agg(F.sum("target")).first()[0] or 0) // block))
-    if not total:
-        return plan.select(F.lit(0).cast("long").alias("shard"), F.lit(0).cast("long").alias("place"), "rank", F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("pass"), F.lit(0).cast("long").alias("words")).limit(0)
-    counts = cut(drawn(plan, total, shard, seed, hint))
-    got = counts.groupBy("rank").agg(F.sum("count").alias("slots"))
-    plan = plan.join(hint(got), "rank", "left").withColumn("slots", F.coalesce("slots", F.lit(0)))
-    near = F.greatest(F.least(F.col("slots") * block, F.ceil(F.col("target") * (1 + tolerance))), F.floor(F.col("target") * (1 - tolerance)))
-    plan = plan.withColumn("take", F.least(near, F.col("n") * cap).cast("long"))
     plan = plan.withColumn("full", F.floor(F.col("take") / F.col("n"))).withColumn("rest", F.col("take") - F.col("full") * F.col("n"))
     # The short block's place in its source's order; every pass has the same order.
     plan = plan.withColumn("short_at", permuted(F.col("blocks") - 1, F.col("blocks"), F.col("seed"), back=True))
-    # Slots of the last pass: k blocks hold k * block words, less what the short last block lacks once it has come.
-    plan = plan.withColumn("needed", F.col("full") * F.col("blocks") + F.when(F.col("rest") > 0, F.least(F.ceil((F.col("rest") + F.col("lack")) / block), F.col("blocks"))).otherwise(0))
-    plan = cut(plan.drop("low", "high", "target"))
-    last = -(-total // shard)
-    further = plan.filter("needed > slots").select("rank", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("needed") - F.col("slots") - 1) / shard))).alias("i"), "slots", "needed")
-    further = further.select("rank", (F.lit(last) + F.col("i")).alias("shard"), F.least(F.lit(shard), F.col("needed") - F.col("slots") - F.col("i") * shard).alias("count"), (F.col("slots") + F.col("i") * shard).alias("base"))
-    each = counts.unionByName(further).join(hint(plan), "rank").filter("base < needed")
-    each = each.withColumn("t", F.explode(F.sequence(F.col("base"), F.least(F.col("base") + F.col("count"), F.col("needed")) - 1)))
-    each = each.withColumn("pass", F.floor(F.col("t") / F.col("blocks"))).withColumn("k", F.col("t") % F.col("blocks"))
+    # Slots of the last pass: k blocks hold k * block words, less what the short last block lacks once it has come. None is empty.
+    plain = F.ceil(F.col("rest") / block)
+    last = F.when(F.col("short_at") < plain, F.ceil((F.col("rest") + F.col("lack")) / block)).otherwise(plain)
+    plan = plan.withColumn("needed", F.col("full") * F.col("blocks") + last)
+    # One row per source: the unpartitioned windows are over those.
+    before = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    plan = plan.withColumn("begin", F.coalesce(F.sum("needed").over(before), F.lit(0))).withColumn("total", F.sum("needed").over(Window.partitionBy()))
+    runs = plan.filter("needed > 0").withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("needed") - 1) / RUN))))
+    each = runs.repartition("rank", "run").withColumn("t", F.explode(F.sequence(F.col("run") * RUN, F.least((F.col("run") + 1) * RUN, F.col("needed")) - 1)))
+    at = permuted(F.col("begin") + F.col("t"), F.col("total"), F.xxhash64(F.lit(seed), F.lit("shards")))
+    each = each.withColumn("shard", F.floor(at / shard)).withColumn("pass", F.floor(F.col("t") / F.col("blocks"))).withColumn("k", F.col("t") % F.col("blocks"))
     each = each.withColumn("block", permuted(F.col("k"), F.col("blocks"), F.col("seed")))
     length = F.when(F.col("block") == F.col("blocks") - 1, block - F.col("lack")).otherwise(block)
-    before = F.col("k") * block - F.when(F.col("k") > F.col("short_at"), F.col("lack")).otherwise(0)
-    taken = F.when(F.col("pass") < F.col("full"), length).otherwise(F.least(length, F.greatest(F.col("rest") - before, F.lit(0))))
-    return each.select("shard", F.col("t").alias("place"), "rank", "block", "pass", taken.cast("long").alias("words")).filter("words > 0")
+    gone = F.col("k") * block - F.when(F.col("k") > F.col("short_at"), F.col("lack")).otherwise(0)
+    taken = F.when(F.col("pass") < F.col("full"), length).otherwise(F.least(length, F.greatest(F.col("rest") - gone, F.lit(0))))
+    return each.select("shard", F.col("t").alias("place"), "rank", "block", "pass", taken.cast("long").alias("words"))
 
 
 def blocks_of(docs: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -157,12 +123,12 @@ def placed(rows: DataFrame, weights=WEIGHTS, block: int = BLOCK, shard: int = SH
     sources = cut(sources_of(rows, weights, cap))
     n = rows.count()
     # One row per source: sent to all tasks up to this many, joined by shuffle beyond.
-    hint = F.broadcast if sources.count() <= BROADCAST_SOURCES else same
+    hint = F.broadcast if sources.count() <= BROADCAST_SOURCES else (lambda df: df)
     small = sources.select(F.col("source").alias("of"), "rank", "source_size", "target")
     joined = rows.join(hint(small), F.col("source").eqNullSafe(F.col("of")), "left").withColumn("row", F.struct(*ROW))
     buckets = max(1, min(n // BUCKET_ROWS, math.isqrt(n)))
     joined = joined.withColumn("order", F.xxhash64(F.lit(seed), *ROW)).withColumn("bucket", F.pmod(F.xxhash64(*ROW, F.lit("bucket")), F.lit(buckets)))
-    return joined, slots_of(sources, block, shard, hint, seed, cap), blocks_of(joined.select("row", "rank", "bucket", "order", "size"), block)
+    return joined, slots_of(sources, block, shard, seed, cap), blocks_of(joined.select("row", "rank", "bucket", "order", "size"), block)
 
 
 def mixed(rows: DataFrame, *args, **kwargs) -> DataFrame:
