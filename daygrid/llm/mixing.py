@@ -66,7 +66,7 @@ def sources_of(sized: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
 
 def slots_of(sources: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = SEED, cap: int = CAP) -> DataFrame:
     """The mix itself: one row per slot of the output with shard, place in the source's slots, source rank, block, pass and words taken."""
-    s = F.col("source_size")
+    s = F.nullif("source_size", F.lit(0))  # filters may move behind a division
     plan = sources.filter(s > 0).select("rank", s.alias("n"), F.least(F.round("target"), s * cap).cast("long").alias("take"), F.ceil(s / block).cast("long").alias("blocks"))
     plan = plan.withColumn("seed", F.xxhash64(F.lit(seed), "rank", F.lit("blocks"))).withColumn("lack", F.col("blocks") * block - F.col("n"))
     plan = plan.withColumn("full", F.floor(F.col("take") / F.col("n"))).withColumn("rest", F.col("take") - F.col("full") * F.col("n"))
@@ -136,7 +136,8 @@ def mixed(rows: DataFrame, *args, **kwargs) -> DataFrame:
     joined, slots, pieces = placed(rows, *args, **kwargs)
     reads = slots.groupBy("rank", "block").agg(F.collect_list("words").alias("reads"))  # one entry a pass
     overlap = F.aggregate("reads", F.lit(0).cast("long"), lambda acc, w: acc + F.greatest(F.least(F.col("last"), w) - F.col("first"), F.lit(0)))
-    taken = pieces.join(reads, ["rank", "block"]).groupBy("row").agg(F.sum(overlap).alias("words"))
+    # The slots come out of a few rows by explode, so Spark takes them to be few: the hint keeps it from broadcasting them.
+    taken = pieces.join(reads.hint("merge"), ["rank", "block"]).groupBy("row").agg(F.sum(overlap).alias("words"))
     return joined.join(taken, "row", "left").withColumn("taken", F.coalesce("words", F.lit(0)).cast("long"))
 
 
@@ -154,7 +155,7 @@ def shards(docs: DataFrame, weights=WEIGHTS, block: int = BLOCK, shard: int = SH
     cutting = pieces.join(joined.select("row", *ROW), "row").join(texts, ["id", "no_id", "hash"])
     own = cutting.select("rank", "source", "block", "first", "last", F.slice(F.filter(F.split("text", GAP), lambda w: w != ""), (F.col("from") + 1).cast("int"), (F.col("last") - F.col("first")).cast("int")).alias("words"))
     whole = own.groupBy("rank", "block").agg(F.first("source").alias("source"), F.array_sort(F.collect_list(F.struct("first", "words"))).alias("parts"))
-    filled = slots.withColumnRenamed("words", "n").join(whole, ["rank", "block"])
+    filled = slots.withColumnRenamed("words", "n").hint("merge").join(whole, ["rank", "block"])
     return filled.select("shard", "source", "place", F.array_join(F.slice(F.flatten("parts.words"), F.lit(1), F.col("n").cast("int")), " ").alias("words"))
 
 
