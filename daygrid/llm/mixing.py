@@ -80,7 +80,9 @@ def slots_of(sources: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: i
     before = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
     plan = plan.withColumn("begin", F.coalesce(F.sum("needed").over(before), F.lit(0))).withColumn("total", F.sum("needed").over(Window.partitionBy()))
     runs = plan.filter("needed > 0").withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("needed") - 1) / RUN))))
-    each = runs.repartition("rank", "run").withColumn("t", F.explode(F.sequence(F.col("run") * RUN, F.least((F.col("run") + 1) * RUN, F.col("needed")) - 1)))
+    # A fixed number of tasks: by their bytes Spark would put all runs into one, whose slots it would then make alone.
+    tasks = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = runs.repartition(tasks, "rank", "run").withColumn("t", F.explode(F.sequence(F.col("run") * RUN, F.least((F.col("run") + 1) * RUN, F.col("needed")) - 1)))
     at = permuted(F.col("begin") + F.col("t"), F.col("total"), F.xxhash64(F.lit(seed), F.lit("shards")))
     each = each.withColumn("shard", F.floor(at / shard)).withColumn("pass", F.floor(F.col("t") / F.col("blocks"))).withColumn("k", F.col("t") % F.col("blocks"))
     each = each.withColumn("block", permuted(F.col("k"), F.col("blocks"), F.col("seed")))
