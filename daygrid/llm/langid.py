@@ -10,9 +10,12 @@ No gram is pruned: the model grows with the distinct 4-grams of the training row
 BLOCK_BYTES (a block holds one language at least); texts are measured against one block after another, and a language's figures do not depend
 on its block.
 
-Each language's rejection limit comes from all training rows nearest to it (a language that no long enough training row is nearest to gets
-the highest limit of the others). The score is a softmax over languages of cross-entropy times the root of the length, with the one
-sharpness of SHARPNESS that gives the training rows' own languages the least log-loss.
+Models know the texts they were fitted on by heart, so one in APART training texts, by its hash (copies stay together), is kept from them and
+tells what they make of texts they have not seen; a language with texts of that part alone is fitted on those and tells nothing. Each
+language's rejection limit comes from all told rows nearest to it (a language that no long enough one is nearest to gets the highest limit of
+the others). The score is a softmax over languages of cross-entropy times the root of the length, with the one sharpness of SHARPNESS that
+gives the told rows' own languages the least log-loss, mixed with an even share for the lapses that no margin foretells: (wrong + 1) / (rows
++ 2) of the told rows. It can't pass what those rows bear out; without such rows it says little.
 
 Defined results: null text or text without a letter is 'und' with score 0 and rejected; a table without training rows makes
 every document 'und' and rejects none; ties between languages go to the first by name; repeated rows are scored alike (and counted each);
@@ -40,6 +43,8 @@ RANKS = 100_000
 SHARPNESS = tuple(float(x) for x in np.geomspace(0.05, 50, 31))
 #: Bytes of a block's arrays.
 BLOCK_BYTES = 256 << 20
+#: One in so many training texts sets sharpness and limits instead of being counted.
+APART = 5
 #: Texts with fewer characters than this have too noisy an entropy to be rejected.
 MIN_CHARS = 40
 CHUNK = 1 << 18
@@ -218,6 +223,7 @@ class Fitted:
     blocks: list[Model]
     limits: list[float]
     sharpness: float
+    lapse: float
 
     @property
     def langs(self) -> list[str]:
@@ -262,27 +268,29 @@ def measured(docs: DataFrame, blocks: list[Model], name: str) -> DataFrame:
     return out
 
 
-def share(e: Column, n: Column, place: Column, sharpness: float) -> Column:
-    """Softmax share of one language."""
+def share(e: Column, n: Column, place: Column, sharpness: float, lapse: float, languages: int) -> Column:
+    """Softmax share of one language, mixed with an even share."""
     total = F.aggregate(F.transform(e, lambda x: F.exp(F.greatest((F.get(e, place) - x) * F.sqrt(n) * sharpness, F.lit(-700.0)))), F.lit(0.0), lambda a, x: a + x)
-    return 1.0 / F.least(total, F.lit(1e300))
+    return (1 - lapse) / F.least(total, F.lit(1e300)) + lapse / languages
 
 
 def calibrated(rows: DataFrame, blocks: list[Model]) -> Fitted:
-    """rows(lang, m): the training rows, measured."""
+    """rows(lang, m): training rows that the models have not seen, measured."""
     langs = [lang for b in blocks for lang in b.langs]
     if not langs:
-        return Fitted([], [], 1.0)
+        return Fitted([], [], 1.0, 1.0)
     names = F.array(*map(F.lit, langs))
     e, n = F.col("m.e"), F.col("m.n")
     rows = rows.filter("m.n > 0").select("m", (F.array_position(e, F.array_min(e)) - 1).cast("int").alias("best"), (F.array_position(names, F.col("lang").cast("string")) - 1).cast("int").alias("own"))
-    losses = rows.filter("own >= 0").agg(*[F.avg(-F.log(share(e, n, F.col("own"), s))).alias(str(i)) for i, s in enumerate(SHARPNESS)]).first()
+    seen = rows.agg(F.count("*").alias("rows"), F.count_if(F.col("own") != F.col("best")).alias("wrong")).first()
+    lapse = (seen["wrong"] + 1) / (seen["rows"] + 2)
+    losses = rows.agg(*[F.avg(-F.log(share(e, n, F.col("own"), s, lapse, len(langs)))).alias(str(i)) for i, s in enumerate(SHARPNESS)]).first()
     sharpness = SHARPNESS[min(range(len(SHARPNESS)), key=lambda i: (losses[i] if losses[i] is not None else 0.0, i))]
     limits = [np.inf] * len(langs)
     for r in rows.filter(n >= MIN_CHARS).groupBy("best").agg(F.percentile_approx(F.array_min(e), 0.999, RANKS).alias("q")).collect():
         limits[r["best"]] = r["q"] * MARGIN
     known = [x for x in limits if np.isfinite(x)]
-    return Fitted(blocks, [x if np.isfinite(x) else max(known, default=x) for x in limits], sharpness)
+    return Fitted(blocks, [x if np.isfinite(x) else max(known, default=x) for x in limits], sharpness, lapse)
 
 
 def verdict(m: Column, model: Fitted) -> Column:
@@ -292,7 +300,7 @@ def verdict(m: Column, model: Fitted) -> Column:
     e, n = m["e"], m["n"]
     best = (F.array_position(e, F.array_min(e)) - 1).cast("int")
     named = F.when(n > 0, F.get(F.array(*map(F.lit, model.langs)), best)).otherwise("und")
-    score = F.when(n > 0, share(e, n, best, model.sharpness)).otherwise(0.0)
+    score = F.when(n > 0, share(e, n, best, model.sharpness, model.lapse, len(model.langs))).otherwise(0.0)
     far = (n >= MIN_CHARS) & (F.array_min(e) > F.get(F.array(*[F.lit(x) for x in model.limits]), best))
     return F.struct(named.alias("lang_pred"), score.alias("score"), ((n == 0) | far).alias("rejected"))
 
@@ -302,19 +310,30 @@ def training_rows(docs: DataFrame) -> DataFrame:
     return docs.filter((fold(F.col("doc_id"), 3) != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull())
 
 
+def told(train: DataFrame) -> Column:
+    """Whether a training row is kept from the models: those of one part by the text's hash, unless the language has no text with a letter beyond it."""
+    part = F.pmod(F.xxhash64(F.col("text").cast("string")), F.lit(APART)) == 0
+    others = train.filter(~part & F.col("text").cast("string").rlike(r"\p{L}")).select(F.col("lang").cast("string")).distinct().collect()  # a row a language
+    return part & F.col("lang").cast("string").isin([r[0] for r in others])
+
+
 def trained(docs: DataFrame) -> Fitted:
-    """Fit on the training rows; then set sharpness and rejection limits on the same rows."""
+    """Fit on all training rows but those kept apart; then set sharpness and rejection limits on these."""
     train = training_rows(docs).select("text", "lang")
-    blocks = models(train)
-    return calibrated(cut(measured(train, blocks, "m").select("lang", "m")), blocks)
+    tells = told(train)
+    blocks = models(train.filter(~tells))
+    return calibrated(cut(measured(train.filter(tells), blocks, "m").select("lang", "m")), blocks)
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, rejected. All rows are measured once; calibration reads the training rows among them."""
-    blocks = models(training_rows(docs).select("text", "lang"))
+    """doc_id, held_out, lang_pred, score, rejected. All rows are measured once; calibration reads the rows kept apart among them."""
+    train = training_rows(docs).select("text", "lang")
+    tells = told(train)
+    blocks = models(train.filter(~tells))
     held_out, trains = fold(F.col("doc_id"), 3) == 1, F.col("lang").isNotNull() & F.col("text").isNotNull()
-    rows = cut(measured(docs.select("doc_id", "lang", "text"), blocks, "m").select("doc_id", "lang", held_out.alias("held_out"), trains.alias("trains"), "m"))
-    model = calibrated(rows.filter("trains and not held_out"), blocks)
+    tells = F.coalesce(trains & ~held_out & tells, F.lit(False))
+    rows = cut(measured(docs.select("doc_id", "lang", "text"), blocks, "m").select("doc_id", "lang", held_out.alias("held_out"), tells.alias("tells"), "m"))
+    model = calibrated(rows.filter("tells"), blocks)
     return rows.select("doc_id", "held_out", verdict(F.col("m"), model).alias("p")).select("doc_id", "held_out", "p.*")
 
 

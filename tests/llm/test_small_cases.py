@@ -731,3 +731,26 @@ def test_language_score_is_calibrated_and_names_may_clash(spark):
     assert abs(np.mean([r["score"] for r in got]) - np.mean(right)) < 0.05
     assert langid.keep_known(df).columns == df.columns
     assert langid.keep_known(docs_of(spark, [(1, "abc", None, "s"), (2, None, None, None)])).count() == 2
+
+
+def test_language_score_knows_its_errors(spark):
+    """Snippets of the given texts, short enough to be misread: on held-out ones the scores must be worth more than one constant, and errors score lower."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    snippets = docs.withColumn("text", F.substring("text", 60, 5))
+    truth = {r["doc_id"]: r["lang"] for r in docs.collect()}
+    got = [(r["score"], r["lang_pred"] == truth[r["doc_id"]]) for r in langid.identify(snippets).collect() if r["held_out"] and truth[r["doc_id"]] and r["lang_pred"] != "und"]
+    right = [s for s, ok in got if ok]
+    wrong = [s for s, ok in got if not ok]
+    share = len(right) / len(got)
+    constant = -share * np.log(share) - (1 - share) * np.log(1 - share)
+    loss = (-np.sum(np.log(right)) - np.sum(np.log(1 - np.array(wrong)))) / len(got)
+    assert len(wrong) >= 5 and loss < 0.9 * constant, (len(wrong), loss, constant)
+    assert np.mean(wrong) < np.mean(right) - 0.1 and max(wrong + right) < 1
+
+
+def test_language_with_few_texts_is_still_learned(spark):
+    same = [(i, "жзий клмн опрс", "rr", "s") for i in range(12)]  # one text: it stands on one side of the split, whichever
+    rows = same + [(100 + i, f"abc de{'abcdefgh'[i % 8]} fgh{'xyz'[i % 3]} {'ab' * (i % 9 + 1)}", "aa", "s") for i in range(60)]
+    got = {r["doc_id"]: r for r in langid.identify(docs_of(spark, rows)).collect()}
+    assert all(got[i]["lang_pred"] == "rr" for i in range(12)) and all(got[100 + i]["lang_pred"] == "aa" for i in range(60))
+    assert not any(r["rejected"] for r in got.values()) and all(0 < r["score"] < 1 for r in got.values())
