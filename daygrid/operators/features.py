@@ -11,7 +11,7 @@ from ..functions.dates import easter, iso_monday, month_start
 from .calendar import by
 
 LEVEL_DAYS, MIN_LEVEL_DAYS, LEVEL_AGE_CAP = 24, 12, 28
-HORIZON, HOLIDAY_WINDOW = 7, 3
+HORIZON, HOLIDAY_WINDOW, REOPEN_DAYS = 7, 3, 13
 LAG_WEEKS = (1, 2, 3, 4)
 NO_EVENT = "none"
 SEGMENTS = {"b": "high_traffic", "a": "mid", "c": "mid", "d": "high_check"}
@@ -80,7 +80,7 @@ def event_features(rows: DataFrame, keys=("Store",), no_event: str = NO_EVENT) -
         text(between(F.col("__easter"), -7, 1)).alias("easter_day"),
         text(between(F.col("__easter") + 48, -4, 1)).alias("carnival_day"),
         F.when((md >= "12-01") | (md <= "01-06"), md).otherwise(no_event).alias("christmas_day"),
-        text(between(F.datediff("Date", "__away") - 1, 0, 13)).alias("days_since_reopen"),
+        text(between(F.datediff("Date", "__away") - 1, 0, REOPEN_DAYS)).alias("days_since_reopen"),
         text(between(F.datediff("__leaves", "Date"), 1, 7)).alias("days_to_long_closure"),
         F.month("Date").alias("month"),
         F.dayofmonth("Date").cast("double").alias("day_of_month"),
@@ -109,7 +109,12 @@ def store_features(rows: DataFrame, stores: DataFrame) -> DataFrame:
 
 
 def build_features(calendar: DataFrame, stores: DataFrame, keys=("Store",), no_event: str = NO_EVENT) -> DataFrame:
-    rows = store_features(event_features(lag_features(level_features(calendar, keys), keys), keys, no_event), stores)
+    return with_store(event_features(lag_features(level_features(calendar, keys), keys), keys, no_event), stores, keys)
+
+
+def with_store(rows: DataFrame, stores: DataFrame, keys=("Store",)) -> DataFrame:
+    """Rows that have all other features get those of their store: the table that models take."""
+    rows = store_features(rows, stores)
     extra = [k for k in keys if k != "Store"]
     return rows.select("Store", *extra, "Date", "DayOfWeek", *[F.col(c).cast("double").alias(c) for c in ("Promo", "SchoolHoliday")], "day_status", "level", "target", *[c for c in FEATURES if c not in ("Promo", "SchoolHoliday", "DayOfWeek")])
 

@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import baselines
-from .calendar import grid, with_status
-from .features import HORIZON, MIN_LEVEL_DAYS, build_features
+from .calendar import N_LONG, grid, restore_calendar, with_status
+from .features import HORIZON, MIN_LEVEL_DAYS, REOPEN_DAYS, build_features, event_features, lag_features, level_features, with_store
 
 KEYS = ("Store", "origin")
 DAY = ("Open", "Promo", "StateHoliday", "SchoolHoliday")
+#: Days before the origin that the events of its week can depend on: the last day away, and enough before it to tell a long closure from a short one.
+PAST_DAYS = REOPEN_DAYS + N_LONG
 
 
 def coverage(history: DataFrame, plan: DataFrame, stores: DataFrame) -> DataFrame:
@@ -69,7 +71,8 @@ def request_calendars(requests: DataFrame, history: DataFrame, plan: DataFrame)
 
 
 def request_features(requests: DataFrame, history: DataFrame, plan: DataFrame, stores: DataFrame) -> DataFrame:
-    """Features of the seven days of each request, exact: built on the request's own calendar."""
+    """Features of the seven days of each request, exact: built on the request's own calendar. Costs the store's history for each
+    request; `overlay_features` gives the same rows for many."""
     rows = build_features(request_calendars(requests, history, plan), stores, KEYS)
     return rows.filter(F.col("Date") >= F.col("origin"))
 
@@ -83,6 +86,27 @@ def one_pass_features(requests: DataFrame, calendar: DataFrame, stores: DataFram
     return days.join(rows, ["Store", "Date"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
 
 
+def overlay_features(requests: DataFrame, history: DataFrame, plan: DataFrame, stores: DataFrame) -> DataFrame:
+    """The rows of `request_features` at the cost of stores x days + requests. Levels and lags of a day of the week lie a week back at
+    least, before every origin, so one table over the history's calendar holds them for all requests. What a request sees otherwise than the
+    calendar (its plan, holidays up to the week's end, closures cut there, no anomalies inside the week) is computed again on
+    PAST_DAYS + 7 days of each request. Requests are distinct, as `good` leaves them; none give no rows."""
+    last = requests.agg(F.max("origin")).first()[0]
+    if last is None:
+        return request_features(requests, history, plan, stores)
+    calendar = restore_calendar(history.select("Store", "Date", "Sales", "Customers", *DAY, F.lit(True).alias("__row")), F.date_add(F.lit(last), HORIZON - 1))
+    past = lag_features(level_features(calendar))
+    own = [c for c in past.columns if c not in calendar.columns and c not in ("target", "__log")]
+    ahead = plan.dropDuplicates(["Store", "Date"]).select("Store", "Date", *[F.col(c).alias(f"__{c}") for c in DAY])
+    days = requests.select(*KEYS, F.explode(F.sequence(F.date_sub("origin", PAST_DAYS), F.date_add("origin", HORIZON - 1))).alias("Date"))
+    rows = days.join(past.select("Store", "Date", "Customers", "Sales", *DAY, "__row", *own), ["Store", "Date"], "left").join(ahead, ["Store", "Date"], "left")
+    week = F.col("Date") >= F.col("origin")
+    planned = [F.when(week & F.col("__row").isNull(), F.col(f"__{c}")).otherwise(F.col(c)).alias(c) for c in DAY]  # the history wins over the plan
+    spent = [F.when(~week, F.col(c)).alias(c) for c in ("Sales", "Customers")]
+    rows = rows.select(*KEYS, "Date", (F.weekday("Date") + 1).alias("DayOfWeek"), *planned, *spent, *own, F.lit(None).cast("double").alias("target"))
+    return with_store(event_features(with_status(rows, keys=KEYS), KEYS).filter(week), stores, KEYS)
+
+
 def with_plan(history: DataFrame, plan: DataFrame) -> DataFrame:
     """The calendar of the history with the planned days behind it (without guests)."""
     ahead = plan.join(history.select("Store", "Date"), ["Store", "Date"], "left_anti").select("Store", "Date", F.lit(None).cast("bigint").alias("Sales"), F.lit(None).cast("int").alias("Customers"), *DAY)
@@ -109,7 +133,7 @@ def forecast_weeks(requests: DataFrame, history: DataFrame, plan: DataFrame, sto
     """The forecast table of all good requests. predict: features -> (Store, origin, Date, forecast) of open days, an error if
     one has no level; closed days get 0."""
     weeks = baseline_weeks(requests, history, plan)
-    feats = request_features(requests, history, plan, stores).filter("day_status = 'open'")
+    feats = overlay_features(requests, history, plan, stores).filter("day_status = 'open'")
     pred = predict(feats).select(*KEYS, "Date", "forecast")
     return weeks.join(pred, [*KEYS, "Date"], "left").withColumn("forecast", F.when(F.col("Open") == 0, 0.0).otherwise(F.col("forecast")))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import asof, audit, baselines, boosting, encoding, forecast, forecaster, models, order, ridge, sampling, scoring, statespace
 from ..operators.features import BASE_CATEGORICAL, BASE_NUMERIC, CATEGORICAL, MODEL_NUMERIC, build_features, category_levels
 from ..sources import panel
+from . import fixture
 from .demand import FLAG_COLUMNS, SQL, Panel, query
 from .oracle import cte
 
@@ -352,6 +353,39 @@ def one_pass_weeks(p: Panel) -> DataFrame:
     return forecast.one_pass_features(good, p.calendar, p.stores).select("Store", "origin", "Date", "level", "lag_filled", "known")
 
 
+cte("asked_days", ("ok", "wk", "history"), """
+ select ok.Store, ok.origin, h.Date, h.Open, h.StateHoliday, h.Customers from ok join history h on h.Store = ok.Store and h.Date < ok.origin
+ union all select w.Store, w.origin, w.Date, w.Open, w.StateHoliday, null from wk w join ok on ok.Store = w.Store and ok.origin = w.origin""")
+cte("asked_runs", ("asked_days",), """
+ select Store, origin, Date, count(*) over (partition by Store, origin, run) as n
+ from (select Store, origin, Date, Date - cast(row_number() over (partition by Store, origin order by Date) as integer) as run from asked_days where Open = 0)""")
+cte("asked_status", ("asked_days", "asked_runs"), """
+ select d.*, case when n >= 3 then 'absent' when Open = 0 then 'closed' when Customers = 0 then 'anomaly' else 'open' end as day_status
+ from asked_days d left join asked_runs r on r.Store = d.Store and r.origin = d.origin and r.Date = d.Date""")
+cte("asked_events", ("asked_status",), """
+ select t.Store, t.origin, t.Date, t.day_status,
+  min({'d': a.Date, 'k': a.StateHoliday}) filter (a.StateHoliday <> '0' and a.Date between t.Date and t.Date + 3) as nx,
+  max({'d': a.Date, 'k': a.StateHoliday}) filter (a.StateHoliday <> '0' and a.Date between t.Date - 3 and t.Date - 1) as pv,
+  max(a.Date) filter (a.day_status in ('absent', 'anomaly') and a.Date <= t.Date) as away, min(a.Date) filter (a.day_status = 'absent' and a.Date >= t.Date) as leaves
+ from asked_status t join asked_status a on a.Store = t.Store and a.origin = t.origin where t.Date >= t.origin group by 1, 2, 3, 4""")
+
+
+@query(
+    """select e.Store, e.origin, e.Date, e.day_status, f.level is not null as has_level, round(f.level, 6) as level, round(f.lag_filled, 6) as lag_filled,
+ case when nx is null then 'none' else nx.k || '_' || (nx.d - e.Date) end as next_holiday, case when pv is null then 'none' else pv.k || '_' || (e.Date - pv.d) end as prev_holiday,
+ case when e.Date > away and e.Date <= away + 14 then (e.Date - away - 1)::varchar else 'none' end as days_since_reopen,
+ case when leaves > e.Date and leaves <= e.Date + 7 then (leaves - e.Date)::varchar else 'none' end as days_to_long_closure
+ from asked_events e join features f on f.Store = e.Store and f.Date = e.Date""",
+    "asked_events",
+    "features",
+)
+def overlay_weeks(p: Panel) -> DataFrame:
+    """What each request sees of the days of its week that the calendar holds: levels and lags of one table, events by its own plan and history."""
+    good = forecast.good(forecast.check_requests(p.requests, p.history, p.plan))
+    rows = forecast.overlay_features(good, p.history, p.plan, p.stores).filter(F.col("Date") <= F.lit(fixture.END).cast("date"))
+    return rows.select("Store", "origin", "Date", "day_status", F.col("level").isNotNull().alias("has_level"), "level", "lag_filled", "next_holiday", "prev_holiday", "days_since_reopen", "days_to_long_closure")
+
+
 # Joins by the nearest day, ranks, quantiles, columns for very many stores
 
 
