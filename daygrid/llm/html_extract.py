@@ -4,8 +4,10 @@ A page becomes a small tree: runs of siblings with the same tag and class fold i
 layout and not its length. Pages of a host are aligned by simple tree matching (the maximum matching of ordered child lists by
 dynamic programming) into a template tree that holds, for each node, the pages that have it, how many of different text are among
 them (copies of a page are no evidence) and whether the node's text was ever another one. Tasks build a template per host from the pages they read; templates of a host are merged by the same matching, in
-rounds over salted groups, so neither a task nor a group grows with a host. A node that fewer than 1 in RARE pages of a host have is taken out
-of its template, so odd class names do not add up. Template nodes whose text never varies over
+rounds over salted groups, so neither a task nor a group grows with a host. A partial template covers WINDOW pages at most and is thinned
+once, when it is handed on, and so is each merge of FAN_IN of them: nodes on fewer than 1 in RARE of its pages go, so odd class names do not add
+up. Such a thinning costs a node less than 1 in RARE of its host's pages, so one on a larger share than the rounds' number in RARE stays in its
+template in whatever order the pages come. Template nodes whose text never varies over
 enough pages are boilerplate; nodes that vary are slots. The content region of a host is its slots, wherever they stand: of a page the
 text of all nodes goes out but for boilerplate nodes (inside an article or main node too) and for navigation, headers, footers,
 sidebars, notices, adverts, forms, comments, scripts and styles (by tag, role, class or id). A host with fewer than CONSTANT_PAGES
@@ -39,8 +41,10 @@ BROADCAST_BYTES = 64 << 20
 #: Templates merged in one group, and pages of different text that a text must stand on unchanged to be boilerplate.
 FAN_IN = 32
 CONSTANT_PAGES = 5
-#: Nodes of a template with as many nodes as this stand on one of as many pages at least.
+#: A template's nodes stand on one of so many of its pages at least.
 RARE = 256
+#: Pages of a host that one partial template covers.
+WINDOW = 4 * RARE
 #: Nodes of pages whose templates a task holds before it hands them on.
 HELD_NODES = 300_000
 #: Levels of a tree; matching takes several calls a level.
@@ -267,16 +271,14 @@ def count(a: list) -> int:
     return 1 + sum(map(count, a[3]))
 
 
-def pruned(a: list) -> list:
-    """The template without nodes on fewer than 1 in RARE pages, once it has RARE nodes or more."""
+def thinned(a: list) -> list:
+    """The template without nodes on fewer than 1 in RARE of its pages. The pages of all nodes must have been counted from the first one on."""
     least = a[1] // RARE
-    if least < 2 or count(a) < RARE:
-        return a
 
     def inside(x: list) -> list:
         return [*x[:3], [inside(k) for k in x[3] if k[1] >= least], *x[4:]]
 
-    return inside(a)
+    return inside(a) if least > 1 else a
 
 
 def extract(page: str | None, template: list | None) -> str:
@@ -326,7 +328,7 @@ def templates(pages: DataFrame) -> DataFrame:
     """host, template (JSON), by rounds of merging."""
 
     def handed(held: dict[str, list]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([json.dumps(t) for t in held.values()], pa.string())], ["host", "template"])
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([json.dumps(thinned(t)) for t in held.values()], pa.string())], ["host", "template"])
 
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}
@@ -335,7 +337,9 @@ def templates(pages: DataFrame) -> DataFrame:
             for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 tree = outline(parse(page))
                 nodes += count(tree)
-                held[host] = pruned(merged(held[host], tree)) if host in held else tree
+                held[host] = merged(held[host], tree) if host in held else tree
+                if held[host][1] >= WINDOW:
+                    yield handed({host: held.pop(host)})
                 if nodes > HELD_NODES:
                     yield handed(held)
                     held, nodes = {}, 0
@@ -346,8 +350,8 @@ def templates(pages: DataFrame) -> DataFrame:
         trees = [json.loads(t) for t in sorted(group["template"])]
         out = trees[0]
         for t in trees[1:]:
-            out = pruned(merged(out, t))
-        return pd.DataFrame({"host": [group["host"].iloc[0]], "template": [json.dumps(out)]})
+            out = merged(out, t)
+        return pd.DataFrame({"host": [group["host"].iloc[0]], "template": [json.dumps(thinned(out))]})
 
     found = cut(pages.select("host", "html").mapInArrow(per_task, "host string, template string"))
     while True:

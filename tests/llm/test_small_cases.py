@@ -548,10 +548,14 @@ def test_html_quotes_depth_and_odd_class_names(spark):
     deep = "<div>" * 600 + "a<nav>menu</nav><div>b</div>c<p>d<p>e" + "</div>" * 600 + "f"
     assert read(deep) == "a b c d e f"
     assert html_extract.extract("<div>" * 5000 + "x", html_extract.outline(html_extract.parse("<div>y</div>"))) == "x"
-    template = None
-    for i in range(2000):
-        tree = html_extract.outline(html_extract.parse(f"<div class=odd{i}>Odd {i}</div><div class=body>Text {i}</div><div class=same>Same words</div>"))
-        template = tree if template is None else html_extract.pruned(html_extract.merged(template, tree))
+    parts = []
+    for start in (0, 1000):
+        template = None
+        for i in range(start, start + 1000):
+            tree = html_extract.outline(html_extract.parse(f"<div class=odd{i}>Odd {i}</div><div class=body>Text {i}</div><div class=same>Same words</div>"))
+            template = tree if template is None else html_extract.merged(template, tree)
+        parts.append(html_extract.thinned(template))
+    template = html_extract.thinned(html_extract.merged(*parts))
     assert html_extract.count(template) < 600 and template[1] == 2000
     assert html_extract.extract("<div class=odd7>Odd 7</div><div class=body>Text 7</div><div class=same>Same words</div>", template) == "Odd 7 Text 7"
 
@@ -754,3 +758,14 @@ def test_language_with_few_texts_is_still_learned(spark):
     got = {r["doc_id"]: r for r in langid.identify(docs_of(spark, rows)).collect()}
     assert all(got[i]["lang_pred"] == "rr" for i in range(12)) and all(got[100 + i]["lang_pred"] == "aa" for i in range(60))
     assert not any(r["rejected"] for r in got.values()) and all(0 < r["score"] < 1 for r in got.values())
+
+
+def test_html_template_does_not_depend_on_page_order(spark):
+    """A constant block on 700 of 1300 pages of a host, and an odd class on every page: whatever the order and the partitions, the block goes and all else stays."""
+    block = "<div class=stays>Same words everywhere</div>"
+    pages = [(i, "http://h.example/x", f"<div class=odd{i}>Odd {i}</div>{block if i < 700 else ''}<div class=body>Text {i}</div>") for i in range(1300)]
+    shuffled = [pages[i] for i in np.random.default_rng(17).permutation(1300)]
+    for order in (pages, pages[::-1], shuffled):
+        for parts in (1, 5):
+            df = spark.createDataFrame(order, "page_id long, url string, html string").coalesce(1) if parts == 1 else spark.createDataFrame(order, "page_id long, url string, html string").repartition(parts)
+            assert {r["page_id"]: r["text"] for r in html_extract.main_text(df).collect()} == {i: f"Odd {i} Text {i}" for i in range(1300)}
