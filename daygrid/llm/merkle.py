@@ -4,7 +4,8 @@ A text's sections are parted by an empty line, a section's paragraphs by a line
 64 code points. The leaves of a paragraph, end to end, are the paragraph, so the tree stands for the whole text. A leaf's hash is its
 MD5; a paragraph's, a section's and the root's hash cover the whole hashes below. A fingerprint is the root, a colon and the first 12 digits of
 the leaf hashes in their order (' ' between leaves, ' , ' between paragraphs, ' / ' between sections). Where roots differ, only branches
-that differ need a look (differing locates them by place). Likeness is 1 for equal roots, else the shared part of the two trees' distinct
+that differ need a look: `edits` names their paragraphs by place, from the shown digits (two leaves of one place are mistaken for equal once in
+2 ** 48). Likeness is 1 for equal roots, else the shared part of the two trees' distinct
 leaves, found by a walk: a branch that both trees have is shared as a whole, and only leaves under other branches are compared.
 
 Documents are put in order in ranges whose borders are quantiles of the ids themselves, so each range has a like number of documents
@@ -60,8 +61,8 @@ def leaves(t: Column) -> Column:
     return F.filter(F.split(t, " "), lambda x: F.length(x) >= HASH)
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Of two trees, 0 to 1, by a walk from the sections down. A branch is named by its hash and what it holds."""
+def likeness(a: Column, b: Column, root_a: Column, root_b: Column) -> Column:
+    """Of two trees, 0 to 1: 1 for equal roots, else by a walk from the sections down. A branch is named by its hash and what it holds."""
     branch = lambda x: F.concat(F.md5(x), F.lit(":"), x)
     inside = lambda x: F.substring(x, 34, 1 << 30)
     sections = lambda t: F.transform(F.split(t, " / "), branch)
@@ -81,7 +82,7 @@ def likeness(a: Column, b: Column) -> Column:
     shared = let(F.struct(sections(a).alias("a"), sections(b).alias("b")), compare)
     every = F.size(F.array_distinct(leaves(a))) + F.size(F.array_distinct(leaves(b)))
     part = let(shared, lambda n: F.when(every - n > 0, n.cast("double") / (every - n)).otherwise(0.0))
-    return F.when(a == b, F.lit(1.0)).otherwise(part)
+    return F.when(root_a == root_b, F.lit(1.0)).otherwise(part)
 
 
 def differing(a: Column, b: Column) -> Column:
@@ -99,6 +100,12 @@ def differing(a: Column, b: Column) -> Column:
     return F.flatten(F.filter(parts, lambda p: p.isNotNull()))
 
 
+def edits(a: Column, b: Column, root_a: Column, root_b: Column) -> Column:
+    """The places that `differing` finds, as 'section:paragraph' with spaces between; trees of equal roots are not entered."""
+    places = F.transform(differing(a, b), lambda x: F.concat_ws(":", x["section"].cast("string"), x["paragraph"].cast("string")))
+    return F.when(root_a == root_b, F.lit("")).otherwise(F.array_join(places, " "))
+
+
 def borders(docs: DataFrame, rows: int = BUCKET_ROWS) -> list[int]:
     """Ids that part the documents into ranges of a like number: quantiles, each an id of the table."""
     n = docs.filter("doc_id is not null").count()
@@ -120,7 +127,7 @@ def bucket_of(doc_id: Column, at: list[int]) -> Column:
 
 
 def with_next(docs: DataFrame, rows: int = BUCKET_ROWS) -> DataFrame:
-    """doc_id, text, root, tree (shown), and next_text and next_tree of the next document by id (after the last, the first)."""
+    """doc_id, text, root, tree (shown), and next_text, next_root and next_tree of the next document by id (after the last, the first)."""
     at = borders(docs, rows)
     doc_id = F.col("doc_id").cast("long")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -133,25 +140,27 @@ def with_next(docs: DataFrame, rows: int = BUCKET_ROWS) -> DataFrame:
     hashed = own.withColumn("full", tree(F.col("text"))).select("doc_id", "text", root(F.col("full")).alias("root"), shown(F.col("full")).alias("tree"), "own")
     rows_ = hashed.withColumn("at", F.explode(put)).select("doc_id", "text", "root", "tree", "at.bucket", "at.guest")
     order = Window.partitionBy("bucket").orderBy("guest", "doc_id", "text")
-    placed = rows_.withColumn("next_text", F.lead("text").over(order)).withColumn("next_tree", F.lead("tree").over(order))
-    return placed.filter("guest = 0").select("doc_id", "text", "root", "tree", "next_text", "next_tree")
+    placed = rows_.withColumn("next_text", F.lead("text").over(order)).withColumn("next_root", F.lead("root").over(order)).withColumn("next_tree", F.lead("tree").over(order))
+    return placed.filter("guest = 0").select("doc_id", "text", "root", "tree", "next_text", "next_root", "next_tree")
 
 
 def fingerprinted(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, edited_at (the places where the edited text differs)."""
     n = F.length("text")
     k = F.floor(n / 4).cast("int")
     df = with_next(docs)
     df = df.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - k), F.substring(F.col("next_text"), F.lit(1), k)))
-    df = df.withColumn("full", tree(F.col("edited"))).withColumn("edited_tree", shown(F.col("full")))
+    df = df.withColumn("full", tree(F.col("edited"))).withColumn("edited_tree", shown(F.col("full"))).withColumn("edited_root", root(F.col("full")))
+    edited = F.col("tree"), F.col("edited_tree"), F.col("root"), F.col("edited_root")
     return df.select(
         "doc_id",
         n.cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
         F.concat("root", F.lit(":"), "tree").alias("fingerprint"),
-        F.concat(root(F.col("full")), F.lit(":"), F.col("edited_tree")).alias("edited_fingerprint"),
-        likeness(F.col("tree"), F.col("edited_tree")).alias("near_edited"),
-        likeness(F.col("tree"), F.col("next_tree")).alias("near_next"),
+        F.concat("edited_root", F.lit(":"), "edited_tree").alias("edited_fingerprint"),
+        likeness(*edited).alias("near_edited"),
+        likeness(F.col("tree"), F.col("next_tree"), F.col("root"), F.col("next_root")).alias("near_next"),
+        edits(*edited).alias("edited_at"),
     )
 
 
@@ -161,14 +170,17 @@ e as (select doc_id, text, coalesce(nx, (select text from d order by doc_id, tex
 f as (select *, left(text, n - n // 4) || left(nx, n // 4) as edited from e),
 w as (select *, {{tree_text}} as full_tree, {{tree_edited}} as full_edited, {{tree_nx}} as full_next from f),
 g as (select *, {{short_full_tree}} as tree, {{short_full_edited}} as edited_tree, {{short_full_next}} as next_tree from w),
-h as (select *, {{root_full_tree}} as r, {{root_full_edited}} as er,
+h as (select *, {{root_full_tree}} as r, {{root_full_edited}} as er, {{root_full_next}} as nr,
   list_filter(string_split(tree, ' '), lambda x: length(x) = {HASH}) as l, list_filter(string_split(edited_tree, ' '), lambda x: length(x) = {HASH}) as el,
   list_filter(string_split(next_tree, ' '), lambda x: length(x) = {HASH}) as nl from g)
 select doc_id, cast(n as bigint) as n_chars, sha256(edited) as edited_sha256, r || ':' || tree as fingerprint, er || ':' || edited_tree as edited_fingerprint,
- case when tree = edited_tree then 1.0::double when len(list_distinct(list_concat(l, el))) = 0 then 0.0::double
+ case when r = er then 1.0::double when len(list_distinct(list_concat(l, el))) = 0 then 0.0::double
   else len(list_intersect(l, el))::double / len(list_distinct(list_concat(l, el))) end as near_edited,
- case when tree = next_tree then 1.0::double when len(list_distinct(list_concat(l, nl))) = 0 then 0.0::double
-  else len(list_intersect(l, nl))::double / len(list_distinct(list_concat(l, nl))) end as near_next
+ case when r = nr then 1.0::double when len(list_distinct(list_concat(l, nl))) = 0 then 0.0::double
+  else len(list_intersect(l, nl))::double / len(list_distinct(list_concat(l, nl))) end as near_next,
+ case when r = er then '' else array_to_string(flatten(list_transform(range(1, greatest(len(string_split(tree, ' / ')), len(string_split(edited_tree, ' / '))) + 1), lambda i:
+  list_transform(list_filter(range(1, greatest(coalesce(len(string_split(string_split(tree, ' / ')[i], ' , ')), 0), coalesce(len(string_split(string_split(edited_tree, ' / ')[i], ' , ')), 0)) + 1),
+   lambda j: string_split(string_split(tree, ' / ')[i], ' , ')[j] is distinct from string_split(string_split(edited_tree, ' / ')[i], ' , ')[j]), lambda j: (i - 1) || ':' || (j - 1)))), ' ') end as edited_at
 from h
 """
 
@@ -185,4 +197,4 @@ def oracle() -> str:
         return f"regexp_replace({c}, '([0-9a-f]{{{HASH}}})[0-9a-f]{{{32 - HASH}}}', '\\1', 'g')"
 
     trees = {f"tree_{c}": tree_sql(c) for c in ("text", "edited", "nx")}
-    return SQL.format(**trees, **{f"short_{c}": short_sql(c) for c in ("full_tree", "full_edited", "full_next")}, root_full_tree=root_sql("full_tree"), root_full_edited=root_sql("full_edited"))
+    return SQL.format(**trees, **{f"short_{c}": short_sql(c) for c in ("full_tree", "full_edited", "full_next")}, root_full_tree=root_sql("full_tree"), root_full_edited=root_sql("full_edited"), root_full_next=root_sql("full_next"))

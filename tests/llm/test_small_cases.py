@@ -769,3 +769,23 @@ def test_html_template_does_not_depend_on_page_order(spark):
         for parts in (1, 5):
             df = spark.createDataFrame(order, "page_id long, url string, html string").coalesce(1) if parts == 1 else spark.createDataFrame(order, "page_id long, url string, html string").repartition(parts)
             assert {r["page_id"]: r["text"] for r in html_extract.main_text(df).collect()} == {i: f"Odd {i} Text {i}" for i in range(1300)}
+
+
+def test_merkle_edits_are_located(spark):
+    """Paragraphs that differ by place, against a plain comparison; equal texts have none."""
+    def places(a, b):
+        x, y = ([s.split("\n") for s in t.split("\n\n")] for t in (a, b))
+        get = lambda t, i, j: t[i][j] if i < len(t) and j < len(t[i]) else None
+        sizes = [max(len(t[i]) if i < len(t) else 0 for t in (x, y)) for i in range(max(len(x), len(y)))]
+        return " ".join(f"{i}:{j}" for i, n in enumerate(sizes) for j in range(n) if get(x, i, j) != get(y, i, j))
+
+    rng = np.random.default_rng(18)
+    texts = ["".join(rng.choice(["a", "b. ", "\n", "\n\n", "word "], int(rng.integers(0, 40)))) for _ in range(40)] + ["", "same", "same"]
+    rows = [(i, t, "en", "s") for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r for r in merkle.fingerprinted(docs_of(spark, rows)).collect()}
+    for i, t in enumerate(texts):
+        k, nx = len(t) // 4, texts[(i + 1) % len(texts)]
+        edited = t[: len(t) - k] + nx[:k]
+        assert got[i]["edited_at"] == places(t, edited)
+        assert (got[i]["near_edited"] == 1.0) == (t == edited) or got[i]["edited_at"]
+    assert got[len(texts) - 2]["near_next"] == 1.0
