@@ -664,6 +664,51 @@ def test_pipeline_drops_near_copies_by_brute_force(spark):
     assert corpus_pipeline.one_of_each(spark, docs_of(spark, []), "").collect() == []
 
 
+def test_near_copies_meet_in_simhash_cells(spark):
+    """The pipeline's near copies come by op3's steps: majority bits, segment popcounts, cells of a grid, popcount of what meets."""
+    rng, memo, texts = np.random.default_rng(17), near_copies.Memo(), []
+    for g in range(8):
+        ws = lorem(300 + g, 150, 5000).split()
+        for c in range(8):
+            own = list(ws)
+            for at in rng.integers(0, 150, c):
+                own[at] = f"edit{g}x{c}x{at}"
+            texts.append(" ".join(own))
+    sets = [near_copies.shingles(t, memo) for t in texts]
+    fps = np.array([near_copies.fingerprint(s) for s in sets])
+
+    def bits(fp):
+        return [int(x) >> k & 1 for x in fp for k in range(64)]
+
+    for s, fp in zip(sets[:3], fps, strict=False):
+        hashes = [bits(near_copies.mixed(x * near_copies._lanes)) for x in s]
+        assert bits(fp) == [int(2 * sum(column) > len(s)) for column in zip(*hashes, strict=True)]
+    grids, size = near_copies._dealt, near_copies.SEGMENT_BITS
+    places = [[tuple(sum(b[size * k : size * k + size]) for k in grid) for grid in grids] for b in map(bits, fps)]
+    packed = near_copies.cells(fps)
+    meet = lambda i, j: any(a == b for a, b in zip(places[i], places[j], strict=True))
+    assert all((packed[i] == packed[j]).any() == meet(i, j) for i in range(20) for j in range(i))
+    first = [int(x) for x in fps[:, 0].view(np.int64)]
+    assert len(set(first)) == len(first)
+    close = lambda i, j: sum(bin(int(a ^ b)).count("1") for a, b in zip(fps[i][: near_copies.LONGS], fps[j], strict=False)) <= near_copies.NEAR
+    want = brute_components([(first[i], first[j]) for i in range(len(first)) for j in range(i) if meet(i, j) and close(i, j)], first)
+    assert len(set(want.values())) < len(first)
+    rows = spark.createDataFrame([(fp.view(np.int64).tolist(), []) for fp in fps], "fp array<long>, short array<long>")
+    for crowd in (1, 5, near_copies.CROWD):  # crowded cells are walked
+        links = [(r["a"], r["b"]) for r in near_copies.candidate_links(rows, crowd).collect()]
+        assert brute_components(links, first) == want
+
+
+def test_near_copies_of_few_shingles(spark):
+    """Texts of 4 to 9 shingles and the same less a word at one end: one shingle in five turns too many bits for any grid."""
+    rows = []
+    for g in range(60):
+        ws = [f"w{g}x{k}" for k in range(9 + g % 5)]
+        rows += [(len(rows), " ".join(ws), "en", "s"), (len(rows) + 1, " ".join(ws[1:] if g % 2 else ws[:-1]), "en", "s")]
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.groups(docs_of(spark, rows)).collect()}
+    assert got == {i: i - i % 2 for i, *_ in rows}
+
+
 def test_language_limits_come_from_all_rows(spark):
     rng = np.random.default_rng(14)
     text = lambda letters: " ".join("".join(rng.choice(list(letters), 5)) for _ in range(12))
