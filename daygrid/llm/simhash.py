@@ -112,7 +112,7 @@ def links(fps: DataFrame, cell: int = CELL) -> DataFrame:
     """fps(fp): distinct fingerprints. Returns the links (a, b); of a split cell, those through each word."""
     placed = fps.select("fp", F.explode(cells(F.col("fp"))).alias("cell"))
     shared = placed.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1")
-    near = placed.join(shared, "cell")
+    near = placed.join(shared.hint("merge"), "cell")  # an explode's rows are not in Spark's estimate: it would broadcast all of placed
     small = near.filter(F.col("n") <= cell).groupBy("cell").agg(F.collect_list("fp").alias("members")).select(F.explode(verified(F.col("members"))).alias("p"))
     split = near.filter(F.col("n") > cell).select("cell", "fp", F.explode(midpoints(F.col("fp"), F.col("cell"))).alias("word"))
     words = split.groupBy("cell", "word").agg(F.collect_list("fp").alias("members")).filter(F.size("members") > 1).select(F.explode(verified(F.col("members"))).alias("p"))
